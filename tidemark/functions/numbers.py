@@ -38,13 +38,36 @@ def thousands(x: Column, sep: str = ",") -> Column:
     return text if sep == "," else F.replace(text, F.lit(","), F.lit(sep))
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """Round a double to one or two decimals by its exact binary value, ties to even.
+
+    ``round`` and ``bround`` look at the shortest decimal text, so 0.35 (slightly below
+    the tie) would go up. Here ``x`` in half units is compared with the nearest integer
+    by differences that floating point computes without error.
+    """
+    powers = {1: (16, 4), 2: (128, 64, 8)}[digits]
+    half_units = F.rint(x * sum(powers))
+    rest = x * powers[0] - half_units
+    for p in powers[1:]:
+        rest = rest + x * p
+    units = (
+        F.when((half_units % 2 == 0) | (rest == 0), F.rint(half_units / 2))
+        .when(rest > 0, (half_units + 1) / 2)
+        .otherwise((half_units - 1) / 2)
+    )
+    return F.when(F.abs(x) < 2.0**44, units / 10**digits).otherwise(F.bround(x, digits))
+
+
 def pct_label(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.format_string("%.1f%%", x))
+    """One decimal and a percent sign."""
+    return F.when(x.isNotNull(), F.format_string("%.1f%%", round_exact(x, 1)))
 
 
 def round2_text(x: Column) -> Column:
-    """Two decimals half-even, printed without exponent and with at least one decimal."""
-    return F.regexp_replace(F.bround(x, 2).cast("decimal(38,2)").cast("string"), "0$", "")
+    """Two decimals, printed without exponent and with at least one decimal."""
+    y = round_exact(x.cast("double"), 2)
+    text = F.regexp_replace(y.cast("decimal(38,2)").cast("string"), "0$", "")
+    return F.when((y == 0) & (x < 0), F.lit("-0.0")).otherwise(text)
 
 
 def ratio(x: Column, y: Column) -> Column:
