@@ -119,3 +119,13 @@ def total_or_zero(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0.0)) if column in df.columns else F.lit(0.0)
 
 
+
+
+def date_years(df: DataFrame, date: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """Inclusive year range on a raw date column, written on the column itself so that it
+    reaches the scan; either side may be open."""
+    if lo is not None:
+        df = df.where(F.col(date) >= F.lit(f"{lo}-01-01").cast(df.schema[date].dataType))
+    if hi is not None:
+        df = df.where(F.col(date) < F.lit(f"{hi + 1}-01-01").cast(df.schema[date].dataType))
+    return df

@@ -74,7 +74,7 @@ def anomalies(monthly: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
     flagged = residual_anomalies(points, keys, C.VALUE, "Recettes").where(
         F.col("type anomalie") != C.ANOMALY_NORMAL
     )
-    return flagged.join(pearson(points, keys, C.VALUE, "Recettes"), keys).drop("recettes_predites")
+    return flagged.join(pearson(points, keys, C.VALUE, "Recettes"), keys).drop("recettes_predites", "seuil")
 
 
 def quarters(selected: DataFrame, keys: list[str], value: str = C.VALUE) -> DataFrame:
