@@ -12,6 +12,8 @@ from tidemark.operators import disagg
 from tidemark.operators import monthly as mon
 from tidemark.plans import reports
 
+# Years that are whole sum back to the indicator, which has four decimals: rounding to
+# four is stable, rounding to two could sit on a tie.
 ALL = [*C.INDICATORS, C.VALUE]
 
 
@@ -19,7 +21,7 @@ def _rows(spark, sf):
     return reports.filtered(mart(spark, sf))
 
 
-def _sums(columns: list[str], digits: int = 2) -> str:
+def _sums(columns: list[str], digits: int = 4) -> str:
     return ", ".join(f"round(sum({q(c)}), {digits}) AS {q(c)}" for c in columns)
 
 
@@ -121,7 +123,7 @@ def report_receipts_quarters(spark, sf):
 
 def _long_sql(columns: list[str], name: str, value: str, extra: str = "") -> str:
     return " UNION ALL ".join(
-        f"SELECT series, {Y}{extra}, '{c}' AS {q(name)}, round({q(c)}, 2) AS {q(value)} FROM y" for c in columns
+        f"SELECT series, {Y}{extra}, '{c}' AS {q(name)}, round({q(c)}, 4) AS {q(value)} FROM y" for c in columns
     )
 
 
@@ -131,7 +133,7 @@ def _yearly(columns: list[str]) -> str:
     ) + f" FROM filt GROUP BY 1, 2) "
 
 
-_BAL = f', round({q(C.RECEIPTS)} - {q(C.EXPENSES)}, 2) AS "Solde"'
+_BAL = f', round({q(C.RECEIPTS)} - {q(C.EXPENSES)}, 4) AS "Solde"'
 
 
 @query(
@@ -139,7 +141,7 @@ _BAL = f', round({q(C.RECEIPTS)} - {q(C.EXPENSES)}, 2) AS "Solde"'
     sql(_yearly([C.RECEIPTS, C.EXPENSES]) + _long_sql([C.RECEIPTS, C.EXPENSES], "Type", "Valeurs", _BAL), "filt"),
 )
 def report_balance(spark, sf):
-    return rounded(reports.balance(_rows(spark, sf), KEYS), 2, C.BALANCE, "Valeurs")
+    return rounded(reports.balance(_rows(spark, sf), KEYS), 4, C.BALANCE, "Valeurs")
 
 
 def _components(name: str, columns: list[str]):
@@ -147,7 +149,7 @@ def _components(name: str, columns: list[str]):
 
     @query(name, sql(f"SELECT series, {Y}, {_sums(columns)} FROM filt GROUP BY 1, 2", "filt"))
     def run(spark, sf):
-        return rounded(reports.components(_rows(spark, sf), KEYS, columns, "Les deux"), 2, *columns)
+        return rounded(reports.components(_rows(spark, sf), KEYS, columns, "Les deux"), 4, *columns)
 
 
 _components("report_receipts", [C.RECEIPTS_TRANSPORT, C.RECEIPTS_TRAVEL])
@@ -180,7 +182,7 @@ _yoy("report_import_yoy", C.EXPENSES_PCT)
 def _by_type(name: str, columns: list[str], label: str):
     @query(name, sql(_yearly(columns) + _long_sql(columns, label, "Montant (USD)"), "filt"))
     def run(spark, sf):
-        return rounded(reports.by_type(_rows(spark, sf), KEYS, columns, label), 2, "Montant (USD)")
+        return rounded(reports.by_type(_rows(spark, sf), KEYS, columns, label), 4, "Montant (USD)")
 
 
 _by_type("report_expense_types", [C.EXPENSES_TRANSPORT, C.EXPENSES_TRAVEL], "Type de dépense")
@@ -196,7 +198,7 @@ _by_type("report_receipt_types", [C.RECEIPTS_TRANSPORT, C.RECEIPTS_TRAVEL], "Typ
 )
 def report_annual(spark, sf):
     cols = [C.VALUE, C.RECEIPTS, C.EXPENSES, C.BALANCE]
-    return rounded(reports.annual_table(_rows(spark, sf), KEYS), 2, *cols)
+    return rounded(reports.annual_table(_rows(spark, sf), KEYS), 4, *cols)
 
 
 # Annual to monthly -------------------------------------------------------------------

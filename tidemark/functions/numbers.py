@@ -46,16 +46,20 @@ def round_exact(x: Column, digits: int) -> Column:
     by differences that floating point computes without error.
     """
     powers = {1: (16, 4), 2: (128, 64, 8)}[digits]
-    half_units = F.rint(x * sum(powers))
-    rest = x * powers[0] - half_units
+    size = F.abs(x)
+    half_units = F.rint(size * sum(powers))
+    rest = size * powers[0] - half_units
     for p in powers[1:]:
-        rest = rest + x * p
+        rest = rest + size * p
     units = (
         F.when((half_units % 2 == 0) | (rest == 0), F.rint(half_units / 2))
         .when(rest > 0, (half_units + 1) / 2)
         .otherwise((half_units - 1) / 2)
     )
-    return F.when(F.abs(x) < 2.0**44, units / 10**digits).otherwise(F.bround(x, digits))
+    exact = units / 10**digits
+    return F.when(size < 2.0**44, F.when(x < 0, -exact).otherwise(exact)).otherwise(
+        F.bround(x, digits)
+    )
 
 
 def pct_label(x: Column) -> Column:
