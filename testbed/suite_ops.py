@@ -679,5 +679,5 @@ def anomaly_rows(spark, sf):
     ),
 )
 def residual_anomaly(spark, sf):
-    out = stats.residual_anomalies(_points(spark, sf), KEYS, C.VALUE, "Recettes").drop("seuil")
+    out = stats.residual_anomalies(_points(spark, sf), KEYS, C.VALUE, "Recettes").drop("seuil", "correlation")
     return rounded(out, 2, C.VALUE, "Recettes", "recettes_predites", "écart")

@@ -14,7 +14,7 @@ from tidemark.operators.filters import derived_k_column
 from tidemark.operators.monthly import with_balance
 from tidemark.operators.stats import trend
 from tidemark.plans import index, reports
-from tidemark.sources.vectors import to_records
+from tidemark.session import shared_dir
 
 _ALL = [*C.INDICATORS, C.VALUE, C.BALANCE]
 
@@ -171,6 +171,7 @@ _ARR_DOC = _doc_sql(
     ),
 )
 def rag_prompts(spark, sf):
-    docs = embed_text(_documents(spark, sf).withColumn(C.SOURCE, F.lit(C.VECTOR_SOURCE)), "text")
-    records = to_records(docs, F.concat_ws("-", C.SOURCE, "key"))
+    """Build the collection in one bulk write, then answer all questions from its scan."""
+    id_ = F.concat_ws("-", C.SOURCE, "key")
+    records = index.build_index(spark, _documents(spark, sf), id_, shared_dir(spark, "index"))
     return index.answer_prompts(_questions(spark, sf), records).select("qid", "question", "prompt")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -133,16 +136,24 @@ def extend_indicators(
     depth: int = 10,
     seed: int = 42,
     partitions: int = 8,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Overwrite the indicators after ``cut_year`` by one forest each on the monthly value.
 
-    The training frame is written once for all fits, and all models score in one pass.
+    The training frame is written once for all fits, ``parallelism`` fits run at a time,
+    and all models score in one pass.
     """
     past = mart.where(F.col(C.YEAR) <= cut_year).na.drop(subset=[value])
-    train = training_frame(past, [value], indicators, [*keys, C.DATE], partitions)
+    train = training_frame(past, [value], indicators, [*keys, C.DATE], partitions).persist()
+
+    def fit(indicator: str) -> RandomForestRegressionModel:
+        return fit_forest(train, [value], indicator, trees, depth, seed)
+
+    with ThreadPool(min(parallelism, len(indicators))) as pool:
+        models = pool.map(inheritable_thread_target(mart.sparkSession)(fit), indicators)
+    train.unpersist()
     out = mart
-    for ind in indicators:
-        model = fit_forest(train, [value], ind, trees, depth, seed)
+    for ind, model in zip(indicators, models):
         out = predict(model, out, [value], "pred__i").withColumn(
             ind, F.when(F.col(C.YEAR) > cut_year, F.col("pred__i")).otherwise(F.col(f"`{ind}`"))
         )

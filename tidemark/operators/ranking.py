@@ -8,34 +8,30 @@ from pyspark.sql import functions as F
 
 
 def spread_row_number(
-    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    bucket: Column,
+    name: str,
+    total: str | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without one task per key.
 
     ``bucket`` must never decrease along ``order`` inside a key (a hash prefix, a
     quantile bin). Rows are numbered inside (key, bucket); the count of the earlier
     buckets, taken from a map-side combined ``groupBy``, is added. Both sides of the
-    join carry the same hash partitioning, so the rows are shuffled once.
+    join carry the same hash partitioning, so the rows are shuffled once. ``total``
+    names an optional column for the number of rows of the key.
     """
     b, rn, before = f"{name}__b", f"{name}__rn", f"{name}__before"
     rows = df.withColumn(b, bucket)
     cells = [*keys, b]
-    offsets = (
-        rows.groupBy(*cells)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(
-            before,
-            F.coalesce(
-                F.sum("n").over(
-                    Window.partitionBy(*keys)
-                    .orderBy(b)
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("n")
-    )
+    w = Window.partitionBy(*keys)
+    earlier = w.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    added = {before: F.coalesce(F.sum("n").over(earlier), F.lit(0))}
+    if total:
+        added[total] = F.sum("n").over(w)
+    offsets = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).withColumns(added).drop("n")
     numbered = rows.withColumn(rn, F.row_number().over(Window.partitionBy(*cells).orderBy(*order)))
     return (
         numbered.join(offsets, cells)
@@ -94,19 +90,24 @@ def top_k(
 
 
 def split_train_test(
-    df: DataFrame, keys: list[str], row_key: list[str], test_size: float = 0.2, seed: int = 42
+    df: DataFrame,
+    keys: list[str],
+    row_key: list[str],
+    test_size: float = 0.2,
+    seed: int = 42,
+    hash_digits: int = 2,
 ) -> DataFrame:
-    """Add ``is_test``: exactly ``ceil(test_size * n)`` rows per series, by hash order."""
+    """Add ``is_test``: exactly ``ceil(test_size * n)`` rows per series, by hash order.
+
+    The first ``hash_digits`` hex digits spread one series over ``16 ** hash_digits`` groups.
+    """
     h = "split__h"
     rows = df.withColumn(
         h, F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in row_key]))
     )
-    ranked = spread_row_number(
-        rows, keys, [F.col(h), *[F.col(c) for c in row_key]], F.substring(h, 1, 2), "split__rn"
-    )
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("split__n"))
-    return (
-        ranked.join(sizes, keys)
-        .withColumn("is_test", F.col("split__rn") <= F.ceil(F.col("split__n") * F.lit(test_size)))
-        .drop(h, "split__rn", "split__n")
-    )
+    order = [F.col(h), *[F.col(c) for c in row_key]]
+    bins = F.substring(h, 1, hash_digits)
+    ranked = spread_row_number(rows, keys, order, bins, "split__rn", total="split__n")
+    return ranked.withColumn(
+        "is_test", F.col("split__rn") <= F.ceil(F.col("split__n") * F.lit(test_size))
+    ).drop(h, "split__rn", "split__n")

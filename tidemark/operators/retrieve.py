@@ -13,8 +13,9 @@ from tidemark import constants as C
 from tidemark.functions.text import prompt, strip
 from tidemark.operators.ranking import top_k
 
-# Largest question matrix that is sent to every task (bytes of float64).
-MATRIX_LIMIT = 64 * 1024 * 1024
+# Largest question matrix that is sent to every task: rows, and bytes of float64.
+MATRIX_ROWS = 4096
+MATRIX_BYTES = 64 * 1024 * 1024
 DOC_BLOCK = 20_000
 QUESTION_BLOCK = 2_000
 _SCORE_DECIMALS = 9
@@ -98,14 +99,11 @@ def knn(
 
 def _small_matrix(questions: DataFrame, cosine: bool):
     """Questions as arrays, or ``None`` when they exceed the limit."""
-    first = questions.select(F.size("vector")).first()
-    if first is None:
-        return np.array([]), np.array([]), np.zeros((0, 0))
-    most = MATRIX_LIMIT // (8 * max(first[0], 1))
-    pdf = questions.select("qid", "k", "vector").limit(most + 1).toPandas()
-    if len(pdf) > most:
+    pdf = questions.select("qid", "k", "vector").limit(MATRIX_ROWS + 1).toPandas()
+    if len(pdf) > MATRIX_ROWS:
         return None
-    return pdf["qid"].to_numpy(), pdf["k"].to_numpy(), _unit(list(pdf["vector"]), cosine)
+    q = _unit(list(pdf["vector"]), cosine)
+    return (pdf["qid"].to_numpy(), pdf["k"].to_numpy(), q) if q.nbytes <= MATRIX_BYTES else None
 
 
 def _knn_matrix(docs, questions, qids, ks, q, cosine) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
@@ -20,34 +20,30 @@ def ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     )
 
 
+def _fitted(keys: list[str], x: str, y: str) -> Column:
+    """Value on the least squares line of its key, as window aggregates."""
+    w = Window.partitionBy(*keys)
+    cx, cy = F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")
+    return F.regr_slope(cy, cx).over(w) * cx + F.regr_intercept(cy, cx).over(w)
+
+
 def with_residuals(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Fitted value and residual beside each row."""
-    fit = F.col("slope") * F.col(x) + F.col("intercept")
-    return (
-        df.join(ols(df, keys, x, y), keys, "left")
-        .withColumn("recettes_predites", fit)
-        .withColumn("écart", F.col(y) - F.col("recettes_predites"))
-        .drop("slope", "intercept")
+    """Fitted value and residual beside each row of an annual table.
+
+    One row per key and year, so a window holds the years of one series only; the input
+    is computed once, where an aggregate joined back would compute it twice.
+    """
+    return df.withColumn("recettes_predites", _fitted(keys, x, y)).withColumn(
+        "écart", F.col(f"`{y}`") - F.col("recettes_predites")
     )
 
 
 def residual_anomalies(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Label rows whose residual is beyond one sample standard deviation of its key.
 
-    The residual of a least squares fit has mean 0, so its deviation follows from the
-    second moments: one aggregate gives the line and the threshold, one join applies them.
+    Adds the correlation of the key too; all windows share one shuffle.
     """
-    cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
-    both = cx.isNotNull() & cy.isNotNull()
-    n = F.count(F.when(both, 1))
-    rss = F.regr_syy(cy, cx) - F.try_divide(
-        F.regr_sxy(cy, cx) * F.regr_sxy(cy, cx), F.regr_sxx(cy, cx)
-    )
-    model = df.groupBy(*keys).agg(
-        F.regr_slope(cy, cx).alias("slope"),
-        F.regr_intercept(cy, cx).alias("intercept"),
-        F.sqrt(F.try_divide(F.greatest(rss, F.lit(0.0)), n - 1)).alias("seuil"),
-    )
+    w = Window.partitionBy(*keys)
     gap = F.col("écart")
     label = (
         F.when(gap < -F.col("seuil"), C.ANOMALY_LOW)
@@ -55,11 +51,10 @@ def residual_anomalies(df: DataFrame, keys: list[str], x: str, y: str) -> DataFr
         .otherwise(C.ANOMALY_NORMAL)
     )
     return (
-        df.join(model, keys, "left")
-        .withColumn("recettes_predites", F.col("slope") * F.col(x) + F.col("intercept"))
-        .withColumn("écart", F.col(y) - F.col("recettes_predites"))
+        with_residuals(df, keys, x, y)
+        .withColumn("seuil", F.stddev_samp(gap).over(w))
+        .withColumn("correlation", F.corr(F.col(f"`{x}`"), F.col(f"`{y}`")).over(w))
         .withColumn("type anomalie", label)
-        .drop("slope", "intercept")
     )
 
 

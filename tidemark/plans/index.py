@@ -11,6 +11,7 @@ from tidemark import constants as C
 from tidemark.functions.text import sentence
 from tidemark.operators.embed import Encoder, embed_text, hash_encoder
 from tidemark.operators.retrieve import contexts, knn, prompts
+from tidemark.session import materialise
 from tidemark.sources.vectors import to_records, upsert_vectors
 
 
@@ -62,7 +63,8 @@ def answer_prompts(
     A question meets the records of its types and years only: both sides are keyed by
     (type, year), and a record lies in at most one key. Types are compared folded.
     """
-    embedded = embed_text(questions, "question", "vector", make_encoder)
+    # Written once: the grid reads the vectors twice, and encoders are costly.
+    embedded = materialise(embed_text(questions, "question", "vector", make_encoder), "questions")
     cells = embedded.select(
         "qid", "vector", "k", F.explode(F.col("ranges")).alias("r")
     ).select(

@@ -20,7 +20,7 @@ from tidemark.operators.monthly import (
     with_balance,
 )
 from tidemark.operators.reshape import melt, pivot_months
-from tidemark.operators.stats import pearson, residual_anomalies
+from tidemark.operators.stats import residual_anomalies
 
 KPI_COLUMNS = {
     "arrivees": C.VALUE,
@@ -70,11 +70,10 @@ def scatter(monthly: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def anomalies(monthly: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Correlation and the years off the regression line, per series."""
-    points = scatter(monthly, rows, keys)
-    flagged = residual_anomalies(points, keys, C.VALUE, "Recettes").where(
-        F.col("type anomalie") != C.ANOMALY_NORMAL
+    flagged = residual_anomalies(scatter(monthly, rows, keys), keys, C.VALUE, "Recettes")
+    return flagged.where(F.col("type anomalie") != C.ANOMALY_NORMAL).drop(
+        "recettes_predites", "seuil"
     )
-    return flagged.join(pearson(points, keys, C.VALUE, "Recettes"), keys).drop("recettes_predites", "seuil")
 
 
 def quarters(selected: DataFrame, keys: list[str], value: str = C.VALUE) -> DataFrame:
