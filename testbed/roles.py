@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions.calendar import month_start, with_calendar
 from tidemark.operators.disagg import spread_indicators
-from tidemark.operators.monthly import annual_sum, monthly_totals, with_share
+from tidemark.operators.monthly import annual_sum, exact_sums, monthly_totals, with_share
 
 KEYS = [C.SERIES]
 FRENCH = list(C.FULL_MONTHS_FR)
@@ -23,13 +23,17 @@ def money(column: str) -> Column:
     return F.col(column).cast("decimal(18,2)")
 
 
+def cents(column: str) -> Column:
+    return F.rint(F.col(column) * 100).cast("bigint")
+
+
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").withColumnRenamed("o_orderpriority", C.SERIES)
 
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
     """Arrivals: order totals per priority and month."""
-    return monthly_totals(orders(spark, sf), KEYS, "o_orderdate", money("o_totalprice"))
+    return monthly_totals(orders(spark, sf), KEYS, "o_orderdate", F.col("o_totalprice"), decimals=2)
 
 
 def shared(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,49 +46,57 @@ def segment_monthly(spark: SparkSession, sf: str) -> DataFrame:
     Orders are summed per customer before the join, so a customer with a large share of
     all orders is a handful of rows by then.
     """
-    per_customer = (
-        orders(spark, sf)
-        .groupBy("o_custkey", C.SERIES, month_start(F.col("o_orderdate")).alias(C.DATE))
-        .agg(F.sum(money("o_totalprice")).alias("v"))
-    )
+    cells = ["o_custkey", C.SERIES, month_start(F.col("o_orderdate")).alias(C.DATE)]
+    per_customer = orders(spark, sf).groupBy(*cells).agg(F.sum(cents("o_totalprice")).alias("v"))
     customers = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")
     )
     return with_calendar(
         per_customer.join(customers, "o_custkey")
         .groupBy(C.SERIES, "segment", C.DATE)
-        .agg(F.sum("v").cast("double").alias(C.VALUE))
+        .agg((F.sum(F.col("v").cast("decimal(20,0)")).cast("double") / 100).alias(C.VALUE))
     )
 
 
 SEGMENT_KEYS = [C.SERIES, "segment"]
 
 
-def _indicator_sums() -> list[Column]:
-    receipts = money("l_extendedprice")
-    expenses = receipts * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
-    discount = receipts * F.col("l_discount").cast("decimal(4,2)")
-    tax = receipts * F.col("l_tax").cast("decimal(4,2)")
-
-    def total(x: Column, flag: str | None = None) -> Column:
-        return F.sum(x if flag is None else F.when(F.col("l_returnflag") == flag, x)).cast("double")
-
-    return [
-        total(receipts).alias(C.RECEIPTS),
-        (F.try_divide(total(discount), total(receipts)) * 100).alias(C.RECEIPTS_PCT),
-        total(receipts, "A").alias(C.RECEIPTS_TRANSPORT),
-        total(receipts, "N").alias(C.RECEIPTS_TRAVEL),
-        total(expenses, "A").alias(C.EXPENSES_TRANSPORT),
-        total(expenses, "N").alias(C.EXPENSES_TRAVEL),
-        total(expenses).alias(C.EXPENSES),
-        (F.try_divide(total(tax), total(receipts)) * 100).alias(C.EXPENSES_PCT),
-    ]
-
-
-def indicators(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
+def indicator_units() -> dict[str, tuple[Column, int]]:
+    """Exact sums the indicators are made of: (value, decimals)."""
+    price, flag = F.col("l_extendedprice"), F.col("l_returnflag")
+    kept = price * (1 - F.col("l_discount"))
+    return {
+        "receipts": (price, 2),
+        "discount": (price * F.col("l_discount"), 4),
+        "tax": (price * F.col("l_tax"), 4),
+        "receipts_a": (F.when(flag == "A", price), 2),
+        "receipts_n": (F.when(flag == "N", price), 2),
+        "expenses_a": (F.when(flag == "A", kept), 4),
+        "expenses_n": (F.when(flag == "N", kept), 4),
+        "expenses": (kept, 4),
+    }
+
+
+def indicator_columns() -> dict[str, Column]:
+    """The eight indicators from those sums."""
+    c = F.col
+    return {
+        C.RECEIPTS: c("receipts"),
+        C.RECEIPTS_PCT: F.try_divide(c("discount"), c("receipts")) * 100,
+        C.RECEIPTS_TRANSPORT: c("receipts_a"),
+        C.RECEIPTS_TRAVEL: c("receipts_n"),
+        C.EXPENSES_TRANSPORT: c("expenses_a"),
+        C.EXPENSES_TRAVEL: c("expenses_n"),
+        C.EXPENSES: c("expenses"),
+        C.EXPENSES_PCT: F.try_divide(c("tax"), c("receipts")) * 100,
+    }
+
+
+def indicators(spark: SparkSession, sf: str) -> DataFrame:
     """Annual indicators: one pass over the line items by year of shipping."""
-    rows = table(spark, sf, "lineitem").withColumn(C.YEAR, F.year("l_shipdate"))
-    return rows.groupBy(*(keys or []), C.YEAR).agg(*_indicator_sums())
+    year = F.year("l_shipdate").alias(C.YEAR)
+    sums = exact_sums(table(spark, sf, "lineitem"), [year], indicator_units())
+    return sums.select(C.YEAR, *[x.alias(n) for n, x in indicator_columns().items()])
 
 
 def mart(spark: SparkSession, sf: str) -> DataFrame:

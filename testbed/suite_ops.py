@@ -10,10 +10,11 @@ from testbed.registry import query, rounded
 from testbed.roles import (
     KEYS,
     annual,
+    cents,
     centroids,
+    indicator_units,
     indicators,
     mart,
-    money,
     monthly,
     orders,
     shared,
@@ -398,10 +399,10 @@ def quarterly_sum(spark, sf):
         C.SERIES,
         F.year("o_orderdate").alias(C.YEAR),
         F.quarter("o_orderdate").alias(C.QUARTER),
-        money("o_totalprice").alias(C.VALUE),
+        cents("o_totalprice").alias(C.VALUE),
     )
     out = mon.quarterly_sum(rows, KEYS, [C.VALUE])
-    return out.withColumn(C.VALUE, F.col(C.VALUE).cast("double"))
+    return out.withColumn(C.VALUE, F.col(C.VALUE) / 100)
 
 
 @query(
@@ -411,11 +412,9 @@ def quarterly_sum(spark, sf):
         FROM lineitem""",
 )
 def kpi_totals(spark, sf):
-    price = money("l_extendedprice")
-    keep = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
-    return table(spark, sf, "lineitem").agg(
-        F.sum(price).cast("double").alias("recettes"),
-        F.sum(price * keep).cast("double").alias("depenses"),
+    units = indicator_units()
+    return mon.exact_sums(
+        table(spark, sf, "lineitem"), [], {"recettes": units["receipts"], "depenses": units["expenses"]}
     )
 
 
@@ -486,10 +485,10 @@ def mean_fill(spark, sf):
 def year_total_window(spark, sf):
     """On raw rows, where one group may be huge: aggregate and join instead of a window."""
     rows = orders(spark, sf).select(
-        "o_orderkey", C.SERIES, F.year("o_orderdate").alias(C.YEAR), money("o_totalprice").alias("v")
+        "o_orderkey", C.SERIES, F.year("o_orderdate").alias(C.YEAR), cents("o_totalprice").alias("v")
     )
     out = mon.group_total(rows, [C.SERIES, C.YEAR], "v", C.TOTAL)
-    return out.select("o_orderkey", F.col(C.TOTAL).cast("double").alias(C.TOTAL))
+    return out.select("o_orderkey", (F.col(C.TOTAL) / 100).alias(C.TOTAL))
 
 
 _LAGS = ", ".join(f"round(lag({V}, {i}) OVER w, 2) AS lag{i}" for i in (1, 2, 3))
@@ -597,7 +596,7 @@ def _sources(spark, sf):
     rows = orders(spark, sf)
     done = F.col("o_orderstatus") == "F"
     make = lambda part: mon.with_share(
-        mon.monthly_totals(part, KEYS, "o_orderdate", money("o_totalprice")), KEYS
+        mon.monthly_totals(part, KEYS, "o_orderdate", F.col("o_totalprice"), decimals=2), KEYS
     )
     return {"sheet": make(rows.where(done)), "scrape": make(rows.where(~done))}
 

@@ -11,6 +11,7 @@ from tidemark import constants as C
 from tidemark.operators import disagg
 from tidemark.operators import monthly as mon
 from tidemark.plans import reports
+from tidemark.session import materialise
 
 # Years that are whole sum back to the indicator, which has four decimals: rounding to
 # four is stable, rounding to two could sit on a tie.
@@ -21,6 +22,11 @@ def _rows(spark, sf):
     return reports.filtered(mart(spark, sf))
 
 
+def _stored_rows(spark, sf):
+    """Written once, as the selections look at the table before they filter it."""
+    return materialise(_rows(spark, sf), "mart")
+
+
 def _sums(columns: list[str], digits: int = 4) -> str:
     return ", ".join(f"round(sum({q(c)}), {digits}) AS {q(c)}" for c in columns)
 
@@ -38,7 +44,7 @@ _KPI = {"arrivees": C.VALUE, "recettes": C.RECEIPTS, "depenses": C.EXPENSES, "so
     ),
 )
 def report_kpi_selected(spark, sf):
-    by_year, _, _ = reports.select_periods(_rows(spark, sf), "1996, 1997 1999")
+    by_year, _, _ = reports.select_periods(_stored_rows(spark, sf), "1996, 1997 1999")
     return reports.kpis(by_year)
 
 
@@ -94,7 +100,7 @@ def _quarters_sql(column: str) -> str:
 
 
 def _quarters(spark, sf, column):
-    _, selected, _ = reports.select_periods(_rows(spark, sf), "", "1, 2, 3")
+    _, selected, _ = reports.select_periods(_stored_rows(spark, sf), "", "1, 2, 3")
     return rounded(reports.quarters(selected, KEYS, column), 2, f"{column}_x", f"{column}_y")
 
 
@@ -114,7 +120,7 @@ _A, _B = C.RECEIPTS_TRANSPORT, C.RECEIPTS_TRAVEL
 )
 def report_receipts_quarters(spark, sf):
     """Transport and travel receipts in one pass over the mart."""
-    _, selected, _ = reports.select_periods(_rows(spark, sf), "", "1, 2, 3")
+    _, selected, _ = reports.select_periods(_stored_rows(spark, sf), "", "1, 2, 3")
     out = mon.quarterly_sum(selected, KEYS, [_A, _B])
     out = mon.year_total(mon.year_total(out, KEYS, _A, f"{_A}_y"), KEYS, _B, f"{_B}_y")
     out = out.withColumnsRenamed({_A: f"{_A}_x", _B: f"{_B}_x"})

@@ -9,6 +9,8 @@ from testbed.roles import (
     FRENCH,
     STEMS,
     french_month,
+    indicator_columns,
+    indicator_units,
     locale_text,
     money,
     monthly,
@@ -23,6 +25,7 @@ from tidemark.functions import calendar as cal
 from tidemark.functions import numbers as num
 from tidemark.functions import text as txt
 from tidemark.operators.filters import metadata_predicate
+from tidemark.operators.monthly import exact_sums
 from tidemark.operators.reshape import calendar_spine, melt, month_columns, unpivot_months
 from tidemark.session import shared_dir
 from tidemark.sources import charts, log, tables, vectors
@@ -129,36 +132,15 @@ def indicator_pivot(spark, sf):
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("country"))
     )
-    price = money("l_extendedprice")
-    disc, tax = (F.col(c).cast("decimal(4,2)") for c in ("l_discount", "l_tax"))
-    flag = F.col("l_returnflag")
-    parts = {
-        "r": price, "d": price * disc, "t": price * tax,
-        "ra": F.when(flag == "A", price), "rn": F.when(flag == "N", price),
-        "da": F.when(flag == "A", price * disc), "dn": F.when(flag == "N", price * disc),
-    }
-    sums = [F.sum(x).alias(n) for n, x in parts.items()]
     # Summed per supplier before the join: one row per supplier and year is shuffled.
-    per_supplier = (
-        table(spark, sf, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(*sums)
+    year = F.year("l_shipdate").alias("y")
+    per_supplier = exact_sums(table(spark, sf, "lineitem"), ["l_suppkey", year], indicator_units())
+    per_country = exact_sums(
+        per_supplier.join(nations, "l_suppkey"),
+        ["country", "y"],
+        {n: (F.col(n), d) for n, (_, d) in indicator_units().items()},
     )
-    per_country = (
-        per_supplier.join(nations, "l_suppkey")
-        .groupBy("country", "y")
-        .agg(*[F.sum(n).alias(n) for n in parts])
-    )
-    c = {n: F.col(n) for n in parts}
-    dbl = {n: x.cast("double") for n, x in c.items()}
-    values = {
-        C.RECEIPTS: dbl["r"],
-        C.RECEIPTS_PCT: dbl["d"] / dbl["r"] * 100,
-        C.RECEIPTS_TRANSPORT: dbl["ra"],
-        C.RECEIPTS_TRAVEL: dbl["rn"],
-        C.EXPENSES_TRANSPORT: (c["ra"] - c["da"]).cast("double"),
-        C.EXPENSES_TRAVEL: (c["rn"] - c["dn"]).cast("double"),
-        C.EXPENSES: (c["r"] - c["d"]).cast("double"),
-        C.EXPENSES_PCT: dbl["t"] / dbl["r"] * 100,
-    }
+    values = indicator_columns()
     feed = per_country.select(
         "country",
         F.concat(F.lit("YR"), F.col("y").cast("string")).alias("date"),

@@ -14,7 +14,7 @@ from tidemark.operators.filters import derived_k_column
 from tidemark.operators.monthly import with_balance
 from tidemark.operators.stats import trend
 from tidemark.plans import index, reports
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, spread_scan
 
 _ALL = [*C.INDICATORS, C.VALUE, C.BALANCE]
 
@@ -66,7 +66,8 @@ def chunk_fixed(spark, sf):
 
 @query("chunk_recursive")
 def chunk_recursive(spark, sf):
-    return chunks.chunk_recursive(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return chunks.chunk_recursive(docs, "text")
 
 
 def _embed_sql(key: str, text: str, source: str, dim: int = 64) -> str:
@@ -82,7 +83,7 @@ def _embed_sql(key: str, text: str, source: str, dim: int = 64) -> str:
 )
 def embed(spark, sf):
     """Embeddings of all documents, shown as their non-zero slots."""
-    out = embed_text(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    out = embed_text(spread_scan(table(spark, sf, "documents").select("doc_id", "text")), "text")
     return (
         out.select("doc_id", F.posexplode("values").alias("slot", "weight"))
         .where("weight <> 0")

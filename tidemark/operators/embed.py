@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,22 +17,30 @@ Encoder = Callable[[list[str]], np.ndarray]
 _WORD = re.compile(r"\S+", re.ASCII)
 
 
+class _Slots(dict):
+    """Word to slot, filled as words are met; emptied when it grows too large."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        self[word] = slot
+        return slot
+
+
 def hash_encoder(dim: int = 64) -> Encoder:
     """Bag of words hashed to ``dim`` counts, unit length. Needs no model file."""
-    slots: dict[str, int] = {}
-
-    def slot(word: str) -> int:
-        if word not in slots:
-            if len(slots) > 500_000:
-                slots.clear()
-            slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-        return slots[word]
+    slots = _Slots(dim)
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            for word, n in Counter(_WORD.findall(text.lower())).items():
-                out[row, slot(word)] += n
+            hits = [slots[w] for w in _WORD.findall(text.lower())]
+            out[row] = np.bincount(hits, minlength=dim) if hits else 0
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0)
 
@@ -58,6 +65,7 @@ def embed_text(
     out: str = "values",
     make_encoder: Callable[[], Encoder] = hash_encoder,
 ) -> DataFrame:
+    """Add the embedding; rows stay where they are read (see ``session.spread_scan``)."""
     return df.withColumn(out, encode_column(F.col(text), make_encoder))
 
 

@@ -9,17 +9,51 @@ from tidemark import constants as C
 from tidemark.functions.calendar import month_start, with_calendar
 from tidemark.functions.numbers import nan_to_null, ratio
 
+TASK_GROUPS = 64
+
+
+def exact_sums(
+    df: DataFrame, keys: list[str | Column], units: dict[str, tuple[Column, int]]
+) -> DataFrame:
+    """Sums of fixed-point values, the same for every order and partitioning of the rows.
+
+    ``units`` maps a name to (value, decimals). The rows are added as whole units in longs,
+    which is as fast as adding doubles and several times faster than decimals. So that no
+    long overflows whatever the size of a group, each of ``TASK_GROUPS`` groups of tasks
+    keeps its own sum, and those few are added as decimals. A task still emits one row a key.
+    """
+    group = F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)).alias("task__g")
+    partial = df.groupBy(*keys, group).agg(
+        *[F.sum(F.rint(x * 10**d).cast("bigint")).alias(n) for n, (x, d) in units.items()]
+    )
+    names = [c for c in partial.columns if c not in units and c != "task__g"]
+    return partial.groupBy(*names).agg(
+        *[
+            (F.sum(F.col(f"`{n}`").cast("decimal(20,0)")).cast("double") / 10**d).alias(n)
+            for n, (_, d) in units.items()
+        ]
+    )
+
 
 def monthly_totals(
-    df: DataFrame, keys: list[str], date: str, value: Column, name: str = C.VALUE
+    df: DataFrame,
+    keys: list[str],
+    date: str,
+    value: Column,
+    name: str = C.VALUE,
+    decimals: int | None = None,
 ) -> DataFrame:
     """One row per series and month. All later operators work on this grain, where a
-    series has at most twelve rows a year whatever its share of the raw rows was."""
-    return with_calendar(
-        df.na.drop(subset=[*keys, date])
-        .groupBy(*keys, month_start(F.col(date)).alias(C.DATE))
-        .agg(F.sum(value).cast("double").alias(name))
-    )
+    series has at most twelve rows a year whatever its share of the raw rows was.
+
+    With ``decimals`` the values are fixed-point and summed exactly."""
+    rows = df.na.drop(subset=[*keys, date])
+    month = month_start(F.col(date)).alias(C.DATE)
+    if decimals is None:
+        return with_calendar(
+            rows.groupBy(*keys, month).agg(F.sum(value).cast("double").alias(name))
+        )
+    return with_calendar(exact_sums(rows, [*keys, month], {name: (value, decimals)}))
 
 
 def sum_by(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -58,3 +58,10 @@ def materialise(df, tag: str):
     path = shared_dir(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_scan(df):
+    """For a plain scan before costly Python work: rows of a few files are spread over all
+    cores. A scan that has a partition per core already is left as it is, without shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
