@@ -457,9 +457,8 @@ def kpi_format(spark, sf):
 
 @query("pct_label", "SELECT event_id, printf('%.1f%%', value / 8 * 5) AS label FROM events")
 def pct_label(spark, sf):
-    return table(spark, sf, "events").select(
-        "event_id", num.pct_label(F.col("value") / 8 * 5).alias("label")
-    )
+    rows = table(spark, sf, "events").select("event_id", (F.col("value") / 8 * 5).alias("x"))
+    return rows.select("event_id", num.pct_label("x").alias("label"))
 
 
 @query(

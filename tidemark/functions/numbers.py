@@ -38,40 +38,41 @@ def thousands(x: Column, sep: str = ",") -> Column:
     return text if sep == "," else F.replace(text, F.lit(","), F.lit(sep))
 
 
-def round_exact(x: Column, digits: int) -> Column:
+def _round_sql(x: str, digits: int) -> str:
+    powers = {1: (16, 4), 2: (128, 64, 8)}[digits]
+    scale = 10**digits
+    rest = " + ".join(f"{x} * {p}D" for p in powers[1:])
+    rest = f"({x} * {powers[0]}D - rint({x} * {2 * scale}D)) + {rest}"
+    near = f"rint({x} * {scale}D + 0.125D * signum({rest})) / {scale}D"
+    return f"IF(abs({x}) < 1.0E13D, {near}, bround({x}, {digits}))"
+
+
+def round_exact(column: str, digits: int) -> Column:
     """Round a double to one or two decimals by its exact binary value, ties to even.
 
     ``round`` and ``bround`` look at the shortest decimal text, so 0.35 (slightly below
-    the tie) would go up. Here ``x`` in half units is compared with the nearest integer
-    by differences that floating point computes without error.
+    the tie) would go up. Here the distance to the nearest half unit is taken from
+    products with powers of two, which floating point subtracts without error; its sign
+    moves the value off the tie before it is rounded.
     """
-    powers = {1: (16, 4), 2: (128, 64, 8)}[digits]
-    size = F.abs(x)
-    half_units = F.rint(size * sum(powers))
-    rest = size * powers[0] - half_units
-    for p in powers[1:]:
-        rest = rest + size * p
-    units = (
-        F.when((half_units % 2 == 0) | (rest == 0), F.rint(half_units / 2))
-        .when(rest > 0, (half_units + 1) / 2)
-        .otherwise((half_units - 1) / 2)
-    )
-    exact = units / 10**digits
-    return F.when(size < 2.0**44, F.when(x < 0, -exact).otherwise(exact)).otherwise(
-        F.bround(x, digits)
-    )
-
-
-def pct_label(x: Column) -> Column:
-    """One decimal and a percent sign."""
-    return F.when(x.isNotNull(), F.format_string("%.1f%%", round_exact(x, 1)))
-
-
-def round2_text(x: Column) -> Column:
-    """Two decimals, printed without exponent and with at least one decimal."""
-    y = round_exact(x.cast("double"), 2)
-    text = F.regexp_replace(y.cast("decimal(38,2)").cast("string"), "0$", "")
-    return F.when((y == 0) & (x < 0), F.lit("-0.0")).otherwise(text)
+    return F.expr(_round_sql(f"`{column}`", digits))
+
+
+def pct_label(column: str) -> Column:
+    """One decimal and a percent sign; null stays null."""
+    text = F.format_string("%.1f%%", round_exact(column, 1))
+    return F.when(F.col(f"`{column}`").isNotNull(), text)
+
+
+def round2_sql(x: str) -> str:
+    """SQL text of a double with two decimals, no exponent and at least one decimal."""
+    y = _round_sql(x, 2)
+    text = f"regexp_replace(CAST(CAST({y} AS DECIMAL(38,2)) AS STRING), '0$', '')"
+    return f"IF({x} < 0 AND {y} = 0, '-0.0', {text})"
+
+
+def round2_text(column: str) -> Column:
+    return F.expr(round2_sql(f"`{column}`"))
 
 
 def ratio(x: Column, y: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import constants as C
-from tidemark.functions.numbers import round2_text
+from tidemark.functions.numbers import round2_sql
 
 _BLANKS = " \t\n\r\x0b\x0c"
 
@@ -42,23 +42,26 @@ def sentence(schema: T.StructType, name: str, year: str = C.YEAR) -> Column:
 
     Missing cells are skipped; a missing year prints as unknown.
     """
-    head = F.concat(
-        F.lit(f"[{name}] En "),
-        F.coalesce(F.col(f"`{year}`").cast("int").cast("string"), F.lit(C.UNKNOWN_YEAR)),
-        F.lit(" :"),
-    )
-    parts = [head]
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    parts = [
+        f"concat({text(f'[{name}] En ')}, "
+        f"coalesce(CAST(CAST(`{year}` AS INT) AS STRING), {text(C.UNKNOWN_YEAR)}), ' :')"
+    ]
     for field in schema.fields:
         if field.name == year:
             continue
-        cell = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            parts.append(F.concat(F.lit(f"{field.name} était de "), round2_text(cell)))
+        cell = f"`{field.name}`"
+        if isinstance(field.dataType, (T.FractionalType, T.DecimalType)):
+            shown = f"{text(f'{field.name} était de ')}, {round2_sql(f'CAST({cell} AS DOUBLE)')}"
         elif isinstance(field.dataType, T.IntegralType):
-            parts.append(F.concat(F.lit(f"{field.name} était de "), cell.cast("string")))
+            shown = f"{text(f'{field.name} était de ')}, CAST({cell} AS STRING)"
         else:
-            parts.append(F.concat(F.lit(f"{field.name} : "), cell.cast("string")))
-    return F.concat(F.concat_ws(". ", *parts), F.lit("."))
+            shown = f"{text(f'{field.name} : ')}, CAST({cell} AS STRING)"
+        parts.append(f"concat({shown})")
+    # One SQL text: hundreds of single Column calls would dominate the planning time.
+    return F.expr(f"concat(concat_ws('. ', {', '.join(parts)}), '.')")
 
 
 def prompt(question: Column, context: Column) -> Column:

@@ -17,6 +17,7 @@ from tidemark.operators.stats import fill_with_mean, trend
 from tidemark.session import materialise
 
 LAGS = ["lag1", "lag2", "lag3"]
+ROWS_PER_PARTITION = 50_000
 
 
 def assemble(df: DataFrame, inputs: list[str], out: str = "features") -> DataFrame:
@@ -25,14 +26,17 @@ def assemble(df: DataFrame, inputs: list[str], out: str = "features") -> DataFra
 
 
 def training_frame(
-    df: DataFrame, inputs: list[str], labels: list[str], keys: list[str], partitions: int
+    df: DataFrame, inputs: list[str], labels: list[str], keys: list[str]
 ) -> DataFrame:
     """Training rows written once, then laid out by key hash and sorted.
 
-    The forest samples per partition, so a fixed layout is what makes a seed repeat.
+    The forest samples per partition, so a layout that depends only on the data is what
+    makes a seed repeat. The number of partitions follows from the number of rows; each
+    tree level is a job, and tasks without rows would only add to its cost.
     """
     cols = list(dict.fromkeys([*keys, *inputs, *labels]))
     rows = materialise(df.select(*[F.col(f"`{c}`") for c in cols]), "train")
+    partitions = rows.count() // ROWS_PER_PARTITION + 1
     return rows.repartition(partitions, *keys).sortWithinPartitions(*cols)
 
 
@@ -74,14 +78,13 @@ def fit_lag_forest(
     trees: int = 300,
     depth: int = 10,
     seed: int = 42,
-    partitions: int = 8,
 ) -> RandomForestRegressionModel:
     """Forest on three lags, trained on the complete rows of the given years."""
     lagged = with_lags(annual, keys, value)
     rows = lagged.where(F.col(C.YEAR).between(first_year, last_year)).na.drop(
         subset=[value, *LAGS]
     )
-    train = training_frame(rows, LAGS, [value], [*keys, C.YEAR], partitions)
+    train = training_frame(rows, LAGS, [value], [*keys, C.YEAR])
     return fit_forest(train, LAGS, value, trees, depth, seed)
 
 
@@ -135,7 +138,6 @@ def extend_indicators(
     trees: int = 100,
     depth: int = 10,
     seed: int = 42,
-    partitions: int = 8,
     parallelism: int = 4,
 ) -> DataFrame:
     """Overwrite the indicators after ``cut_year`` by one forest each on the monthly value.
@@ -144,7 +146,7 @@ def extend_indicators(
     and all models score in one pass.
     """
     past = mart.where(F.col(C.YEAR) <= cut_year).na.drop(subset=[value])
-    train = training_frame(past, [value], indicators, [*keys, C.DATE], partitions).persist()
+    train = training_frame(past, [value], indicators, [*keys, C.DATE]).persist()
 
     def fit(indicator: str) -> RandomForestRegressionModel:
         return fit_forest(train, [value], indicator, trees, depth, seed)
@@ -171,7 +173,6 @@ def forecast_with_trend(
     depth: int = 5,
     noise: float = 0.5,
     seed: int = 42,
-    partitions: int = 8,
 ) -> DataFrame:
     """In-sample fit plus ``horizon`` years whose inputs follow their linear trend.
 
@@ -180,9 +181,7 @@ def forecast_with_trend(
     annual = materialise(annual, "annual")
     filled = fill_with_mean(annual.withColumn("label__v", F.col(f"`{target}`")), keys, "label__v")
     split = split_train_test(filled, keys, [*keys, C.YEAR], seed=seed)
-    train = training_frame(
-        split.where(~F.col("is_test")), inputs, ["label__v"], [*keys, C.YEAR], partitions
-    )
+    train = training_frame(split.where(~F.col("is_test")), inputs, ["label__v"], [*keys, C.YEAR])
     model = fit_forest(train, inputs, "label__v", trees, depth, seed)
     history = predict(model, annual, inputs, fitted)
     future = predict(model, trend(annual, keys, inputs, horizon, noise, seed), inputs, fitted)

@@ -99,7 +99,7 @@ def yoy(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Annual sums with the change to the previous year, its colour and its label."""
     out = pct_change(annual_sum(rows, keys, [column]), keys, column)
     return out.withColumn("color", sign_class(F.col("pct_change"))).withColumn(
-        "label", pct_label(F.col("pct_change"))
+        "label", pct_label("pct_change")
     )
 
 
