@@ -28,10 +28,11 @@ def spread_row_number(
     cells = [*keys, b]
     w = Window.partitionBy(*keys)
     earlier = w.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    added = {before: F.coalesce(F.sum("n").over(earlier), F.lit(0))}
+    n = f"{name}__n"
+    added = {before: F.coalesce(F.sum(n).over(earlier), F.lit(0))}
     if total:
-        added[total] = F.sum("n").over(w)
-    offsets = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).withColumns(added).drop("n")
+        added[total] = F.sum(n).over(w)
+    offsets = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias(n)).withColumns(added).drop(n)
     numbered = rows.withColumn(rn, F.row_number().over(Window.partitionBy(*cells).orderBy(*order)))
     return (
         numbered.join(offsets, cells)
