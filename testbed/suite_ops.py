@@ -25,7 +25,7 @@ from testbed.sqlparts import TOT, D, M, P, QT, V, Y, q, rnd, sql
 from tidemark import constants as C
 from tidemark.operators import filters, ranking, reshape, stats
 from tidemark.operators import monthly as mon
-from tidemark.operators.disagg import unique_lookup
+from tidemark.operators.lookup import lookup_join, unique_lookup
 from tidemark.operators.embed import embedding_dims
 from tidemark.operators.retrieve import contexts, knn
 from tidemark.plans import reports
@@ -313,7 +313,7 @@ def quarter_with_year_total(spark, sf):
 def indicator_lookup(spark, sf):
     dim = unique_lookup(indicators(spark, sf).select(C.YEAR, C.RECEIPTS), [C.YEAR])
     rows = orders(spark, sf).select("o_orderkey", F.year("o_orderdate").alias(C.YEAR))
-    return rows.join(dim, C.YEAR, "left").select("o_orderkey", C.RECEIPTS)
+    return lookup_join(rows, dim, [C.YEAR]).select("o_orderkey", C.RECEIPTS)
 
 
 _WEIGHTS = f"SELECT series, {M}, avg({P}) AS w FROM shared WHERE {Y} <= 2000 GROUP BY 1, 2"
@@ -337,7 +337,7 @@ def weight_lookup(spark, sf):
         "o_orderkey", C.SERIES, F.date_format("o_orderdate", "MMM").alias(C.MONTH)
     )
     weights = mon.seasonal_weights(shared(spark, sf), KEYS, 2000)
-    out = rows.join(weights, [C.SERIES, C.MONTH], "left").select("o_orderkey", C.SHARE)
+    out = lookup_join(rows, weights, [C.SERIES, C.MONTH]).select("o_orderkey", C.SHARE)
     return rounded(out, 10, C.SHARE)
 
 

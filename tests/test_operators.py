@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.operators import disagg, filters, ranking, reshape, stats
+from tidemark.operators import disagg, filters, lookup, ranking, reshape, stats
 from tidemark.operators import monthly as mon
 from tidemark.plans import reports
 
@@ -165,8 +165,8 @@ def test_spread_annual(spark):
 def test_lookup_needs_unique_keys(spark):
     dim = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0)], "k int, v double")
     with pytest.raises(Exception, match="duplicate key"):
-        disagg.unique_lookup(dim, ["k"]).collect()
-    assert rows(disagg.unique_lookup(dim.where("k = 2"), ["k"]), "k", "v") == [(2, 1.0)]
+        lookup.unique_lookup(dim, ["k"]).collect()
+    assert rows(lookup.unique_lookup(dim.where("k = 2"), ["k"]), "k", "v") == [(2, 1.0)]
 
 
 def test_trend(spark):

@@ -6,26 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.operators.lookup import lookup_join, unique_lookup
 from tidemark.operators.monthly import year_total
 from tidemark.operators.reshape import calendar_spine
 
 
-def unique_lookup(dim: DataFrame, key: list[str]) -> DataFrame:
-    """The lookup table itself, failing at run time when a key occurs twice."""
-    values = [c for c in dim.columns if c not in key]
-    n = F.count(F.lit(1))
-    return (
-        dim.groupBy(*key)
-        .agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in values], n.alias("n__rows"))
-        .where(
-            F.when(F.col("n__rows") == 1, F.lit(True)).otherwise(
-                F.raise_error(F.lit("duplicate key in lookup table")).cast("boolean")
-            )
-        )
-        .drop("n__rows")
-    )
-
-
 def spread_annual(
     annual: DataFrame, weights: DataFrame, keys: list[str], renormalise: bool = False
 ) -> DataFrame:
@@ -76,10 +61,11 @@ def spread_indicators(
     """Annual indicators times the month weight, all columns in one projection.
 
     Percentages are weighted as well; the caller picks the columns. A year without
-    indicators gives nulls.
+    indicators gives nulls. The indicators are few rows on few keys, so the months of all
+    series are not shuffled by year.
     """
     on = on or [C.YEAR]
     dim = unique_lookup(annual.select(*on, *[F.col(f"`{c}`") for c in columns]), on)
-    joined = monthly.join(dim, on, "left")
+    joined = lookup_join(monthly, dim, on)
     keep = [F.col(f"`{c}`") for c in monthly.columns]
     return joined.select(*keep, *[(F.col(f"`{c}`") * F.col(C.SHARE)).alias(c) for c in columns])

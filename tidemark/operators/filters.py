@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.operators.lookup import lookup_join
 
 
 def drop_missing(df: DataFrame, how: str = "any", subset: list[str] | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def latest_period(
     if not keys:
         return df.where(F.col(period) == df.agg(F.max(period)).scalar())
     last = df.groupBy(*keys).agg(F.max(period).alias(period))
-    return df.join(last, [*keys, period], "left_semi")
+    return lookup_join(df, last, [*keys, period], "left_semi")
 
 
 def metadata_predicate(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions.calendar import month_start, with_calendar
 from tidemark.functions.numbers import nan_to_null, ratio
+from tidemark.operators.lookup import lookup_join
 
 TASK_GROUPS = 64
 
@@ -107,10 +108,9 @@ def year_total(
 
 
 def group_total(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The same on raw rows of any group size: a map-side combined aggregate joined
-    back on the key, so that a heavy group is split like any skewed join."""
-    totals = sum_by(df, keys, [value]).withColumnRenamed(value, name)
-    return df.join(totals, keys, "left")
+    """The same on raw rows of any group size: a map-side combined aggregate looked up by
+    its key, so that no task ever holds a whole group."""
+    return lookup_join(df, sum_by(df, keys, [value]).withColumnRenamed(value, name), keys)
 
 
 def with_share(df: DataFrame, keys: list[str], value: str = C.VALUE) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions.text import prompt, strip
 from tidemark.operators.ranking import top_k
+from tidemark.session import materialise
 
 # Largest question matrix that is sent to every task: rows, and bytes of float64.
 MATRIX_ROWS = 4096
@@ -139,7 +140,7 @@ def _knn_grid(docs: DataFrame, questions: DataFrame, on: list[str], cosine: bool
     q_sizes = questions.groupBy(*on).agg(
         F.ceil(F.count(F.lit(1)) / QUESTION_BLOCK).cast("int").alias("nq")
     )
-    grid = d_sizes.join(q_sizes, on)
+    grid = materialise(d_sizes.join(q_sizes, on), "grid")
     block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("bigint")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (
@@ -178,8 +179,11 @@ def _knn_grid(docs: DataFrame, questions: DataFrame, on: list[str], cosine: bool
 def contexts(hits: DataFrame, texts: DataFrame, prefix: str = C.CONTEXT_PREFIX) -> DataFrame:
     """Texts of the hits in rank order, prefixed, one line each: ``(qid, context)``.
 
-    Blank texts are skipped. Texts are joined only now, to at most ``k`` ids a question.
+    Blank texts are skipped. Texts are joined only now, to at most ``k`` ids a question;
+    the hits are written first so that their measured size decides the join and the texts
+    need not be shuffled.
     """
+    hits = materialise(hits.select("qid", "rank", "id"), "hits")
     line = F.concat(F.lit(prefix), strip(F.col("text")))
     ranked = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))
     return (

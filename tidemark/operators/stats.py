@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.operators.lookup import lookup_join
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str, name: str = "correlation") -> DataFrame:
@@ -59,10 +60,10 @@ def residual_anomalies(df: DataFrame, keys: list[str], x: str, y: str) -> DataFr
 
 
 def fill_with_mean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Replace missing values by the mean of their key (aggregate joined back)."""
+    """Replace missing values by the mean of their key; no task holds a whole key."""
     means = df.groupBy(*keys).agg(F.avg(value).alias("mean__v"))
     return (
-        df.join(means, keys, "left")
+        lookup_join(df, means, keys)
         .withColumn(value, F.coalesce(F.col(value), F.col("mean__v")))
         .drop("mean__v")
     )

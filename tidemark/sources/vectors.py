@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark import schemas
+from tidemark.session import materialise
 
 
 def to_records(df: DataFrame, id_: Column, vector: str = "values") -> DataFrame:
@@ -32,14 +33,12 @@ def latest(batch: DataFrame, key: str, version: list[Column]) -> DataFrame:
     return batch.withColumn("rn__v", F.row_number().over(w)).where("rn__v = 1").drop("rn__v")
 
 
-def merge(current: DataFrame | None, batch: DataFrame, key: str = "id") -> DataFrame:
+def merge(current: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """Current rows whose key is not in the batch, and the batch (one row per key).
 
-    Only the keys of the batch meet the current rows: a small batch is broadcast by its
-    measured size and the collection is not shuffled.
+    Only the keys of the batch meet the current rows: a small stored batch is broadcast
+    by its file size and the collection is not shuffled.
     """
-    if current is None:
-        return batch
     return current.join(batch.select(key), key, "left_anti").unionByName(batch)
 
 
@@ -60,10 +59,12 @@ def upsert_vectors(
 ) -> DataFrame:
     """Upsert into a new snapshot at ``path``; last write wins. Returns its scan."""
     version_cols = version or [F.col("id")]
-    newest = latest(batch, "id", version_cols)
-    cols = schemas.VECTORS.fieldNames()
-    current = scan_vectors(spark, current_path) if current_path else None
-    write_vectors(merge(current, newest.select(*cols)), path)
+    newest = latest(batch, "id", version_cols).select(*schemas.VECTORS.fieldNames())
+    if current_path is None:
+        write_vectors(newest, path)
+    else:
+        written = materialise(newest, "batch")
+        write_vectors(merge(scan_vectors(spark, current_path), written), path)
     return scan_vectors(spark, path)
 
 
