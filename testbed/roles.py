@@ -57,7 +57,7 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, sf: str) -> DataFrame:
-    return with_share(monthly(spark, sf), KEYS)
+    return with_share(monthly(spark, sf), KEYS, decimals=2)
 
 
 def segment_monthly(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,7 +127,7 @@ def mart(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def annual(spark: SparkSession, sf: str) -> DataFrame:
-    return annual_sum(monthly(spark, sf), KEYS, [C.VALUE])
+    return annual_sum(monthly(spark, sf), KEYS, [C.VALUE], decimals=2)
 
 
 def year_bounds(df: DataFrame) -> tuple[int, int]:

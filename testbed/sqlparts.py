@@ -54,7 +54,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "shared": (
         ["monthly"],
         f"""SELECT *, {V} / nullif({TOT}, 0) AS {P} FROM (
-            SELECT *, sum({V}) OVER (PARTITION BY series, {Y}) AS {TOT} FROM monthly)""",
+            SELECT *, CAST(sum(CAST({V} AS DECIMAL(18,2))) OVER (PARTITION BY series, {Y}) AS DOUBLE) AS {TOT} FROM monthly)""",
     ),
     "segments": (
         [],
@@ -81,7 +81,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     ),
     "annual": (
         ["monthly"],
-        f"SELECT series, {Y}, coalesce(sum({V}), 0) AS {V} FROM monthly GROUP BY 1, 2",
+        f"SELECT series, {Y}, CAST(sum(CAST({V} AS DECIMAL(18,2))) AS DOUBLE) AS {V} FROM monthly GROUP BY 1, 2",
     ),
     "points": (
         ["annual", "filt"],

@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from testbed.registry import query, rounded
-from testbed.roles import KEYS, SEGMENT_KEYS, mart, segment_monthly
+from testbed.roles import KEYS, SEGMENT_KEYS, indicators, mart, orders, segment_monthly
 from tidemark import constants as C
 from tidemark.operators import forecast as fc
 from tidemark.operators import monthly as mon
+from tidemark.operators.monthly import monthly_totals
 from tidemark.plans import reports
+from tidemark.plans.mart import build_monthly_mart
 
 LAST_TRAIN = 2000
 MISSING = [2001, 2002, 2003]
@@ -58,3 +60,18 @@ def forecast_4y(spark, sf):
 def forecast_balance_4y(spark, sf):
     out = fc.forecast_balance(reports.filtered(mart(spark, sf)), KEYS)
     return rounded(out, 2, C.BALANCE, "Valeur")
+
+
+@query("monthly_mart")
+def monthly_mart(spark, sf):
+    """The whole pipeline: two sources, three missing years, indicators extended."""
+    done = F.col("o_orderstatus") == "F"
+    known = orders(spark, sf).where(F.year("o_orderdate") <= LAST_TRAIN)
+    sources = {
+        name: monthly_totals(part, KEYS, "o_orderdate", F.col("o_totalprice"), decimals=2)
+        for name, part in {"sheet": known.where(done), "scrape": known.where(~done)}.items()
+    }
+    out = build_monthly_mart(
+        sources, indicators(spark, sf), KEYS, 1998, LAST_TRAIN, MISSING, LAST_TRAIN + 1
+    )
+    return rounded(out, 4, *C.INDICATORS, C.VALUE)

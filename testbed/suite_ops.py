@@ -639,23 +639,24 @@ _TREND = f"""SELECT series, CAST(y AS INTEGER) AS {Y}, slope * y + intercept AS
         unnest(generate_series(max({Y}) + 1, max({Y}) + 4)) AS y FROM annual GROUP BY 1)"""
 
 
-@query("trend_extrapolate", sql(f"SELECT series, {Y}, round(v, 2) AS {V} FROM ({_TREND})", "annual"))
+@query("trend_extrapolate", sql(f"SELECT series, {Y}, round(v, 3) AS {V} FROM ({_TREND})", "annual"))
 def trend_extrapolate(spark, sf):
-    return rounded(stats.trend(annual(spark, sf), KEYS, [C.VALUE], 4, noise=0), 2, C.VALUE)
+    return rounded(stats.trend(annual(spark, sf), KEYS, [C.VALUE], 4, noise=0), 3, C.VALUE)
 
 
 @query(
     "history_future",
     sql(
-        f"""SELECT series, {Y}, round({V}, 2) AS {V}, round({V}, 2) AS fitted FROM annual
-        UNION ALL SELECT series, {Y}, NULL, round(v, 2) FROM ({_TREND})""",
+        f"""SELECT series, {Y}, round({V}, 2) AS {V}, round({V}, 3) AS fitted FROM annual
+        UNION ALL SELECT series, {Y}, NULL, round(v, 3) FROM ({_TREND})""",
         "annual",
     ),
 )
 def history_future(spark, sf):
     past = annual(spark, sf).withColumn("fitted", F.col(C.VALUE))
     future = stats.trend(past, KEYS, [C.VALUE], 4, noise=0).withColumnRenamed(C.VALUE, "fitted")
-    return rounded(mon.history_and_future(past, future, KEYS, C.VALUE, "fitted"), 2, C.VALUE, "fitted")
+    out = mon.history_and_future(past, future, KEYS, C.VALUE, "fitted")
+    return rounded(rounded(out, 2, C.VALUE), 3, "fitted")
 
 
 @query(

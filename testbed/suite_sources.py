@@ -134,7 +134,7 @@ def indicator_pivot(spark, sf):
     )
     # Summed per supplier before the join: one row per supplier and year is shuffled.
     year = F.year("l_shipdate").alias("y")
-    per_supplier = exact_sums(table(spark, sf, "lineitem"), ["l_suppkey", year], indicator_units())
+    per_supplier = exact_sums(table(spark, sf, "lineitem"), ["l_suppkey", year], indicator_units(), few_keys=False)
     per_country = exact_sums(
         per_supplier.join(nations, "l_suppkey"),
         ["country", "y"],

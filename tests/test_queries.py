@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
 # Slow fits, covered by test_forecast and by the driver.
-SLOW = {"rf_lag_fit", "recursive_forecast", "indicator_extend", "forecast_4y", "forecast_balance_4y"}
+SLOW = {"rf_lag_fit", "recursive_forecast", "indicator_extend", "forecast_4y", "forecast_balance_4y", "monthly_mart"}
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark import constants as C
 from tidemark.functions.calendar import month_start, with_calendar
@@ -14,7 +15,10 @@ TASK_GROUPS = 64
 
 
 def exact_sums(
-    df: DataFrame, keys: list[str | Column], units: dict[str, tuple[Column, int]]
+    df: DataFrame,
+    keys: list[str | Column],
+    units: dict[str, tuple[Column, int]],
+    few_keys: bool = True,
 ) -> DataFrame:
     """Sums of fixed-point values, the same for every order and partitioning of the rows.
 
@@ -22,18 +26,21 @@ def exact_sums(
     which is as fast as adding doubles and several times faster than decimals. So that no
     long overflows whatever the size of a group, each of ``TASK_GROUPS`` groups of tasks
     keeps its own sum, and those few are added as decimals. A task still emits one row a key.
+
+    With many keys the task groups would only multiply the rows to shuffle; then the units
+    are added as decimals in one step.
     """
+    whole = {n: F.rint(x * 10**d).cast("bigint") for n, (x, d) in units.items()}
+
+    def total(x: Column, name: str) -> Column:
+        return (F.sum(x.cast("decimal(20,0)")).cast("double") / 10 ** units[name][1]).alias(name)
+
+    if not few_keys:
+        return df.groupBy(*keys).agg(*[total(x, n) for n, x in whole.items()])
     group = F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)).alias("task__g")
-    partial = df.groupBy(*keys, group).agg(
-        *[F.sum(F.rint(x * 10**d).cast("bigint")).alias(n) for n, (x, d) in units.items()]
-    )
+    partial = df.groupBy(*keys, group).agg(*[F.sum(x).alias(n) for n, x in whole.items()])
     names = [c for c in partial.columns if c not in units and c != "task__g"]
-    return partial.groupBy(*names).agg(
-        *[
-            (F.sum(F.col(f"`{n}`").cast("decimal(20,0)")).cast("double") / 10**d).alias(n)
-            for n, (_, d) in units.items()
-        ]
-    )
+    return partial.groupBy(*names).agg(*[total(F.col(f"`{n}`"), n) for n in units])
 
 
 def monthly_totals(
@@ -57,28 +64,42 @@ def monthly_totals(
     return with_calendar(exact_sums(rows, [*keys, month], {name: (value, decimals)}))
 
 
-def sum_by(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def sum_by(
+    df: DataFrame, keys: list[str], values: list[str], decimals: int | None = None
+) -> DataFrame:
     """Sums per key: rows with a null key are left out, missing values are skipped and
-    a group of only missing values sums to 0."""
+    a group of only missing values sums to 0. With ``decimals`` the sums are exact."""
     return (
         df.na.drop(subset=keys)
         .groupBy(*keys)
-        .agg(*[F.coalesce(F.sum(nan_safe(df, v)), F.lit(0)).alias(v) for v in values])
+        .agg(*[F.coalesce(_sum(df, v, decimals), F.lit(0)).alias(v) for v in values])
     )
 
 
+def _sum(df: DataFrame, column: str, decimals: int | None, over: WindowSpec | None = None) -> Column:
+    """Sum of a column of a monthly or annual table, in whole units when ``decimals`` is given."""
+    x = nan_safe(df, column)
+    total = F.sum(x if decimals is None else F.rint(x * 10**decimals).cast("bigint"))
+    total = total if over is None else total.over(over)
+    return total if decimals is None else total.cast("double") / 10**decimals
+
+
 def nan_safe(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType.typeName()
     c = F.col(f"`{column}`")
     return nan_to_null(c) if kind in ("double", "float") else c
 
 
-def annual_sum(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    return sum_by(df, [*keys, C.YEAR], values)
+def annual_sum(
+    df: DataFrame, keys: list[str], values: list[str], decimals: int | None = None
+) -> DataFrame:
+    return sum_by(df, [*keys, C.YEAR], values, decimals)
 
 
-def quarterly_sum(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    return sum_by(df, [*keys, C.YEAR, C.QUARTER], values)
+def quarterly_sum(
+    df: DataFrame, keys: list[str], values: list[str], decimals: int | None = None
+) -> DataFrame:
+    return sum_by(df, [*keys, C.YEAR, C.QUARTER], values, decimals)
 
 
 def quarters_with_year_total(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -95,12 +116,16 @@ def quarters_with_year_total(df: DataFrame, keys: list[str], value: str) -> Data
 
 
 def year_total(
-    df: DataFrame, keys: list[str], value: str = C.VALUE, name: str = C.TOTAL
+    df: DataFrame,
+    keys: list[str],
+    value: str = C.VALUE,
+    name: str = C.TOTAL,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Group total beside each row of a monthly table (at most twelve rows per group
     and source); null where a key is null."""
     w = Window.partitionBy(*keys, C.YEAR)
-    total = F.coalesce(F.sum(nan_safe(df, value)).over(w), F.lit(0.0))
+    total = F.coalesce(_sum(df, value, decimals, w), F.lit(0.0))
     known = F.lit(True)
     for k in (*keys, C.YEAR):
         known = known & F.col(k).isNotNull()
@@ -113,10 +138,12 @@ def group_total(df: DataFrame, keys: list[str], value: str, name: str) -> DataFr
     return lookup_join(df, sum_by(df, keys, [value]).withColumnRenamed(value, name), keys)
 
 
-def with_share(df: DataFrame, keys: list[str], value: str = C.VALUE) -> DataFrame:
+def with_share(
+    df: DataFrame, keys: list[str], value: str = C.VALUE, decimals: int | None = None
+) -> DataFrame:
     """Add the year total and the share of each month in it. ``keys`` must include the
     source when several sources are to be unioned, as shares are per source."""
-    return year_total(df, keys, value).withColumn(C.SHARE, ratio(F.col(value), F.col(C.TOTAL)))
+    return year_total(df, keys, value, decimals=decimals).withColumn(C.SHARE, ratio(F.col(value), F.col(C.TOTAL)))
 
 
 def seasonal_weights(df: DataFrame, keys: list[str], last_year: int | None = None) -> DataFrame:

@@ -105,6 +105,8 @@ def trend(
     for i, v in enumerate(values):
         value = F.col(f"slope__{i}") * F.col(C.YEAR) + F.col(f"intercept__{i}")
         if noise:
-            value = value + (F.rand(seed + i) * 2 - 1) * noise
+            # From the hash of the row, so that a task run twice adds the same noise.
+            unit = F.pmod(F.xxhash64(F.lit(seed + i), *keys, C.YEAR), F.lit(2**40)) / 2**40
+            value = value + (unit * 2 - 1) * noise
         out.append(value.alias(v))
     return future.select(*keys, C.YEAR, *out)
