@@ -99,4 +99,6 @@ def chunk_recursive(
             yield batch.map(lambda t: split_recursive(t, size, overlap) if t else [])
 
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(cut(F.col(text))).alias("chunk_no", "chunk"))
+    # Not deterministic for the optimizer: the explode would otherwise cut every text twice.
+    pieces = df.select(*keep, cut.asNondeterministic()(F.col(text)).alias("pieces__c"))
+    return pieces.select(*keep, F.posexplode("pieces__c").alias("chunk_no", "chunk"))

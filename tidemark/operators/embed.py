@@ -48,7 +48,11 @@ def hash_encoder(dim: int = 64) -> Encoder:
 
 
 def encode_column(text: Column, make_encoder: Callable[[], Encoder]) -> Column:
-    """Embedding of a text column. The encoder is built once per Python worker task."""
+    """Embedding of a text column. The encoder is built once per Python worker task.
+
+    Marked as not deterministic, else a filter on the result (which ``explode`` implies)
+    would be pushed below it and encode every text a second time.
+    """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -56,7 +60,7 @@ def encode_column(text: Column, make_encoder: Callable[[], Encoder]) -> Column:
         for batch in batches:
             yield pd.Series(list(encode(batch.fillna("").tolist())))
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def embed_text(
