@@ -223,7 +223,7 @@ def year_cutoff(spark, sf):
 
 @query("year_in", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) IN (1996, 1999)")
 def year_in(spark, sf):
-    return orders(spark, sf).where(F.year("o_orderdate").isin(1996, 1999)).select("o_orderkey")
+    return filters.date_year_in(orders(spark, sf), "o_orderdate", [1996, 1999]).select("o_orderkey")
 
 
 @query(

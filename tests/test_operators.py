@@ -124,6 +124,7 @@ def test_metadata_predicate(spark):
 def test_derived_k():
     assert filters.derived_k(years=(2010, 2014)) == 5
     assert filters.derived_k() == 20
+    assert filters.derived_k(years=(2010, 2014), k=3) == 3
     assert filters.derived_k(years=(2010, 2011), quarters=(1, 2)) == 5
 
 
@@ -210,17 +211,19 @@ def hot(spark, n=3000):
     return spark.range(n).select(key.alias("k"), ((F.col("id") * 7919) % 10007).alias("o"), "id")
 
 
-def test_spread_row_number_equals_row_number(spark):
+def test_spread_row_number_equals_row_number(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_BIN", 400)
     df = hot(spark)
     order = [F.col("o"), F.col("id")]
-    binned = ranking.with_quantile_bin(df, "o", 8, "bin")
+    binned = ranking.with_quantile_bin(df, "o", "bin")
     out = ranking.spread_row_number(binned, ["k"], order, F.col("bin"), "rn", total="n")
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
     assert rows(out, "k", "id", "rn") == rows(want, "k", "id", "rn")
     assert out.where("k = 'hot'").first()["n"] == 1000
 
 
-def test_row_ids(spark):
+def test_row_ids(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_BIN", 700)
     out = ranking.row_ids(hot(spark), "k", "id")
     got = [r["id"] for r in out.where("k = 'hot'").collect()]
     assert sorted(got) == sorted(f"hot-{i}" for i in range(1000))
@@ -257,3 +260,11 @@ def test_report_choice_and_periods(spark):
     df = df.withColumn("b", F.lit(1.0))
     assert reports.components(df, S, [C.VALUE, "b"], "b").columns == ["series", C.YEAR, "b"]
     assert reports.components(df, S, [C.VALUE, "b"], "Les deux").columns == ["series", C.YEAR, C.VALUE, "b"]
+
+
+def test_years_of_dates(spark):
+    df = spark.sql("SELECT explode(sequence(DATE'1995-12-31', DATE'1999-01-01', INTERVAL 1 DAY)) AS d")
+    assert filters.date_year_in(df, "d", [1996, 1998]).count() == 366 + 365
+    assert filters.date_year_in(df, "d", []).count() == 0
+    assert filters.date_years(df, "d", 1996, 1997).count() == 366 + 365
+    assert filters.date_years(df, "d", lo=1999).count() == 1

@@ -52,7 +52,7 @@ def clean_header(header: Column, full_names: bool = False) -> Column:
 
 def parse_month(text: Column) -> Column:
     """``Feb 2019`` to the first day of that month, null when it does not parse."""
-    return F.try_to_timestamp(text, F.lit("MMM yyyy")).cast("date")
+    return F.try_to_date(text, "MMM yyyy")
 
 
 def parse_year(text: Column) -> Column:

@@ -98,8 +98,12 @@ def derived_k(
     years: tuple[int, int] | None = None,
     specific_years: tuple[int, int] | None = None,
     quarters: tuple[int, int] | None = None,
+    k: int | None = None,
 ) -> int:
-    """Number of results: sum of the inclusive range widths, one more with quarters, else 20."""
+    """Number of results: a given ``k``, else the sum of the inclusive range widths, one
+    more with quarters, else 20."""
+    if k is not None:
+        return k
     k = sum(hi - lo + 1 for lo, hi in filter(None, (years, specific_years, quarters)))
     if quarters:
         k += 1
@@ -122,11 +126,24 @@ def total_or_zero(df: DataFrame, column: str) -> Column:
 
 
 
+def _new_year(df: DataFrame, date: str, year: int) -> Column:
+    return F.lit(f"{year}-01-01").cast(df.schema[date].dataType)
+
+
 def date_years(df: DataFrame, date: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """Inclusive year range on a raw date column, written on the column itself so that it
     reaches the scan; either side may be open."""
     if lo is not None:
-        df = df.where(F.col(date) >= F.lit(f"{lo}-01-01").cast(df.schema[date].dataType))
+        df = df.where(F.col(date) >= _new_year(df, date, lo))
     if hi is not None:
-        df = df.where(F.col(date) < F.lit(f"{hi + 1}-01-01").cast(df.schema[date].dataType))
+        df = df.where(F.col(date) < _new_year(df, date, hi + 1))
     return df
+
+
+def date_year_in(df: DataFrame, date: str, years: list[int]) -> DataFrame:
+    """Rows of the listed years, as date ranges that reach the scan."""
+    ranges = [
+        (F.col(date) >= _new_year(df, date, y)) & (F.col(date) < _new_year(df, date, y + 1))
+        for y in years
+    ]
+    return df.where(reduce(or_, ranges, F.lit(False)))

@@ -51,8 +51,6 @@ def fit_forest(
         maxDepth=depth,
         featureSubsetStrategy="all",
         seed=seed,
-        maxMemoryInMB=1024,
-        cacheNodeIds=False,
     ).fit(rows)
 
 

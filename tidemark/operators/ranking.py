@@ -6,6 +6,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_BIN = 500_000
+MAX_BINS = 10_000
+
 
 def spread_row_number(
     df: DataFrame,
@@ -41,26 +44,29 @@ def spread_row_number(
     )
 
 
-def with_quantile_bin(df: DataFrame, order_key: str, bins: int, name: str) -> DataFrame:
-    """Bin number of a numeric key: equal-count edges, found in one aggregate.
+def with_quantile_bin(df: DataFrame, order_key: str, name: str) -> DataFrame:
+    """Bin number of a numeric key: equal-count edges, about ``ROWS_PER_BIN`` rows a bin.
 
-    The edges become fixed parameters of the plan, so a recomputed task sees the same bins.
+    The edges come from two aggregates and become fixed parameters of the plan, so a
+    recomputed task sees the same bins.
     """
-    points = [i / bins for i in range(1, bins)]
-    edges = df.agg(
-        F.percentile_approx(F.col(order_key).cast("double"), points, 10_000)
-    ).first()[0]
-    splits = [float("-inf"), *sorted(set(edges or [0.0])), float("inf")]
+    bins = min(df.count() // ROWS_PER_BIN + 1, MAX_BINS)
+    edges = []
+    if bins > 1:
+        key = F.col(order_key).cast("double")
+        points = [i / bins for i in range(1, bins)]
+        edges = df.agg(F.percentile_approx(key, points, max(10_000, 4 * bins))).first()[0] or []
+    splits = [float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
     return Bucketizer(
         splits=splits, inputCol=f"{name}__d", outputCol=name, handleInvalid="keep"
     ).transform(df.withColumn(f"{name}__d", F.col(order_key).cast("double"))).drop(f"{name}__d")
 
 
 def row_ids(
-    df: DataFrame, source: str, order_key: str, name: str = "id", bins: int = 64
+    df: DataFrame, source: str, order_key: str, name: str = "id"
 ) -> DataFrame:
     """Ids ``source-i`` with ``i`` counting from 0 along ``order_key`` inside each source."""
-    binned = with_quantile_bin(df, order_key, bins, "row__bin")
+    binned = with_quantile_bin(df, order_key, "row__bin")
     ranked = spread_row_number(binned, [source], [F.col(order_key)], F.col("row__bin"), "row__rn")
     return ranked.withColumn(
         name, F.concat_ws("-", F.col(source), (F.col("row__rn") - 1).cast("string"))
@@ -96,7 +102,7 @@ def split_train_test(
     row_key: list[str],
     test_size: float = 0.2,
     seed: int = 42,
-    hash_digits: int = 2,
+    hash_digits: int = 3,
 ) -> DataFrame:
     """Add ``is_test``: exactly ``ceil(test_size * n)`` rows per series, by hash order.
 
