@@ -170,7 +170,7 @@ def brute(docs, questions):
     return sorted((q, r, i) for q, r, i, _ in out)
 
 
-@pytest.mark.parametrize("mode", ["matrix", "grid", "cells"])
+@pytest.mark.parametrize("mode", ["matrix", "grid", "cells", "cells-grid"])
 def test_knn_matches_brute_force(spark, monkeypatch, mode):
     """A third of the documents are copies of one vector, a third lies in one cell."""
     rng = np.random.default_rng(1)
@@ -180,10 +180,11 @@ def test_knn_matches_brute_force(spark, monkeypatch, mode):
     asked.append(("same", same, 30, [0, 1]))
     monkeypatch.setattr(retrieve, "DOC_BLOCK", 50)
     monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 4)
-    if mode == "grid":
+    monkeypatch.setattr(retrieve, "SCORE_CELLS", 130)
+    if mode.endswith("grid"):
         monkeypatch.setattr(retrieve, "MATRIX_ROWS", 3)
     d = spark.createDataFrame(docs, "id long, vector array<double>, cell int")
-    if mode == "cells":
+    if mode.startswith("cells"):
         q = spark.createDataFrame(asked, "qid string, vector array<double>, k int, cells array<int>").select(
             "qid", "vector", "k", F.explode("cells").alias("cell")
         )

@@ -15,10 +15,12 @@ from tidemark.operators.ranking import top_k
 from tidemark.session import materialise
 
 # Largest question matrix that is sent to every task: rows, and bytes of float64.
-MATRIX_ROWS = 4096
+MATRIX_ROWS = 8192
 MATRIX_BYTES = 64 * 1024 * 1024
 DOC_BLOCK = 20_000
 QUESTION_BLOCK = 2_000
+# Scores held at a time by one task.
+SCORE_CELLS = 4_000_000
 _SCORE_DECIMALS = 9
 
 
@@ -44,22 +46,18 @@ def _score_block(
     qids: np.ndarray, ks: np.ndarray, q: np.ndarray, ids: np.ndarray, d: np.ndarray
 ) -> pd.DataFrame:
     """The ``k`` best documents of this block for each question; never all pairs."""
-    scores = np.round(q @ d.T, _SCORE_DECIMALS) + 0.0
     out_q, out_i, out_s, out_k = [], [], [], []
-    for row in range(len(qids)):
-        best = _best(scores[row], ids, int(ks[row]))
-        out_q.append(np.repeat(qids[row], len(best)))
-        out_k.append(np.repeat(ks[row], len(best)))
-        out_i.append(ids[best])
-        out_s.append(scores[row, best])
-    return pd.DataFrame(
-        {
-            "qid": np.concatenate(out_q) if out_q else [],
-            "k": np.concatenate(out_k) if out_k else [],
-            "id": np.concatenate(out_i) if out_i else [],
-            "score": np.concatenate(out_s) if out_s else [],
-        }
-    )
+    step = max(1, SCORE_CELLS // max(len(ids), 1))
+    for start in range(0, len(qids) if len(ids) else 0, step):
+        scores = np.round(q[start : start + step] @ d.T, _SCORE_DECIMALS) + 0.0
+        for row, found in enumerate(scores, start):
+            best = _best(found, ids, int(ks[row]))
+            out_q.append(np.repeat(qids[row], len(best)))
+            out_k.append(np.repeat(ks[row], len(best)))
+            out_i.append(ids[best])
+            out_s.append(found[best])
+    parts = {"qid": out_q, "k": out_k, "id": out_i, "score": out_s}
+    return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in parts.items()})
 
 
 def _final(hits: DataFrame) -> DataFrame:
@@ -82,46 +80,60 @@ def knn(
     the documents whose ``on`` columns are equal and may have several ``on`` rows. Scores
     are rounded to nine decimals so that copies tie; ties go to the smaller id.
 
-    Without ``on``, a question table of checked size goes to every task as one matrix and
-    the documents are scored where they are read. Otherwise, or beyond that size,
-    documents and questions meet in a grid of blocks (see ``_knn_grid``).
+    A question table of checked size goes to every task as one matrix and the documents are
+    scored where they are read. Beyond that size documents and questions meet in a grid of
+    blocks (see ``_knn_grid``).
     """
+    on = on or []
+    small = _small_matrix(questions, on, cosine)
+    if small is not None:
+        return _final(_knn_matrix(docs, questions, on, *small, cosine=cosine))
     if not on:
-        matrix = _small_matrix(questions, cosine)
-        if matrix is not None:
-            return _final(_knn_matrix(docs, questions, *matrix, cosine=cosine))
-        docs, questions, on = (
-            docs.withColumn("cell__v", F.lit(0)),
-            questions.withColumn("cell__v", F.lit(0)),
-            ["cell__v"],
-        )
+        on = ["cell__v"]
+        docs, questions = (df.withColumn("cell__v", F.lit(0)) for df in (docs, questions))
     return _final(_knn_grid(docs, questions, on, cosine))
 
 
-def _small_matrix(questions: DataFrame, cosine: bool):
-    """Questions as arrays, or ``None`` when they exceed the limit."""
-    pdf = questions.select("qid", "k", "vector").limit(MATRIX_ROWS + 1).toPandas()
+def _small_matrix(questions: DataFrame, on: list[str], cosine: bool):
+    """Questions as arrays with their rows per cell, or ``None`` beyond the limit."""
+    pdf = questions.select("qid", "k", "vector", *on).limit(MATRIX_ROWS + 1).toPandas()
     if len(pdf) > MATRIX_ROWS:
         return None
     q = _unit(list(pdf["vector"]), cosine)
-    return (pdf["qid"].to_numpy(), pdf["k"].to_numpy(), q) if q.nbytes <= MATRIX_BYTES else None
+    if q.nbytes > MATRIX_BYTES:
+        return None
+    rows: dict[tuple, list[int]] = {}
+    for i, cell in enumerate(pdf[on].itertuples(index=False, name=None) if on else [()] * len(pdf)):
+        rows.setdefault(tuple(cell), []).append(i)
+    return pdf["qid"].to_numpy(), pdf["k"].to_numpy(), q, rows
+
 
+def _knn_matrix(docs, questions, on, qids, ks, q, rows, cosine) -> DataFrame:
+    def cells(pdf: pd.DataFrame):
+        if not on:
+            return [((), pdf)]
+        groups = pdf.groupby(on, sort=False)
+        return ((cell if isinstance(cell, tuple) else (cell,), part) for cell, part in groups)
 
-def _knn_matrix(docs, questions, qids, ks, q, cosine) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:
-            if not len(pdf) or not len(qids):
-                continue
-            hits = _score_block(qids, ks, q, pdf["id"].to_numpy(), _unit(list(pdf["vector"]), cosine))
-            held = hits if held is None else pd.concat([held, hits])
-            # A task keeps k rows per question, not k per batch.
-            held = held.sort_values(["qid", "score", "id"], ascending=[True, False, True])
-            held = held[held.groupby("qid").cumcount() < held["k"]]
+            found = [] if held is None else [held]
+            for cell, part in cells(pdf):
+                at = rows.get(cell)
+                if at and len(part):
+                    d = _unit(list(part["vector"]), cosine)
+                    found.append(_score_block(qids[at], ks[at], q[at], part["id"].to_numpy(), d))
+            if found:
+                # A task keeps k rows per question, not k per batch.
+                held = pd.concat(found).sort_values(
+                    ["qid", "score", "id"], ascending=[True, False, True]
+                )
+                held = held[held.groupby("qid").cumcount() < held["k"]]
         if held is not None:
             yield held
 
-    return docs.select("id", "vector").mapInPandas(score, _hit_schema(docs, questions))
+    return docs.select("id", "vector", *on).mapInPandas(score, _hit_schema(docs, questions))
 
 
 def _hit_schema(docs: DataFrame, questions: DataFrame) -> str:
