@@ -220,3 +220,22 @@ def test_shared_folder(spark):
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
     df = materialise(spark.range(3), "t")
     assert df.count() == 3
+
+
+def test_python_functions_travel_with_their_code():
+    """Executors need not have the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = (
+        "import sys; from pyspark import cloudpickle;"
+        "f, g = cloudpickle.loads(sys.stdin.buffer.read());"
+        "print(f()(['a b']).shape[1], g('a b c', 3, 0), 'tidemark' in sys.modules)"
+    )
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd="/", capture_output=True, check=True,
+        input=cloudpickle.dumps((embed.hash_encoder, chunks.split_recursive)),
+    )
+    assert out.stdout.decode().strip() == "64 ['a b', 'c'] False"
