@@ -32,9 +32,8 @@ def parse_int_list(text: Column) -> Column:
 
 
 def align(values: Column, n: Column) -> Column:
-    """Pad with nulls or cut an array to length ``n``."""
-    missing = F.greatest(n - F.size(values), F.lit(0))
-    return F.slice(F.concat(values, F.array_repeat(F.lit(None), missing)), 1, n)
+    """Pad with nulls or cut an array to length ``n``; the array is evaluated once."""
+    return F.slice(F.concat(values, F.array_repeat(F.lit(None), n)), 1, n)
 
 
 def sentence(schema: T.StructType, name: str, year: str = C.YEAR) -> Column:

@@ -37,10 +37,12 @@ def chunk_fixed(
         ),
     )
     keep = [c for c in df.columns if c != text]
+    # A text that is not empty has a chunk, so the outer form adds no row; the plain form
+    # would add a filter on the number of chunks and cut every text twice for it.
     return (
         df.where(F.length(text) > 0)
         .withColumn("pieces__c", pieces)
-        .select(*keep, F.posexplode(chunks).alias("chunk_no", "chunk"))
+        .select(*keep, F.posexplode_outer(chunks).alias("chunk_no", "chunk"))
     )
 
 

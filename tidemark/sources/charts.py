@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +18,7 @@ def script_text(html: Column, markers: tuple[str, ...] = C.CHART_MARKERS) -> Col
     bodies = F.regexp_extract_all(html, F.lit(C.SCRIPT_PATTERN), F.lit(1))
 
     def wanted(body: Column) -> Column:
-        hit = F.lit(False)
-        for m in markers:
-            hit = hit | F.contains(body, F.lit(m))
-        return hit
+        return reduce(or_, [F.contains(body, F.lit(m)) for m in markers])
 
     return F.array_join(F.filter(bodies, wanted), "")
 
@@ -49,14 +49,15 @@ def extract_series(
         ),
     )
     values = F.transform(F.split(F.col("set__c.data"), ","), lambda t: token_value(strip(t)))
+    sets = F.when(F.size("named__c") > 0, F.col("named__c")).otherwise(plain)
+    # Pages without a marker, nearly all, are left out before any pattern is tried.
+    marked = reduce(or_, [F.contains(F.col(html), F.lit(m)) for m in markers])
     return (
-        pages.select(*keys, script_text(F.col(html), markers).alias("js__c"))
+        pages.where(marked)
+        .select(*keys, script_text(F.col(html), markers).alias("js__c"))
         .where(F.col("js__c").rlike(C.LABELS_PATTERN))
-        .select(
-            *keys,
-            labels.alias("labels__c"),
-            F.explode(F.when(F.size(named) > 0, named).otherwise(plain)).alias("set__c"),
-        )
+        .select(*keys, "js__c", labels.alias("labels__c"), named.alias("named__c"))
+        .select(*keys, "labels__c", F.explode(sets).alias("set__c"))
         .select(
             *keys,
             F.col("set__c.name").alias(C.YEAR),
