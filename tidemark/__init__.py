@@ -1,7 +1,7 @@
 """Seasonal analytics on Spark: many keyed monthly series, one DataFrame API.
 
-Every operator takes and returns lazy DataFrames and is keyed by one or more
-series columns, so the single-series case is simply the one-key case.
+Every operator takes and returns DataFrames and is keyed by one or more series
+columns, so the single-series case is simply the one-key case.
 """
 
 import sys
