@@ -634,21 +634,22 @@ def union_missing(spark, sf):
     return rows.unionByName(totals, allowMissingColumns=True)
 
 
+# Seven years of whole cents give multiples of 1/2800: four decimals never sit on a tie.
 _TREND = f"""SELECT series, CAST(y AS INTEGER) AS {Y}, slope * y + intercept AS v FROM (
     SELECT series, regr_slope({V}, {Y}) AS slope, regr_intercept({V}, {Y}) AS intercept,
         unnest(generate_series(max({Y}) + 1, max({Y}) + 4)) AS y FROM annual GROUP BY 1)"""
 
 
-@query("trend_extrapolate", sql(f"SELECT series, {Y}, round(v, 3) AS {V} FROM ({_TREND})", "annual"))
+@query("trend_extrapolate", sql(f"SELECT series, {Y}, round(v, 4) AS {V} FROM ({_TREND})", "annual"))
 def trend_extrapolate(spark, sf):
-    return rounded(stats.trend(annual(spark, sf), KEYS, [C.VALUE], 4, noise=0), 3, C.VALUE)
+    return rounded(stats.trend(annual(spark, sf), KEYS, [C.VALUE], 4, noise=0), 4, C.VALUE)
 
 
 @query(
     "history_future",
     sql(
-        f"""SELECT series, {Y}, round({V}, 2) AS {V}, round({V}, 3) AS fitted FROM annual
-        UNION ALL SELECT series, {Y}, NULL, round(v, 3) FROM ({_TREND})""",
+        f"""SELECT series, {Y}, round({V}, 2) AS {V}, round({V}, 4) AS fitted FROM annual
+        UNION ALL SELECT series, {Y}, NULL, round(v, 4) FROM ({_TREND})""",
         "annual",
     ),
 )
@@ -656,7 +657,7 @@ def history_future(spark, sf):
     past = annual(spark, sf).withColumn("fitted", F.col(C.VALUE))
     future = stats.trend(past, KEYS, [C.VALUE], 4, noise=0).withColumnRenamed(C.VALUE, "fitted")
     out = mon.history_and_future(past, future, KEYS, C.VALUE, "fitted")
-    return rounded(rounded(out, 2, C.VALUE), 3, "fitted")
+    return rounded(rounded(out, 2, C.VALUE), 4, "fitted")
 
 
 @query(

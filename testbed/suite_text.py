@@ -97,7 +97,7 @@ def embed(spark, sf):
 def _documents(spark, sf):
     """(id, Année, type, text): monthly rows, arrivals trend and annual balances."""
     arrivals = trend(annual(spark, sf), KEYS, [C.VALUE], 4, noise=0).withColumn(
-        C.VALUE, F.round(C.VALUE, 3)
+        C.VALUE, F.round(C.VALUE, 4)
     )
     balances = with_balance(indicators(spark, sf)).select(
         F.concat(F.lit("solde-"), F.col(C.YEAR).cast("string")).alias("key"),
@@ -146,7 +146,7 @@ _ARR_DOC = _doc_sql(
 @query(
     "rag_prompts",
     sql(
-        f"""WITH tr AS (SELECT series, CAST(y AS INTEGER) AS {Y}, round(slope * y + intercept, 3) AS {V} FROM (
+        f"""WITH tr AS (SELECT series, CAST(y AS INTEGER) AS {Y}, round(slope * y + intercept, 4) AS {V} FROM (
             SELECT series, regr_slope({V}, {Y}) AS slope, regr_intercept({V}, {Y}) AS intercept,
                 unnest(generate_series(max({Y}) + 1, max({Y}) + 4)) AS y FROM annual GROUP BY 1)),
         docs AS (SELECT 'wbdata-' || series || '-' || {D} AS id, {Y} AS y, 'global' AS type, {_KEYED_DOC} AS text FROM filt
