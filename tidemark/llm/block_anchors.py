@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.exchange import bucket_of, cuts, layout
+from tidemark.llm.exchange import bucket_of, by_bucket, cuts, gathered, hash_range, layout, none
 
 BLOCK, WINDOW = 7, 13
 LAST = np.iinfo(np.int64).max
@@ -28,10 +28,6 @@ FOUND = "r int, b int, hi binary, lo binary, doc binary"
 SHARED = "b int, hi binary, lo binary"
 
 
-def _range(top32: np.ndarray, ranges: int) -> np.ndarray:
-    return ((top32 * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
-
-
 def _ids(table: pa.Table) -> np.ndarray:
     ids = table.column("doc_id").combine_chunks()
     return ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -54,10 +50,6 @@ def _spread(size: int, at: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _none(*names: str) -> pa.Table:
-    return pa.table({n: pa.array([], pa.int32() if n in "rb" else pa.binary()) for n in names})
-
-
 def _probe(block: int, ranges: int):
     """Of one bucket, the distinct window hashes: whether indexed, whether in two documents."""
 
@@ -76,11 +68,11 @@ def _probe(block: int, ranges: int):
         runs = cuts(keys)
         at = runs[:-1]
         if not len(at):
-            return _none("r", "b", "keys", "flags")
+            return none("r", "b", "keys", "flags")
         indexed = np.logical_or.reduceat(flags, at)
         several = docs[runs[1:] - 1] != docs[at]
         keys = keys[at]
-        r = _range(keys >> np.uint64(16), ranges)
+        r = hash_range(keys >> np.uint64(16), ranges)
         ends = cuts(r)
         mark = indexed.astype(np.uint8) | several.astype(np.uint8) << 1
         pieces = list(zip(ends[:-1], ends[1:]))
@@ -94,38 +86,16 @@ def _probe(block: int, ranges: int):
     return run
 
 
-def _gathered(table: pa.Table, widths: dict[str, int]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Buckets and unpacked values of the packed rows of one range."""
-    out, sizes = [], None
-    for name, width in widths.items():
-        parts = [W.from_planes(x, width) for x in table.column(name).to_pylist()]
-        sizes = [len(x) for x in parts]
-        out.append(np.concatenate(parts))
-    return np.repeat(table.column("b").to_numpy(), sizes), out
-
-
-def _by_bucket(buckets: np.ndarray, columns: dict[str, tuple[np.ndarray, int]]) -> pa.Table:
-    order = np.argsort(buckets, kind="stable")
-    buckets = buckets[order]
-    ends = cuts(buckets)
-    pieces = list(zip(ends[:-1], ends[1:]))
-    data = {"b": pa.array(buckets[ends[:-1]], pa.int32())}
-    for name, (values, width) in columns.items():
-        values = values[order]
-        data[name] = pa.array([W.planes(values[i:j], width) for i, j in pieces], pa.binary())
-    return pa.table(data)
-
-
 def _hits(table):
     """Of one range, the indexed hashes that two documents hold, for each bucket that has them."""
-    b, (keys, flags) = _gathered(table, {"keys": 6, "flags": 1})
+    b, (keys, flags) = gathered(table, {"keys": 6, "flags": 1})
     order = np.argsort(keys, kind="stable")
     b, keys, flags = b[order], keys[order], flags[order].astype(np.uint8)
     runs = cuts(keys)
     any_of = np.bitwise_or.reduceat(flags, runs[:-1])
     size = np.diff(runs)
     hit = np.repeat((any_of & 1 > 0) & ((size > 1) | (any_of & 2 > 0)), size)
-    return _by_bucket(b[hit], {"keys": (keys[hit], 6)})
+    return by_bucket(b[hit], {"keys": (keys[hit], 6)})
 
 
 def _window_hashes(w: W.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,14 +119,14 @@ def _extend(block: int, window: int, ranges: int):
                 found.append((hi[at], lo[at], ids[w.doc[at] + row]))
             row += part.num_rows
         if not found:
-            return _none("r", "b", "hi", "lo", "doc")
+            return none("r", "b", "hi", "lo", "doc")
         hi, lo, doc = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((doc, lo, hi))
         hi, lo, doc = hi[order], lo[order], doc[order]
         new = np.ones(len(hi), bool)
         new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
         hi, lo, doc = hi[new], lo[new], doc[new].view(np.uint64)
-        r = _range(hi >> np.uint64(32), ranges)
+        r = hash_range(hi >> np.uint64(32), ranges)
         ends = cuts(r)
         pieces = list(zip(ends[:-1], ends[1:]))
         return pa.table({
@@ -170,7 +140,7 @@ def _extend(block: int, window: int, ranges: int):
 
 def _shared(table):
     """Of one range, the windows that start in a document before all of a bucket's own."""
-    b, (hi, lo, doc) = _gathered(table, {"hi": 8, "lo": 2, "doc": 8})
+    b, (hi, lo, doc) = gathered(table, {"hi": 8, "lo": 2, "doc": 8})
     doc = doc.view(np.int64)
     order = np.lexsort((doc, lo, hi))
     b, hi, lo, doc = b[order], hi[order], lo[order], doc[order]
@@ -178,7 +148,7 @@ def _shared(table):
     new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
     first = doc[new]
     later = doc > np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(new))))
-    return _by_bucket(b[later], {"hi": (hi[later], 8), "lo": (lo[later], 2)})
+    return by_bucket(b[later], {"hi": (hi[later], 8), "lo": (lo[later], 2)})
 
 
 def _keep(window: int, schema: pa.Schema):

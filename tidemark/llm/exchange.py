@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import from_planes, planes
+
 #: Texts of a bucket and hashes of a range stay between these bounds; up to the upper one both
 #: grow with the input, so that the number of packed arrays grows more slowly than its square.
 BUCKET_BYTES = (128 << 10, 16 << 20)
@@ -40,12 +42,6 @@ def bucket_of(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(71)), F.lit(n)).cast("int")
 
 
-def dealt(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted 64-bit hashes: the range of each, ascending. Ranges are equal parts of the hash space."""
-    top = (hashes >> np.uint64(32)).astype(np.uint64)
-    return (top * np.uint64(ranges) >> np.uint64(32)).astype(np.int32), hashes
-
-
 def cuts(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin, and the end."""
     if not len(keys):
@@ -53,5 +49,31 @@ def cuts(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def table(**columns) -> pa.Table:
-    return pa.table(columns)
+def hash_range(top32: np.ndarray, ranges: int) -> np.ndarray:
+    return ((top32 * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+
+
+def none(*names: str) -> pa.Table:
+    return pa.table({n: pa.array([], pa.int32() if n in "rb" else pa.binary()) for n in names})
+
+
+def gathered(table: pa.Table, widths: dict[str, int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Buckets and unpacked values of the packed rows of one range."""
+    out, sizes = [], None
+    for name, width in widths.items():
+        parts = [from_planes(x, width) for x in table.column(name).to_pylist()]
+        sizes = [len(x) for x in parts]
+        out.append(np.concatenate(parts))
+    return np.repeat(table.column("b").to_numpy(), sizes), out
+
+
+def by_bucket(buckets: np.ndarray, columns: dict[str, tuple[np.ndarray, int]]) -> pa.Table:
+    order = np.argsort(buckets, kind="stable")
+    buckets = buckets[order]
+    ends = cuts(buckets)
+    pieces = list(zip(ends[:-1], ends[1:]))
+    data = {"b": pa.array(buckets[ends[:-1]], pa.int32())}
+    for name, (values, width) in columns.items():
+        values = values[order]
+        data[name] = pa.array([planes(values[i:j], width) for i, j in pieces], pa.binary())
+    return pa.table(data)
