@@ -27,7 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), g AS (
   SELECT doc_id, unnest(range(1, len(words) - 11)) AS p, words FROM w WHERE len(words) >= 13
@@ -36,10 +36,10 @@ WITH w AS (
 ), hit AS (
   SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY gram) AS first FROM h) WHERE first < doc_id
 ), gone AS (
-  SELECT doc_id, list(DISTINCT q) AS at FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM hit) GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT q) AS places FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM hit) GROUP BY doc_id
 ), k AS (
-  SELECT w.doc_id, len(words) AS n_words, coalesce(len(at), 0) AS n_removed,
-    CASE WHEN at IS NULL THEN words ELSE list_filter(words, (x, i) -> NOT list_contains(at, i)) END AS kept
+  SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+    CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END AS kept
   FROM w LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
@@ -57,19 +57,19 @@ def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[]
     WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS gram
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS gram
   FROM w
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), o AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)
 ), reach(a, b) AS (
   SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 )
@@ -83,3 +83,53 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.prefix_join import linked_documents
 
     return linked_documents(documents(spark, sf_dir))
+
+
+@query()
+def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.window_packing import packed_pieces
+
+    pieces = packed_pieces(documents(spark, sf_dir))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query()
+def op3_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_spans import section_tokens
+
+    return section_tokens(documents(spark, sf_dir))
+
+
+@query()
+def op2_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vector_shards import sharded
+
+    return sharded(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens"
+    )
+
+
+@query()
+def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.labelled import held_out
+    from tidemark.llm.quality_ftrl import scored, train
+
+    docs = documents(spark, sf_dir)
+    out = scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query()
+def op9_toxic_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.labelled import held_out
+    from tidemark.llm.toxic_gru import scored, train
+
+    docs = documents(spark, sf_dir)
+    out = scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"),
+        F.when(F.col("toxic_score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
