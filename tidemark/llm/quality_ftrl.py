@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.labelled import sample
 
-BITS, PER_CLASS, EPOCHS = 18, 4000, 2
+BITS, PER_CLASS, STEPS = 18, 4000, 16000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 
 # Classes of bytes for the shape of a word: every byte that no class holds is its own.
@@ -69,12 +69,12 @@ def features(texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (keys & np.uint64((1 << bits) - 1)).astype(np.int64), values, np.searchsorted(doc, np.arange(n + 1))
 
 
-def fit(texts, y: np.ndarray, share: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+def fit(texts, y: np.ndarray, share: np.ndarray, bits: int = BITS, steps: int = STEPS) -> np.ndarray:
     """Weights, and the bias at the end."""
     size = 1 << bits
     z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     at, values, bounds = features(texts, bits)
-    for epoch in range(epochs):
+    for epoch in range(-(-steps // max(len(y), 1))):
         for i in np.random.default_rng(epoch).permutation(len(y)):
             lo, hi = bounds[i], bounds[i + 1]
             idx = np.append(at[lo:hi], size)
@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         w = fit(table.column("text"), table.column("y").to_numpy(), table.column("share").to_numpy())
         return pa.table({"model": pa.array([w.tobytes()], pa.binary())})
 
-    rows = sample(docs, labels, label, per_class).groupBy(F.lit(0)).applyInArrow(run, "model binary").collect()
+    rows = sample(docs, labels, label, per_class).groupBy().applyInArrow(run, "model binary").collect()
     return np.frombuffer(rows[0][0], np.float32) if rows else np.zeros((1 << BITS) + 1, np.float32)
 
 

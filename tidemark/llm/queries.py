@@ -133,3 +133,34 @@ def op9_toxic_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"),
         F.when(F.col("toxic_score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query()
+def op4_raking_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.raking import mixed
+
+    return mixed(documents(spark, sf_dir))
+
+
+@query()
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import simhash as S
+
+    prints = S.edited_fingerprints(documents(spark, sf_dir))
+    own = prints.groupBy(F.col("doc_id").alias("next_id")).agg(F.first("f1").alias("n1"), F.first("f2").alias("n2"))
+    asked = prints.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), "f1", "f2")
+    within = S.within_radius(asked, prints.select("f1", "f2")).withColumnRenamed("q", "doc_id")
+    return prints.join(own, "next_id", "left").join(within, "doc_id", "left").select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        S.text_of("f1", "f2").alias("fingerprint"), S.text_of("e1", "e2").alias("edited_fingerprint"),
+        S.likeness(S.differing(("f1", "f2"), ("e1", "e2"))).alias("near_edited"),
+        S.likeness(S.differing(("f1", "f2"), ("n1", "n2"))).alias("near_next"),
+        (F.col("n_within") - 1).alias("n_within"),
+    )
+
+
+@query()
+def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence_rules import judged
+
+    return judged(documents(spark, sf_dir))

@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         model = fit(table.column("text"), table.column("y").to_numpy(), table.column("share").to_numpy())
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    rows = sample(docs, labels, label, per_class, TRAIN_BYTES).groupBy(F.lit(0)).applyInArrow(run, "model binary").collect()
+    rows = sample(docs, labels, label, per_class, TRAIN_BYTES).groupBy().applyInArrow(run, "model binary").collect()
     return pickle.loads(rows[0][0]) if rows else fit(pa.array([], pa.string()), np.zeros(0), np.zeros(0))
 
 
