@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on: runtime re-planning, skew splitting of joins
 # and rebalanced writes, and one time zone for all calendar arithmetic.
@@ -28,39 +26,65 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-@lru_cache(maxsize=1)
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_root()
+    """The folder of this run that all executors see: under ``spark.checkpoint.dir``, or under the
+    warehouse where that is not set. It is removed by ``close_session``, or else when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    run = f"{root.rstrip('/')}/_tidemark-{spark.sparkContext.applicationId}"
+    path, files = _files(spark, run)
+    files.deleteOnExit(path)
+    return run
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path under the shared folder for one written table."""
-    return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, files = _files(spark, path)
+    files.delete(where, True)
 
 
-def materialise(df, tag: str):
+def close_session(spark: SparkSession) -> None:
+    """Remove what this run has written as intermediates, then stop."""
+    remove(spark, shared_root(spark))
+    spark.stop()
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage
     that survives executor loss and carries exact file statistics."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, tag)
+
+
+class Scratch:
+    """Written intermediates of one operator, which it removes when none of its results reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """As ``materialise``. An earlier table of the same tag stays until ``drop``."""
+        path = shared_dir(self.spark, tag)
+        self.paths[path] = tag
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *keep: str) -> None:
+        """Remove all tables but those of the tags in ``keep``."""
+        for path in [p for p, tag in self.paths.items() if tag not in keep]:
+            remove(self.spark, path)
+            del self.paths[path]
 
 
-def spread_scan(df):
+def spread_scan(df: DataFrame) -> DataFrame:
     """For a plain scan before costly Python work: rows of a few files are spread over all
     cores. A scan that has a partition per core already is left as it is, without shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
