@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +152,7 @@ def _shared(table):
     return by_bucket(b[later], {"hi": (hi[later], 8), "lo": (lo[later], 2)})
 
 
-def _keep(window: int, schema: pa.Schema):
+def _keep(window: int, schema: pa.Schema, untouched: bool):
     """Of one bucket, each document without the words that a repeat covers."""
 
     def run(table, replies):
@@ -180,13 +181,13 @@ def _keep(window: int, schema: pa.Schema):
         for part, w, at, *_ in parts:
             removed = _spread(len(w.starts), at[seen[done : done + len(at)]], 0, window - 1)
             done += len(at)
-            out.append(_without(part, w, removed).select(schema.names).cast(schema))
+            out.append(_without(part, w, removed, untouched).select(schema.names).cast(schema))
         return pa.concat_tables(out)
 
     return run
 
 
-def _without(part: pa.Table, w: W.Words, removed: np.ndarray) -> pa.Table:
+def _without(part: pa.Table, w: W.Words, removed: np.ndarray, untouched: bool) -> pa.Table:
     n = part.num_rows
     kept = np.flatnonzero(~removed)
     step = np.zeros(len(w.data) + 2, np.int8)
@@ -201,18 +202,24 @@ def _without(part: pa.Table, w: W.Words, removed: np.ndarray) -> pa.Table:
     sizes -= sizes > 0
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[inside])))
-    return (
-        part.append_column("kept_text", texts)
-        .append_column("n_words", pa.array(np.diff(w.first).astype(np.int64)))
-        .append_column("n_removed", pa.array(np.bincount(w.doc[removed], minlength=n).astype(np.int64)))
-    )
+    gone = pa.array(np.bincount(w.doc[removed], minlength=n).astype(np.int64))
+    if untouched:
+        texts = pc.if_else(pc.equal(gone, 0), part.column("text").cast(pa.large_string()), texts)
+    columns = {"kept_text": texts, "n_words": pa.array(np.diff(w.first).astype(np.int64)), "n_removed": gone}
+    for name, column in columns.items():
+        part = part.append_column(name, column)
+    return part
 
 
 def without_repeats(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block: int = BLOCK, window: int = WINDOW
+    docs: DataFrame, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block: int = BLOCK,
+    window: int = WINDOW, untouched: bool = False,
 ) -> DataFrame:
     """``doc_id``, ``kept_text`` (the kept words joined by one space), ``n_words``, ``n_removed`` and the
-    columns in ``carry``: each document without the words of repeats from smaller documents."""
+    columns in ``carry``: each document without the words of repeats from smaller documents.
+
+    ``untouched`` leaves texts without repeats as they are, white space and nulls included.
+    Carried columns may have any name but those of the result."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block at any offset")
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -233,5 +240,5 @@ def without_repeats(
     schema = to_arrow_schema(shape.schema)
     schema = pa.schema([pa.field(f.name, f.type) for f in schema])
     spark_schema = ", ".join(f"`{n}` {t}" for n, t in shape.dtypes)
-    out = texts.cogroup(shared.groupBy("b")).applyInArrow(_keep(window, schema), spark_schema)
+    out = texts.cogroup(shared.groupBy("b")).applyInArrow(_keep(window, schema, untouched), spark_schema)
     return out.withColumnsRenamed({f"carry_{c}": c for c in carry})

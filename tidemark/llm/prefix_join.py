@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.components import components
 from tidemark.llm.exchange import bucket_of, by_bucket, cuts, gathered, hash_range, layout, none
-from tidemark.session import materialise
+from tidemark.session import Scratch
 
 SHINGLE = 5
 ROUNDS = 2
@@ -152,31 +152,32 @@ def _may_link(n, i, m, j):
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - i, m - j) >= 3 * (n + m))
 
 
-def _links(sets: DataFrame) -> DataFrame:
+def _links(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links enough to connect all classes that any links connect."""
-    members = materialise(sets.select("gid", F.col("doc_id").alias("member")), "members")
+    members = scratch.write(sets.select("gid", F.col("doc_id").alias("member")), "members")
     groups = members.groupBy("gid").agg(F.min("member").alias("head"), F.count("*").alias("size"))
     kinds = sets.groupBy("gid").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("prefix").alias("prefix"))
-    places = materialise(
+    places = scratch.write(
         kinds.join(groups, "gid").select("gid", "head", "n", "c", F.posexplode("prefix").alias("at", "token"))
         .select("token", "gid", "head", "n", "c", (F.col("n") - F.col("c") + F.col("at")).alias("i")),
         "places",
     )
-    heads = materialise(groups.where("size > 1"), "heads")
+    heads = scratch.write(groups.where("size > 1"), "heads")
     inner = members.join(heads, "gid").where("member <> head").select(F.col("head").alias("a"), F.col("member").alias("b"))
     links, labels, open_places = None, None, places
     for turn in range(ROUNDS):
         # The class with the smallest share of shingles of its own is likest to the others.
         rank = (F.col("n") - F.col("c")) / F.col("n") if turn == 0 else F.xxhash64("gid", F.lit(turn)).cast("double")
         pivots = open_places.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "head", "gid", "n", "i")).alias("p"))
+        pivots = scratch.write(pivots, "pivots")  # so that both sides of the join are shuffled, and a hot shingle split
         near = open_places.join(pivots, "token").where(F.col("gid") != F.col("p.gid"))
         near = near.where(_may_link(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i")))
         near = near.select(F.col("p.head").alias("a"), "gid").distinct()
         pairs = near.join(members, "gid").select("a", F.col("member").alias("b"))
         if turn == 0:
             pairs = pairs.union(inner)
-        links, labels = _more_links(pairs, links, sets)
-        open_places = _open(places, members, labels)
+        links, labels = _more_links(pairs, links, sets, scratch)
+        open_places = _open(places, members, labels, scratch)
         if open_places.isEmpty():
             return links
     other = open_places.select("token", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "i", "low", "high")])
@@ -186,7 +187,7 @@ def _links(sets: DataFrame) -> DataFrame:
     ours = labelled.select("gid", F.col("member").alias("a"), F.col("component").alias("ca"))
     theirs = labelled.select(F.col("gid").alias("gid2"), F.col("member").alias("b"), F.col("component").alias("cb"))
     pairs = near.join(ours, "gid").join(theirs, "gid2").where("ca <> cb").select("a", "b")
-    return _more_links(pairs, links, sets)[0]
+    return _more_links(pairs, links, sets, scratch)[0]
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,40 +195,41 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.withColumn("component", F.coalesce("component", "member"))
 
 
-def _more_links(pairs: DataFrame, links: DataFrame | None, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _more_links(pairs: DataFrame, links: DataFrame | None, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     found = _verified(pairs.distinct(), sets)
-    links = materialise(found if links is None else links.union(found), "links")
-    return links, components(links)
+    links = scratch.write(found if links is None else links.union(found), "links")
+    return links, components(links, scratch=scratch)
 
 
-def _open(places: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(places: DataFrame, members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Places of shingles whose groups are not all in one component, with the components of the group."""
     span = _labelled(members, labels).groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    known = places.join(materialise(span, "span"), "gid")
+    known = places.join(scratch.write(span, "span"), "gid")
     mixed = known.groupBy("token").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).where("lo <> hi").select("token")
-    return materialise(known.join(materialise(mixed, "mixed"), "token"), "open")
+    return scratch.write(known.join(scratch.write(mixed, "mixed"), "token"), "open")
 
 
 def linked_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links) of each row."""
-    lay = layout(docs, text)
+    lay, scratch = layout(docs, text), Scratch(docs.sparkSession)
     rows = docs.select(
         bucket_of(F.col(id), lay.buckets).alias("b"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")
     )
-    signed = materialise(rows.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signed")
+    signed = scratch.write(rows.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signed")
     classes = signed.where("words > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
-    classes = materialise(classes.where("doc_id IS NOT NULL"), "classes")
+    classes = scratch.write(classes.where("doc_id IS NOT NULL"), "classes")
     noted = classes.select(bucket_of(F.col("doc_id"), lay.buckets).alias("b"), "doc_id", "s1")
     texts = rows.groupBy("b")
     counts = texts.cogroup(noted.groupBy("b")).applyInArrow(_count(lay.ranges), COUNTS)
     shared = counts.groupBy("r").applyInArrow(_held_twice, SHARED)
     notes = noted.unionByName(shared, allowMissingColumns=True)
-    sets = materialise(texts.cogroup(notes.groupBy("b")).applyInArrow(_sets, SETS), "sets")
-    links = _links(sets.where("gid IS NOT NULL"))
-    labels = components(links).withColumnRenamed("vertex", "doc_id")
+    sets = scratch.write(texts.cogroup(notes.groupBy("b")).applyInArrow(_sets, SETS), "sets")
+    links = _links(sets.where("gid IS NOT NULL"), scratch)
+    labels = components(links, scratch=scratch).withColumnRenamed("vertex", "doc_id")
     known = classes.join(sets.select("doc_id", "n"), "doc_id").join(labels, "doc_id", "left")
     known = known.select("s1", "s2", "n", F.coalesce("component", "doc_id").alias("component"))
-    out = signed.join(materialise(known, "known"), ["s1", "s2"], "left")
+    out = signed.join(scratch.write(known, "known"), ["s1", "s2"], "left")
+    scratch.drop("signed", "known")
     return out.select(
         "doc_id",
         F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n_shingles"),

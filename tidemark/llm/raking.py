@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import Scratch
 
 MARGINALS = ("source", "lang", "topic")
 ROUNDS, CLOSE, CELLS_OF_TASK = 40, 1e-6, 50_000
@@ -45,31 +45,34 @@ def tempered(cells: DataFrame, column: str, power: float = TEMPER) -> DataFrame:
     return sums.select(F.lit(column).alias("marginal"), "value", F.pow(F.greatest("tokens", F.lit(1.0)), power).alias("share"))
 
 
-def raked(cells: DataFrame, targets: DataFrame, marginals: tuple[str, ...] = MARGINALS) -> DataFrame:
+def raked(cells: DataFrame, targets: DataFrame, marginals: tuple[str, ...] = MARGINALS, scratch: Scratch | None = None) -> DataFrame:
     """``cells`` with a ``weight`` whose sums by each marginal are as ``targets (marginal, value, share)``.
 
-    Weights sum to the tokens of all cells."""
+    Weights sum to the tokens of all cells. ``scratch`` takes over the result's table."""
+    own = Scratch(cells.sparkSession)
     parts = max(1, -(-cells.count() // CELLS_OF_TASK))
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     now = cells.where("tokens > 0")
     for m in marginals:
         share = targets.where((F.col("marginal") == m) & (F.col("share") > 0)).select(F.col("value").alias(m), F.col("share").alias(f"goal_{m}"))
         now = now.join(share, m, "left")
     now = now.where(" AND ".join(f"goal_{m} IS NOT NULL" for m in marginals)).coalesce(parts)
-    now = materialise(now.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    now = own.write(now.withColumn("weight", F.col("tokens").cast("double")), "start")
     sums = {m: now.groupBy(m).agg(F.first(f"goal_{m}").alias("g")).agg(F.sum("g")).first()[0] for m in marginals}
     whole = now.agg(F.sum("weight")).first()[0]
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         off = []
         for m in marginals:
             goal = F.col(f"goal_{m}") / F.lit(sums[m]) * F.lit(whole)
             now = now.withColumn("factor", goal / F.sum("weight").over(Window.partitionBy(m)))
             off.append(F.max(F.abs(F.col(f"off_{m}"))))
             now = now.withColumns({f"off_{m}": F.col("factor") - 1, "weight": F.col("weight") * F.col("factor")})
-        now = materialise(now, "raked")
+        now = own.write(now, f"raked{turn}")
+        own.drop(f"raked{turn}")
         if max(abs(x or 0.0) for x in now.agg(*off).first()) < CLOSE:
             break
         now = now.drop(*[f"off_{m}" for m in marginals])
+    if scratch:
+        scratch.paths.update(own.paths)
     return now.select(*marginals, "tokens", "weight")
 
 
@@ -88,28 +91,57 @@ def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     return cells.withColumn("probability", F.round(F.least(F.lit(1.0), ratio * scale), 9))
 
 
-def mixed(
-    docs: DataFrame, targets: DataFrame | None = None, id: str = "doc_id", text: str = "text", keep: float = KEEP,
-    marginals: dict[str, Column] | None = None, seed: int = 17,
-) -> DataFrame:
-    """``doc_id``, the marginals, ``tokens``, ``weight`` (of a token, relative to all), ``probability``, ``sampled``."""
+def _named(docs: DataFrame, text: str, marginals: dict[str, Column] | None) -> dict[str, Column]:
+    """The marginals of a row, under names that no column of the table has."""
     whole = F.coalesce(F.col(text), F.lit(""))
     how = marginals or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(whole)}
-    rows = docs.select(
-        F.col(id).cast("long").alias("doc_id"),
-        *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(m) for m, c in how.items()],
-        F.regexp_count(whole, F.lit(WORD)).cast("long").alias("tokens"),
-    )
-    rows = materialise(rows, "tokens")
-    names = tuple(how)
-    cells = materialise(rows.groupBy(*names).agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
+    return {m: F.coalesce(c.cast("string"), F.lit(NONE)) for m, c in how.items()}
+
+
+def fitted(rows: DataFrame, names: tuple[str, ...], targets: DataFrame | None, keep: float) -> DataFrame:
+    """Of rows with the marginals and ``tokens``: the cells with ``weight`` of a token and ``probability``."""
+    scratch = Scratch(rows.sparkSession)
+    cells = scratch.write(rows.groupBy(*names).agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
     if targets is None:
         for m in names:
             goal = tempered(cells, m)
             targets = goal if targets is None else targets.unionByName(goal)
-    fitted = probabilities(raked(cells, materialise(targets, "targets"), names), keep)
-    fitted = materialise(fitted.select(*names, F.round(F.col("weight") / F.col("tokens"), 9).alias("weight"), "probability"), "fitted")
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out = rows.join(fitted, list(names), "left")
+    done = probabilities(raked(cells, scratch.write(targets, "targets"), names, scratch), keep)
+    done = scratch.write(done.select(*names, F.round(F.col("weight") / F.col("tokens"), 9).alias("weight"), "probability"), "fitted")
+    scratch.drop("fitted")
+    return done
+
+
+def _draw(id: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(id.cast("long"), F.lit(0)), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def mixed(
+    docs: DataFrame, targets: DataFrame | None = None, id: str = "doc_id", text: str = "text", keep: float = KEEP,
+    marginals: dict[str, Column] | None = None, seed: int = 17,
+) -> DataFrame:
+    """``doc_id``, the marginals, ``tokens``, ``weight`` (of a token, relative to all), ``probability``, ``sampled``."""
+    how = _named(docs, text, marginals)
+    tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), *[c.alias(m) for m, c in how.items()], tokens.alias("tokens"))
+    rows = Scratch(docs.sparkSession).write(rows, "tokens")
+    cells = fitted(rows, tuple(how), targets, keep)
     p = F.coalesce("probability", F.lit(0.0))
-    return out.select("doc_id", *names, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), p.alias("probability"), (draw < p).alias("sampled"))
+    return rows.join(cells, list(how), "left").select(
+        "doc_id", *how, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), p.alias("probability"), (_draw(F.col("doc_id"), seed) < p).alias("sampled")
+    )
+
+
+def sampled_documents(
+    docs: DataFrame, targets: DataFrame | None = None, id: str = "doc_id", text: str = "text", keep: float = KEEP,
+    marginals: dict[str, Column] | None = None, seed: int = 17,
+) -> DataFrame:
+    """The rows of ``docs`` that ``mixed`` samples, with all their columns and no others."""
+    how = _named(docs, text, marginals)
+    tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(*[c.alias(m) for m, c in how.items()], tokens.alias("tokens"))
+    cells = fitted(rows, tuple(how), targets, keep)
+    inner = [f"_mix_{m}" for m in how]
+    cells = cells.select(*[F.col(m).alias(x) for m, x in zip(how, inner)], F.col("probability").alias("_mix_p"))
+    marked = docs.withColumns({x: c for x, c in zip(inner, how.values())})
+    return marked.join(cells, inner).where(_draw(F.col(id), seed) < F.col("_mix_p")).select(*docs.columns)
