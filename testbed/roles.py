@@ -130,6 +130,11 @@ def annual(spark: SparkSession, sf: str) -> DataFrame:
     return annual_sum(monthly(spark, sf), KEYS, [C.VALUE], decimals=2)
 
 
+def date_bounds(df: DataFrame, date: str) -> tuple[int, int]:
+    """First and last year of a raw date column: one scan of that column, without a shuffle of rows."""
+    return tuple(d.year for d in df.agg(F.min(date), F.max(date)).first())
+
+
 def year_bounds(df: DataFrame) -> tuple[int, int]:
     return tuple(df.agg(F.min(C.YEAR), F.max(C.YEAR)).first())
 

@@ -527,6 +527,32 @@ def row_ids(spark, sf):
     )
 
 
+@query(
+    "row_ids_nulls",
+    """SELECT l_orderkey, l_linenumber, concat_ws('-', nullif(l_returnflag, 'N'), row_number() OVER (
+        PARTITION BY nullif(l_returnflag, 'N') ORDER BY l_orderkey * 10 + l_linenumber) - 1) AS id FROM lineitem""",
+)
+def row_ids_nulls(spark, sf):
+    """A key that is null for half of all rows."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"),
+    )
+    return ranking.row_ids(rows, "flag", "at").select("l_orderkey", "l_linenumber", "id")
+
+
+@query(
+    "split_nulls",
+    """SELECT k AS row_key, row_number() OVER (PARTITION BY flag ORDER BY md5('42|' || k), k) <= ceil(0.2 * count(*) OVER (PARTITION BY flag)) AS is_test
+        FROM (SELECT nullif(l_returnflag, 'N') AS flag, l_orderkey * 10 + l_linenumber AS k FROM lineitem)""",
+)
+def split_nulls(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_key")
+    )
+    return ranking.split_train_test(rows, ["flag"], ["row_key"]).select("row_key", "is_test")
+
+
 @query(
     "train_test_split",
     sql(
@@ -563,7 +589,7 @@ def dynamic_k(spark, sf):
     )
     order = [F.col("x").desc(), F.col("vec_id")]
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(16))
-    return ranking.top_k(rows.join(asked, "label"), ["label"], order, F.col("k"), spread=spread).select(
+    return ranking.top_k(lookup_join(rows, asked, ["label"], "inner"), ["label"], order, F.col("k"), spread=spread).select(
         "label", "vec_id", "rank", "k"
     )
 
@@ -581,6 +607,20 @@ def heatmap_pivot(spark, sf):
     return rounded(reshape.pivot_months(monthly(spark, sf), KEYS), 2, *C.MONTHS)
 
 
+@query(
+    "heatmap_long",
+    sql(
+        f"""SELECT s.series, s.{Y}, m.{M}, v.{V} FROM (SELECT DISTINCT series, {Y} FROM monthly) s
+            CROSS JOIN (SELECT DISTINCT {M} FROM monthly) m
+            LEFT JOIN monthly v ON v.series = s.series AND v.{Y} = s.{Y} AND v.{M} = m.{M}""",
+        "monthly",
+    ),
+)
+def heatmap_long(spark, sf):
+    """The pivot melted back: a row for each month of each year, absent ones null."""
+    return rounded(reshape.unpivot_pivoted(reshape.pivot_months(monthly(spark, sf), KEYS), KEYS), 2, C.VALUE)
+
+
 @query("sorted_monthly", sql(f"SELECT series, {Y}, {D}, {V} FROM monthly ORDER BY {Y}, {D}, series", "monthly"))
 def sorted_monthly(spark, sf):
     return monthly(spark, sf).select(C.SERIES, C.YEAR, C.DATE, C.VALUE).orderBy(C.YEAR, C.DATE, C.SERIES)

@@ -17,6 +17,7 @@ from testbed.roles import (
     orders,
     table,
     vector_records,
+    date_bounds,
     year_bounds,
 )
 from testbed.sqlparts import D, M, V, Y, calendar, indicator_exprs, sql
@@ -26,7 +27,7 @@ from tidemark.functions import numbers as num
 from tidemark.functions import text as txt
 from tidemark.operators.filters import metadata_predicate
 from tidemark.operators.monthly import exact_sums
-from tidemark.operators.reshape import calendar_spine, melt, month_columns, unpivot_months
+from tidemark.operators.reshape import calendar_spine, melt, month_headers, unpivot_months
 from tidemark.session import shared_dir
 from tidemark.sources import charts, log, tables, vectors
 
@@ -71,7 +72,7 @@ def _wide_sheet(spark, sf):
     """Monthly values as an exported sheet: one row per series, headers like ``janv. 1995``."""
     path = shared_dir(spark, "wide")
     m = monthly(spark, sf)
-    lo, hi = year_bounds(m)
+    lo, hi = date_bounds(orders(spark, sf), "o_orderdate")
     headers = [f"{stem}. {y}" for y in range(lo, hi + 1) for stem in STEMS]
     cells = m.select(
         C.SERIES,
@@ -101,7 +102,7 @@ def _wide_sheet(spark, sf):
 )
 def scan_wide(spark, sf):
     wide = _wide_sheet(spark, sf)
-    return melt(wide, [C.SERIES], month_columns(wide.columns), C.MONTH, C.VALUE)
+    return melt(wide, [C.SERIES], list(month_headers(wide)), C.MONTH, C.VALUE)
 
 
 @query(
@@ -237,9 +238,7 @@ def vector_upsert(spark, sf):
         return changed.withColumns({"metadata": meta, "type": F.lit("moved"), "v": F.lit(n)})
 
     batch = version(1, "first").unionByName(version(2, "second"))
-    out = vectors.upsert_vectors(
-        spark, batch, shared_dir(spark, "vectors"), current_path=first, version=[F.col("v")]
-    )
+    out = vectors.upsert_vectors(spark, batch, first, version=[F.col("v")])
     return out.select(
         "id", F.col(f"metadata.{C.YEAR}").alias("year"), F.col("metadata.type").alias("type"),
         F.col("metadata.text").alias("text"), F.size("values").alias("dims"),
@@ -286,13 +285,15 @@ def _records(spark, sf):
 
 @query("log_read", _PAIRS)
 def log_read(spark, sf):
-    """Records written as pretty-printed JSON arrays, one bounded array per file."""
+    """Records written as pretty-printed JSON arrays, files dealt by the key of the question's turn."""
     path = shared_dir(spark, "log")
-    records = _records(spark, sf)
+    pairs = log.pair_turns(table(spark, sf, "conversations"))
+    stamp = F.lit("2026-01-01T00:00:00")
+    records = log.log_records(pairs, "question", "response", stamp, keep=("conv_id", "turn"))
     files = records.count() // 500 + 1
     row = F.struct("timestamp", "question", "response")
     (
-        records.groupBy(F.pmod(F.xxhash64("question", "response"), F.lit(files)).alias("file"))
+        records.groupBy(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(files)).alias("file"))
         .agg(F.to_json(F.collect_list(row), {"pretty": "true"}).alias("value"))
         .select("value")
         .write.option("maxRecordsPerFile", 1)

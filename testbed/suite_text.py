@@ -114,8 +114,8 @@ def _documents(spark, sf):
 
 
 def _questions(spark, sf):
-    """User turns, each with a range of past years of monthly rows and a later range of
-    forecasts; k follows from the ranges."""
+    """User turns: a third without ranges, a third with a quarter filter; the others and these have a
+    range of past years of monthly rows and a later one of forecasts, from which k follows."""
     lo = (F.lit(1995) + F.col("conv_id") % 5).cast("int")
     ranges = F.array(
         F.struct(lo.alias("lo"), (lo + 1).alias("hi"), F.lit(C.DOC_TYPES["global"]).alias("type")),
@@ -123,13 +123,15 @@ def _questions(spark, sf):
             F.lit(2002).alias("lo"), F.lit(2003).alias("hi"), F.lit(C.DOC_TYPES["arrivals"]).alias("type")
         ),
     )
+    kind = F.col("conv_id") % 3
     return (
         table(spark, sf, "conversations")
         .where(F.col("role") == "user")
         .select(
-            F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("question"), ranges.alias("ranges")
+            F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("question"),
+            F.when(kind == 0, F.slice(ranges, 1, 0)).otherwise(ranges).alias("ranges"),
+            derived_k_column(F.when(kind == 0, F.slice(ranges, 1, 0)).otherwise(ranges), kind == 1).alias("k"),
         )
-        .withColumn("k", derived_k_column(F.col("ranges"), F.lit(False)))
     )
 
 
@@ -143,6 +145,10 @@ _ARR_DOC = _doc_sql(
 )
 
 
+_BAL = C.DOC_TYPES["balance"]
+_BAL_DOC = _doc_sql(_BAL, ["'key : solde-' || " + Y, _number(C.BALANCE), f"'type : {_BAL.lower()}'"])
+
+
 @query(
     "rag_prompts",
     sql(
@@ -150,14 +156,16 @@ _ARR_DOC = _doc_sql(
             SELECT series, regr_slope({V}, {Y}) AS slope, regr_intercept({V}, {Y}) AS intercept,
                 unnest(generate_series(max({Y}) + 1, max({Y}) + 4)) AS y FROM annual GROUP BY 1)),
         docs AS (SELECT 'wbdata-' || series || '-' || {D} AS id, {Y} AS y, 'global' AS type, {_KEYED_DOC} AS text FROM filt
-            UNION ALL SELECT 'wbdata-' || series || '-' || {Y}, {Y}, '{_ARR.lower()}', {_ARR_DOC} FROM tr),
-        asked AS (SELECT conv_id || '-' || turn AS qid, text AS question, 1995 + conv_id % 5 AS lo, 4 AS k
-            FROM conversations WHERE role = 'user'),
+            UNION ALL SELECT 'wbdata-' || series || '-' || {Y}, {Y}, '{_ARR.lower()}', {_ARR_DOC} FROM tr
+            UNION ALL SELECT 'wbdata-solde-' || {Y}, {Y}, '{_BAL.lower()}', {_BAL_DOC}
+                FROM (SELECT {Y}, round({q(C.RECEIPTS)} - {q(C.EXPENSES)}, 2) AS {q(C.BALANCE)} FROM indic)),
+        asked AS (SELECT conv_id || '-' || turn AS qid, text AS question, 1995 + conv_id % 5 AS lo, conv_id % 3 AS kind,
+            CASE conv_id % 3 WHEN 0 THEN 20 WHEN 1 THEN 5 ELSE 4 END AS k FROM conversations WHERE role = 'user'),
         dv AS (SELECT id, slot, w::FLOAT::DOUBLE AS w FROM ({_embed_sql('id', 'text', 'docs')})),
         qv AS ({_embed_sql('qid', 'question', 'asked')}),
         dn AS (SELECT id, sqrt(sum(w * w)) AS n FROM dv GROUP BY 1),
         dots AS (SELECT qid, id, sum(qv.w * dv.w) AS s FROM qv JOIN dv ON qv.slot = dv.slot GROUP BY 1, 2),
-        pairs AS (SELECT qid, k, d.id, d.text FROM asked JOIN docs d ON (d.type = 'global' AND d.y BETWEEN lo AND lo + 1)
+        pairs AS (SELECT qid, k, d.id, d.text FROM asked JOIN docs d ON kind = 0 OR (d.type = 'global' AND d.y BETWEEN lo AND lo + 1)
             OR (d.type = '{_ARR.lower()}' AND d.y BETWEEN 2002 AND 2003)),
         ranked AS (SELECT p.qid, k, text, row_number() OVER (PARTITION BY p.qid
                 ORDER BY round(coalesce(s, 0) / n, 9) DESC, p.id) AS rank
@@ -168,11 +176,13 @@ _ARR_DOC = _doc_sql(
             ELSE E'\\nTu es un assistant économique et touristique intelligent.\\nQuestion : ' || question || E'\\n' || context
                 || E'\\nRéponds uniquement sur les données disponibles.\\n' END AS prompt
         FROM asked LEFT JOIN ctx ON asked.qid = ctx.qid""",
-        "filt", "annual",
+        "filt", "annual", "indic",
     ),
 )
 def rag_prompts(spark, sf):
     """Build the collection in one bulk write, then answer all questions from its scan."""
     id_ = F.concat_ws("-", C.SOURCE, "key")
-    records = index.build_index(spark, _documents(spark, sf), id_, shared_dir(spark, "index"))
+    docs, path = _documents(spark, sf), shared_dir(spark, "index")
+    index.build_index(spark, docs, id_, path)
+    records = index.build_index(spark, docs, id_, path, source="other")
     return index.answer_prompts(_questions(spark, sf), records).select("qid", "question", "prompt")

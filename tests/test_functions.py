@@ -102,3 +102,10 @@ def test_prompt(spark):
 def test_count_of(spark):
     assert column(spark, ["data: a data:", "x", "a.b"], txt.count_of(F.col("x"), "data:")) == [2, 0, 0]
     assert column(spark, ["a.b axb"], txt.count_of(F.col("x"), "a.b")) == [1]
+
+
+def test_numbers_at_the_edges(spark):
+    assert column(spark, [float("nan"), None, 1.25], num.pct_label("x"), "double") == [None, None, "1.2%"]
+    assert column(spark, [1e36, 2.0**52 + 0.5], num.round2_text("x"), "double")[1].startswith("4503599627370496")
+    xs = [12345678901234.375, -12345678901234.375, 1e15 + 0.125, 98765432109876.62]
+    assert column(spark, xs, num.round_exact("x", 2), "double") == [round(x, 2) for x in xs]

@@ -57,6 +57,15 @@ def test_exact_sums_do_not_depend_on_layout(spark):
         assert rows(out, "k", "s") == want
 
 
+def test_exact_sums_of_the_largest_values(spark):
+    """Past 9.2e18 units, with both signs, and without keys."""
+    big = 9.0e14
+    df = spark.createDataFrame([(big, 1)] * 40_000 + [(-2.5, 2)] * 3, "x double, k int")
+    assert rows(mon.exact_sums(df, ["k"], {"s": (F.col("x"), 4)}), "k", "s") == [(1, 3.6e19), (2, -7.5)]
+    assert mon.exact_sums(df, [], {"s": (F.col("x"), 4)}).first()["s"] == 3.6e19
+    assert mon.exact_sums(df.where("k = 3"), ["k"], {"s": (F.col("x"), 2)}).count() == 0
+
+
 def test_sources_are_kept_or_ranked(spark):
     a = mon.with_share(months(spark, [("s", "2020-01-01", 1.0), ("s", "2020-02-01", 1.0)]), S)
     b = mon.with_share(months(spark, [("s", "2020-01-01", 5.0)]), S)
@@ -80,7 +89,7 @@ def test_wide_sheet(spark):
     df = spark.createDataFrame(
         [("x", "1 234,5", "7", "t")], "id string, `janv. 2015` string, `FÉVR 2015` string, note string"
     )
-    assert reshape.month_columns(df.columns) == ["janv. 2015", "FÉVR 2015"]
+    assert list(reshape.month_headers(df)) == ["janv. 2015", "FÉVR 2015"]
     assert rows(reshape.unpivot_months(df), "id", "note", C.YEAR, C.MONTH, C.VALUE) == [
         ("x", "t", 2015, "Feb", 7.0), ("x", "t", 2015, "Jan", 1234.5),
     ]
@@ -158,9 +167,6 @@ def test_spread_annual(spark):
     assert out.first()[C.TOTAL] == pytest.approx(120.0)
     whole = disagg.spread_annual(annual, weights, S, renormalise=True)
     assert whole.agg(F.sum(C.VALUE)).first()[0] == pytest.approx(100.0)
-    series = spark.createDataFrame([("a",)], "series string")
-    gap = disagg.missing_months(series, annual, weights, S, 2020, 2021)
-    assert gap.count() == 24 and gap.where(F.col(C.VALUE).isNull()).count() == 12
 
 
 def test_lookup_needs_unique_keys(spark):
@@ -211,24 +217,50 @@ def hot(spark, n=3000):
     return spark.range(n).select(key.alias("k"), ((F.col("id") * 7919) % 10007).alias("o"), "id")
 
 
-def test_spread_row_number_equals_row_number(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "ROWS_PER_BIN", 400)
+def test_spread_row_number_equals_row_number(spark):
     df = hot(spark)
     order = [F.col("o"), F.col("id")]
-    binned = ranking.with_quantile_bin(df, "o", "bin")
-    out = ranking.spread_row_number(binned, ["k"], order, F.col("bin"), "rn", total="n")
+    out = ranking.spread_row_number(df, ["k"], order, "rn", total="n")
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
     assert rows(out, "k", "id", "rn") == rows(want, "k", "id", "rn")
     assert out.where("k = 'hot'").first()["n"] == 1000
 
 
-def test_row_ids(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "ROWS_PER_BIN", 700)
+def test_spread_row_number_keeps_nulls_and_ties(spark):
+    """Null keys, null and tying order values, text as order key, repeated rows, no rows."""
+    data = [(None, "b"), (None, None), ("x", "b"), ("x", "b"), ("x", None), ("x", "a"), ("y", "z")]
+    df = spark.createDataFrame(data, "k string, o string")
+    for part in (df, df.repartition(5), df.where("false")):
+        out = ranking.spread_row_number(part, ["k"], [F.col("o")], "rn")
+        want = part.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o")))
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    ids = sorted(str(r["id"]) for r in ranking.row_ids(df, "k", "o").collect())
+    assert ids == ["0", "1", "x-0", "x-1", "x-2", "x-3", "y-0"]
+
+
+def test_row_ids(spark):
     out = ranking.row_ids(hot(spark), "k", "id")
     got = [r["id"] for r in out.where("k = 'hot'").collect()]
     assert sorted(got) == sorted(f"hot-{i}" for i in range(1000))
 
 
+def test_split_of_many_buckets_keeps_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 4)
+    df = hot(spark, 900).withColumn("k", F.nullif(F.col("k"), F.lit("k1")))
+    order = [F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string"))), F.col("id")]
+    w = Window.partitionBy("k")
+    limit = F.ceil(F.count("*").over(w) * F.lit(0.2))
+    want = df.withColumn("is_test", F.row_number().over(w.orderBy(*order)) <= limit)
+    assert rows(ranking.split_train_test(df, ["k"], ["id"]), "id", "is_test") == rows(want, "id", "is_test")
+    alone = ranking.split_train_test(df, [], ["id"])
+    assert alone.count() == 900 and alone.where("is_test").count() == 180
+
+
+def test_series_without_keys(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
+    assert rows(stats.fill_with_mean(df, [], "v"), "v") == [(1.0,), (2.0,), (3.0,)]
+
+
 def test_split_has_exact_sizes(spark):
     out = ranking.split_train_test(hot(spark), ["k"], ["id"])
     sizes = out.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()

@@ -50,6 +50,14 @@ def test_indicator_feed(spark):
     assert {r["country"] for r in tables.load_indicators(feed, None).collect()} == {"MDG", "FRA"}
 
 
+def test_chart_label_after_data(spark):
+    page = """<script>new Chart(c, {labels: [a, b], datasets: [{data: [1, 2], label: '2020'}, {"data": [3], "label": "x, y"}]})</script>"""
+    pages = spark.createDataFrame([(1, page)], "id int, html string")
+    assert [tuple(r)[1:] for r in charts.extract_series(pages, ["id"]).collect()] == [
+        ("2020", "a", 1.0), ("2020", "b", 2.0), ("x, y", "a", 3.0), ("x, y", "b", None),
+    ]
+
+
 def test_chart_extraction(spark):
     named = (
         "<script>x</script><script>new Chart(c,{labels:['Jan', \"Fev\",'Mar'],datasets:["
@@ -80,15 +88,22 @@ def test_upsert(spark, tmp_path):
 
     first = batch([("a", [1.0], "s", "a1", 2010, "x", 1), ("b", [2.0], "s", "b1", 2011, "y", 1)])
     second = batch([("b", [3.0], "s", "b2", 2012, "x", 1), ("b", [4.0], "s", "b3", 2013, "z", 2), ("c", [5.0], "s", "c1", None, "x", 1)])
-    p = [str(tmp_path / n) for n in "123"]
-    vectors.upsert_vectors(spark, first, p[0])
-    out = vectors.upsert_vectors(spark, second, p[1], current_path=p[0], version=[F.col("v")])
+    path = str(tmp_path / "v")
+    vectors.upsert_vectors(spark, first, path)
+    files = {f for f in (tmp_path / "v").rglob("*.parquet")}
+    out = vectors.upsert_vectors(spark, second, path, version=[F.col("v")])
     got = sorted((r["id"], r["metadata"]["text"], r["type"]) for r in out.collect())
     assert got == [("a", "a1", "x"), ("b", "b3", "z"), ("c", "c1", "x")]
-    again = vectors.upsert_vectors(spark, second, p[2], current_path=p[1], version=[F.col("v")])
-    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
-    scan = vectors.scan_vectors(spark, p[1], F.col("type") == "x", with_values=False)
+    touched = {r["bucket"] for r in vectors.bucketed(second, vectors.BUCKETS).collect()}
+    kept = {f for f in files if int(f.parent.name.split("=")[1]) not in touched}
+    assert kept and kept < {f for f in (tmp_path / "v").rglob("*.parquet")}
+    before = sorted(map(str, out.collect()))
+    again = vectors.upsert_vectors(spark, second, path, version=[F.col("v")])
+    assert sorted(map(str, again.collect())) == before
+    scan = vectors.scan_vectors(spark, path, F.col("type") == "x", with_values=False)
     assert sorted(r["id"] for r in scan.collect()) == ["a", "c"] and "values" not in scan.columns
+    with pytest.raises(Exception, match="duplicate key"):
+        vectors.upsert_vectors(spark, second, path)
 
 
 def test_log(spark, tmp_path):
@@ -170,7 +185,7 @@ def brute(docs, questions):
     return sorted((q, r, i) for q, r, i, _ in out)
 
 
-@pytest.mark.parametrize("mode", ["matrix", "grid", "cells", "cells-grid"])
+@pytest.mark.parametrize("mode", ["all", "cells"])
 def test_knn_matches_brute_force(spark, monkeypatch, mode):
     """A third of the documents are copies of one vector, a third lies in one cell."""
     rng = np.random.default_rng(1)
@@ -181,9 +196,7 @@ def test_knn_matches_brute_force(spark, monkeypatch, mode):
     monkeypatch.setattr(retrieve, "DOC_BLOCK", 50)
     monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 4)
     monkeypatch.setattr(retrieve, "SCORE_CELLS", 130)
-    if mode.endswith("grid"):
-        monkeypatch.setattr(retrieve, "MATRIX_ROWS", 3)
-    d = spark.createDataFrame(docs, "id long, vector array<double>, cell int")
+    d = spark.createDataFrame([*docs, (999, None, 0)], "id long, vector array<double>, cell int")
     if mode.startswith("cells"):
         q = spark.createDataFrame(asked, "qid string, vector array<double>, k int, cells array<int>").select(
             "qid", "vector", "k", F.explode("cells").alias("cell")
@@ -214,6 +227,28 @@ def test_questions_to_prompts(spark, tmp_path):
     assert got["a"]["context"] == f"WBData : {first['text']}"
     assert got["b"]["context"] is None and got["b"]["prompt"].endswith("Je ne dispose pas de cette information.")
     assert got["c"]["context"].count("WBData : ") == 2
+    open_ = spark.createDataFrame([("d", "Arrivees", 9, [])], f"qid string, question string, k int, ranges {ranges}")
+    more = index.build_index(spark, docs, F.concat(F.lit("o"), key), str(tmp_path / "index"), source="other")
+    found = index.answer_prompts(open_, more).first()["context"]
+    assert found.count("WBData : ") == docs.count()
+    assert index.answer_prompts(open_, more, source="none").first()["context"] is None
+
+
+def test_run_folder_is_removed(spark, tmp_path):
+    from tidemark.session import Scratch, exists, remove, shared_root
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    assert shared_root(spark).startswith(root)
+    scratch = Scratch(spark)
+    one, two = scratch.write(spark.range(3), "one"), scratch.write(spark.range(2), "two")
+    paths = {tag: path for path, tag in scratch.paths.items()}
+    scratch.drop("two")
+    assert not exists(spark, paths["one"]) and exists(spark, paths["two"]) and two.count() == 2
+    path = str(tmp_path / "x")
+    one = spark.range(1)
+    one.write.parquet(path)
+    remove(spark, path)
+    assert not exists(spark, path)
 
 
 def test_shared_folder(spark):

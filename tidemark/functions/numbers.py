@@ -44,7 +44,9 @@ def _round_sql(x: str, digits: int) -> str:
     rest = " + ".join(f"{x} * {p}D" for p in powers[1:])
     rest = f"({x} * {powers[0]}D - rint({x} * {2 * scale}D)) + {rest}"
     near = f"rint({x} * {scale}D + 0.125D * signum({rest})) / {scale}D"
-    return f"IF(abs({x}) < 1.0E13D, {near}, bround({x}, {digits}))"
+    # From 1e13 on the fraction has few bits, so its product with the scale is exact.
+    large = f"({x} - {x} % 1) + rint(({x} % 1) * {scale}) / {scale}D"
+    return f"IF(abs({x}) < 1.0E13D, {near}, {large})"
 
 
 def round_exact(column: str, digits: int) -> Column:
@@ -59,16 +61,16 @@ def round_exact(column: str, digits: int) -> Column:
 
 
 def pct_label(column: str) -> Column:
-    """One decimal and a percent sign; null stays null."""
+    """One decimal and a percent sign; null and NaN give null."""
     text = F.format_string("%.1f%%", round_exact(column, 1))
-    return F.when(F.col(f"`{column}`").isNotNull(), text)
+    return F.when(F.col(f"`{column}`").isNotNull() & ~F.isnan(f"`{column}`"), text)
 
 
 def round2_sql(x: str) -> str:
     """SQL text of a double with two decimals, no exponent and at least one decimal."""
     y = _round_sql(x, 2)
     text = f"regexp_replace(CAST(CAST({y} AS DECIMAL(38,2)) AS STRING), '0$', '')"
-    return f"IF({x} < 0 AND {y} = 0, '-0.0', {text})"
+    return f"IF({x} < 0 AND {y} = 0, '-0.0', IF(abs({y}) < 1.0E35D, {text}, format_string('%.1f', {y})))"
 
 
 def round2_text(column: str) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.operators.lookup import lookup_join, unique_lookup
 from tidemark.operators.monthly import year_total
-from tidemark.operators.reshape import calendar_spine
 
 
 def spread_annual(
@@ -40,21 +39,6 @@ def spread_annual(
     return year_total(out, keys)
 
 
-def missing_months(
-    series: DataFrame, annual: DataFrame, weights: DataFrame, keys: list[str],
-    first_year: int, last_year: int,
-) -> DataFrame:
-    """Spine of whole years for every series, with null values where no annual value exists."""
-    spine = calendar_spine(series, first_year, last_year)
-    out = (
-        spine.join(weights, [*keys, C.MONTH], "left")
-        .join(annual.select(*keys, C.YEAR, F.col(C.VALUE).alias("annual__v")), [*keys, C.YEAR], "left")
-        .withColumn(C.VALUE, F.col("annual__v") * F.col(C.SHARE))
-        .drop("annual__v")
-    )
-    return year_total(out, keys)
-
-
 def spread_indicators(
     monthly: DataFrame, annual: DataFrame, columns: list[str], on: list[str] | None = None
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.functions.text import parse_int_list
 from tidemark.operators.lookup import lookup_join
 
 
@@ -21,25 +22,21 @@ def year_range(df: DataFrame, lo: int, hi: int, year: str = C.YEAR) -> DataFrame
     return df.where(F.col(year).between(lo, hi))
 
 
-def parse_requested(text: str) -> list[int] | None:
-    """Years or quarters typed as ``2012, 2013``; ``None`` when one is no integer."""
-    try:
-        return [int(piece) for piece in text.replace(",", " ").split()]
-    except ValueError:
-        return None
-
-
 def validated_filter(
     df: DataFrame, column: str, requested: str | list[int]
 ) -> tuple[DataFrame, list[int], bool]:
     """Keep the requested values if every one occurs, else keep the whole table.
 
-    Returns ``(rows, invalid values, format ok)``. The one job it runs returns at
-    most as many rows as values were requested.
+    Returns ``(rows, invalid values, format ok)``. A text is read by ``parse_int_list``. The one
+    job it runs on the table returns at most as many rows as values were requested.
     """
-    values = parse_requested(requested) if isinstance(requested, str) else list(requested)
-    if values is None:
-        return df, [], False
+    if isinstance(requested, str):
+        typed = df.sparkSession.createDataFrame([(requested,)], "text string").select(parse_int_list(F.col("text")).alias("p"))
+        values, ok = typed.first()["p"]
+        if not ok:
+            return df, [], False
+    else:
+        values = list(requested)
     if not values:
         return df, [], True
     found = {

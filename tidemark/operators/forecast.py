@@ -18,6 +18,8 @@ from tidemark.session import materialise
 
 LAGS = ["lag1", "lag2", "lag3"]
 ROWS_PER_PARTITION = 50_000
+#: Trees grow until their leaves are pure, as deep as the library allows; split points per input.
+DEPTH, BINS = 30, 32
 
 
 def assemble(df: DataFrame, inputs: list[str], out: str = "features") -> DataFrame:
@@ -41,14 +43,16 @@ def training_frame(
 
 
 def fit_forest(
-    train: DataFrame, inputs: list[str], label: str, trees: int, depth: int, seed: int = 42
+    train: DataFrame, inputs: list[str], label: str, trees: int, depth: int, seed: int = 42, bins: int = BINS
 ) -> RandomForestRegressionModel:
-    """All inputs are tried at every split, rows are bootstrapped; null labels are left out."""
+    """All inputs are tried at every split, rows are bootstrapped; null labels are left out. ``bins``
+    is the number of split points tried per input: more are finer and cost memory in proportion."""
     rows = train.na.drop(subset=[*inputs, label])
     rows = assemble(rows, inputs).select("features", F.col(f"`{label}`").cast("double").alias("label"))
     return RandomForestRegressor(
         numTrees=trees,
         maxDepth=depth,
+        maxBins=bins,
         featureSubsetStrategy="all",
         seed=seed,
     ).fit(rows)
@@ -74,7 +78,7 @@ def fit_lag_forest(
     last_year: int,
     value: str = C.VALUE,
     trees: int = 300,
-    depth: int = 10,
+    depth: int = DEPTH,
     seed: int = 42,
 ) -> RandomForestRegressionModel:
     """Forest on three lags, trained on the complete rows of the given years."""
@@ -134,7 +138,7 @@ def extend_indicators(
     cut_year: int,
     value: str = C.VALUE,
     trees: int = 100,
-    depth: int = 10,
+    depth: int = DEPTH,
     seed: int = 42,
     parallelism: int = 4,
 ) -> DataFrame:
@@ -149,9 +153,11 @@ def extend_indicators(
     def fit(indicator: str) -> RandomForestRegressionModel:
         return fit_forest(train, [value], indicator, trees, depth, seed)
 
-    with ThreadPool(min(parallelism, len(indicators))) as pool:
-        models = pool.map(inheritable_thread_target(mart.sparkSession)(fit), indicators)
-    train.unpersist()
+    try:
+        with ThreadPool(min(parallelism, len(indicators))) as pool:
+            models = pool.map(inheritable_thread_target(mart.sparkSession)(fit), indicators)
+    finally:
+        train.unpersist()
     out = mart
     for ind, model in zip(indicators, models):
         out = predict(model, out, [value], "pred__i").withColumn(
@@ -171,10 +177,13 @@ def forecast_with_trend(
     depth: int = 5,
     noise: float = 0.5,
     seed: int = 42,
+    last_year: int | None = None,
 ) -> DataFrame:
     """In-sample fit plus ``horizon`` years whose inputs follow their linear trend.
 
-    Four fifths of each series train the forest; its predictions cover all years.
+    Four fifths of each series train the forest; its predictions cover all years. The horizon
+    begins after ``last_year``, for instance the last of an unfiltered table, or else after the
+    last year of each series.
     """
     annual = materialise(annual, "annual")
     filled = fill_with_mean(annual.withColumn("label__v", F.col(f"`{target}`")), keys, "label__v")
@@ -182,7 +191,8 @@ def forecast_with_trend(
     train = training_frame(split.where(~F.col("is_test")), inputs, ["label__v"], [*keys, C.YEAR])
     model = fit_forest(train, inputs, "label__v", trees, depth, seed)
     history = predict(model, annual, inputs, fitted)
-    future = predict(model, trend(annual, keys, inputs, horizon, noise, seed), inputs, fitted)
+    last = None if last_year is None else F.lit(last_year)
+    future = predict(model, trend(annual, keys, inputs, horizon, noise, seed, last), inputs, fitted)
     return history_and_future(history, future, keys, target, fitted)
 
 

@@ -15,8 +15,23 @@ from tidemark.session import materialise
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join ``dim`` by its measured size. ``dim`` is computed and written right away."""
-    return df.join(materialise(dim, "dim"), on, how)
+    """Join ``dim`` by its measured size. ``dim`` is computed and written right away.
+
+    Without columns in ``on`` the one row of ``dim`` stands beside every row."""
+    dim = materialise(dim, "dim")
+    if on:
+        return df.join(dim, on, how)
+    one = dim.first()
+    return df.withColumns({c: F.lit(one[c] if one else None).cast(dim.schema[c].dataType) for c in dim.columns})
+
+
+def null_safe_join(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """The same with null keys equal to each other."""
+    if not on:
+        return lookup_join(df, dim, on, how)
+    dim = materialise(dim, "dim").withColumnsRenamed({c: f"{c}__dim" for c in on})
+    same = [df[f"`{c}`"].eqNullSafe(dim[f"`{c}__dim`"]) for c in on]
+    return df.join(dim, same, how).drop(*[f"{c}__dim" for c in on])
 
 
 def unique_lookup(dim: DataFrame, key: list[str]) -> DataFrame:

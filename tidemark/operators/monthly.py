@@ -11,7 +11,8 @@ from tidemark.functions.calendar import month_start, with_calendar
 from tidemark.functions.numbers import nan_to_null, ratio
 from tidemark.operators.lookup import lookup_join
 
-TASK_GROUPS = 64
+# Whole units are added in three parts of so many bits, the top one with the sign.
+PART_BITS = (20, 20, 24)
 
 
 def exact_sums(
@@ -22,25 +23,31 @@ def exact_sums(
 ) -> DataFrame:
     """Sums of fixed-point values, the same for every order and partitioning of the rows.
 
-    ``units`` maps a name to (value, decimals). The rows are added as whole units in longs,
-    which is as fast as adding doubles and several times faster than decimals. So that no
-    long overflows whatever the size of a group, each of ``TASK_GROUPS`` groups of tasks
-    keeps its own sum, and those few are added as decimals. A task still emits one row a key.
+    ``units`` maps a name to (value, decimals). Each value is a whole number of units in a
+    long, cut into three parts that are added as longs, which is several times faster than
+    decimals; the three sums of a key are put together as a decimal. The two low parts hold
+    for 8.8e12 rows of a key, the top one for 1e12 rows even of the largest longs.
 
-    With many keys the task groups would only multiply the rows to shuffle; then the units
-    are added as decimals in one step.
+    With many keys three sums a key are more to shuffle than one; then the units are added
+    as decimals.
     """
+    low, mid, _ = PART_BITS
     whole = {n: F.rint(x * 10**d).cast("bigint") for n, (x, d) in units.items()}
 
-    def total(x: Column, name: str) -> Column:
-        return (F.sum(x.cast("decimal(20,0)")).cast("double") / 10 ** units[name][1]).alias(name)
+    def shown(total: Column, name: str) -> Column:
+        return (total.cast("double") / 10 ** units[name][1]).alias(name)
 
     if not few_keys:
-        return df.groupBy(*keys).agg(*[total(x, n) for n, x in whole.items()])
-    group = F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)).alias("task__g")
-    partial = df.groupBy(*keys, group).agg(*[F.sum(x).alias(n) for n, x in whole.items()])
-    names = [c for c in partial.columns if c not in units and c != "task__g"]
-    return partial.groupBy(*names).agg(*[total(F.col(f"`{n}`"), n) for n in units])
+        return df.groupBy(*keys).agg(*[shown(F.sum(x.cast("decimal(20,0)")), n) for n, x in whole.items()])
+    sums = []
+    for n, x in whole.items():
+        parts = (x.bitwiseAND(F.lit((1 << low) - 1)), F.shiftright(x, low).bitwiseAND(F.lit((1 << mid) - 1)), F.shiftright(x, low + mid))
+        sums += [F.sum(part).alias(f"{n}__{i}") for i, part in enumerate(parts)]
+    added = df.groupBy(*keys).agg(*sums)
+    names = [c for c in added.columns if not any(c.startswith(f"{n}__") for n in units)]
+    part = lambda n, i, bits: F.col(f"`{n}__{i}`").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(13,0)")
+    whole_sum = lambda n: part(n, 0, 0) + part(n, 1, low) + part(n, 2, low + mid)
+    return added.select(*[F.col(f"`{c}`") for c in names], *[shown(whole_sum(n), n) for n in units])
 
 
 def monthly_totals(
@@ -79,7 +86,7 @@ def sum_by(
 def _sum(df: DataFrame, column: str, decimals: int | None, over: WindowSpec | None = None) -> Column:
     """Sum of a column of a monthly or annual table, in whole units when ``decimals`` is given."""
     x = nan_safe(df, column)
-    total = F.sum(x if decimals is None else F.rint(x * 10**decimals).cast("bigint"))
+    total = F.sum(x if decimals is None else F.rint(x * 10**decimals).cast("decimal(28,0)"))
     total = total if over is None else total.over(over)
     return total if decimals is None else total.cast("double") / 10**decimals
 
@@ -169,11 +176,6 @@ def union_sources(
     return out.withColumn("rank__s", F.row_number().over(w)).where("rank__s = 1").drop("rank__s")
 
 
-def with_sequence(df: DataFrame, keys: list[str], order: str = C.YEAR) -> DataFrame:
-    """Explicit position of each row in its series (annual grain)."""
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-
-
 def with_lags(
     df: DataFrame, keys: list[str], value: str = C.VALUE, n: int = 3, order: str = C.YEAR
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,13 @@ from tidemark.functions.calendar import clean_header, parse_month, with_calendar
 from tidemark.functions.numbers import parse_number
 
 
-def month_columns(columns: list[str]) -> list[str]:
-    """Columns whose name contains a French month stem, in any case."""
-    return [c for c in columns if any(stem in c.lower() for stem in C.MONTH_STEMS_FR)]
+def month_headers(df: DataFrame, full_names: bool = False) -> dict[str, datetime.date]:
+    """The columns whose header names a month, with its first day. Headers are known when the plan
+    is built, so each is parsed once, not in every cell."""
+    headers = df.sparkSession.createDataFrame([(c,) for c in df.columns], "header string")
+    day = parse_month(clean_header(F.col("header"), full_names))
+    found = {r["header"]: r["day"] for r in headers.select("header", day.alias("day")).collect()}
+    return {c: found[c] for c in df.columns if found[c] is not None}
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
@@ -23,17 +29,14 @@ def melt(df: DataFrame, ids: list[str], values: list[str], name: str, value: str
 
 
 def unpivot_months(df: DataFrame, full_names: bool = False, strip_nbsp: bool = False) -> DataFrame:
-    """Wide monthly sheet to the long calendar form; headers that are no month are dropped."""
-    months = month_columns(df.columns)
-    ids = [c for c in df.columns if c not in months]
-    long = melt(df, ids, months, C.MONTH, C.VALUE)
-    return with_calendar(
-        long.select(
-            *[F.col(f"`{c}`") for c in ids],
-            parse_number(F.col(C.VALUE), strip_nbsp).alias(C.VALUE),
-            parse_month(clean_header(F.col(C.MONTH), full_names)).alias(C.DATE),
-        ).na.drop(subset=[C.DATE])
-    )
+    """Wide monthly sheet to the long calendar form; a column whose header is no month stays beside
+    every row."""
+    months = month_headers(df, full_names)
+    ids = [F.col(f"`{c}`") for c in df.columns if c not in months]
+    cells = [F.struct(F.lit(day).alias(C.DATE), F.col(f"`{c}`").alias("cell__v")) for c, day in months.items()]
+    long = df.select(*ids, F.inline(F.array(*cells)))
+    number = parse_number(F.col("cell__v"), strip_nbsp).alias(C.VALUE)
+    return with_calendar(long.select(*ids, number, F.col(C.DATE)))
 
 
 def pivot_months(df: DataFrame, keys: list[str], value: str = C.VALUE) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,9 +12,6 @@ from tidemark.functions.text import prompt, strip
 from tidemark.operators.ranking import top_k
 from tidemark.session import materialise
 
-# Largest question matrix that is sent to every task: rows, and bytes of float64.
-MATRIX_ROWS = 8192
-MATRIX_BYTES = 64 * 1024 * 1024
 DOC_BLOCK = 20_000
 QUESTION_BLOCK = 2_000
 # Scores held at a time by one task.
@@ -43,15 +38,19 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _score_block(
-    qids: np.ndarray, ks: np.ndarray, q: np.ndarray, ids: np.ndarray, d: np.ndarray
+    qids: np.ndarray, ks: np.ndarray, q: np.ndarray, ids: np.ndarray, d: np.ndarray,
+    low: np.ndarray, high: np.ndarray, at: np.ndarray,
 ) -> pd.DataFrame:
-    """The ``k`` best documents of this block for each question; never all pairs."""
+    """The ``k`` best documents of this block for each question, of those with ``at`` from ``low`` to
+    ``high`` where these are given; never all pairs."""
     out_q, out_i, out_s, out_k = [], [], [], []
     step = max(1, SCORE_CELLS // max(len(ids), 1))
     for start in range(0, len(qids) if len(ids) else 0, step):
         scores = np.round(q[start : start + step] @ d.T, _SCORE_DECIMALS) + 0.0
         for row, found in enumerate(scores, start):
-            best = _best(found, ids, int(ks[row]))
+            inside = np.ones(len(ids), bool) if np.isnan(low[row]) else (at >= low[row]) & (at <= high[row])
+            inside = np.flatnonzero(inside)
+            best = inside[_best(found[inside], ids[inside], int(ks[row]))]
             out_q.append(np.repeat(qids[row], len(best)))
             out_k.append(np.repeat(ks[row], len(best)))
             out_i.append(ids[best])
@@ -73,67 +72,26 @@ def knn(
     questions: DataFrame,
     on: list[str] | None = None,
     cosine: bool = True,
+    span: tuple[str, str, str] | None = None,
 ) -> DataFrame:
     """``k`` most similar documents per question, exactly: ``(qid, rank, id, score)``.
 
     ``docs(id, vector, *on)`` and ``questions(qid, vector, k, *on)``; a question meets
-    the documents whose ``on`` columns are equal and may have several ``on`` rows. Scores
-    are rounded to nine decimals so that copies tie; ties go to the smaller id.
-
-    A question table of checked size goes to every task as one matrix and the documents are
-    scored where they are read. Beyond that size documents and questions meet in a grid of
-    blocks (see ``_knn_grid``).
+    the documents whose ``on`` columns are equal and may have several ``on`` rows. ``span``
+    names columns ``low`` and ``high`` of questions and one of documents that must lie between
+    them; a null ``low`` admits all. Scores are rounded to nine decimals so that copies tie;
+    ties go to the smaller id. Rows without a vector are left out.
     """
     on = on or []
-    small = _small_matrix(questions, on, cosine)
-    if small is not None:
-        return _final(_knn_matrix(docs, questions, on, *small, cosine=cosine))
+    low, high, at = (F.col(c).cast("double") for c in span) if span else [F.lit(None).cast("double")] * 3
+    docs = docs.where("vector IS NOT NULL").withColumn("span__at", at)
+    questions = questions.where("vector IS NOT NULL").withColumns({"span__low": low, "span__high": high})
     if not on:
         on = ["cell__v"]
         docs, questions = (df.withColumn("cell__v", F.lit(0)) for df in (docs, questions))
-    return _final(_knn_grid(docs, questions, on, cosine))
-
-
-def _small_matrix(questions: DataFrame, on: list[str], cosine: bool):
-    """Questions as arrays with their rows per cell, or ``None`` beyond the limit."""
-    pdf = questions.select("qid", "k", "vector", *on).limit(MATRIX_ROWS + 1).toPandas()
-    if len(pdf) > MATRIX_ROWS:
-        return None
-    q = _unit(list(pdf["vector"]), cosine)
-    if q.nbytes > MATRIX_BYTES:
-        return None
-    rows: dict[tuple, list[int]] = {}
-    for i, cell in enumerate(pdf[on].itertuples(index=False, name=None) if on else [()] * len(pdf)):
-        rows.setdefault(tuple(cell), []).append(i)
-    return pdf["qid"].to_numpy(), pdf["k"].to_numpy(), q, rows
-
-
-def _knn_matrix(docs, questions, on, qids, ks, q, rows, cosine) -> DataFrame:
-    def cells(pdf: pd.DataFrame):
-        if not on:
-            return [((), pdf)]
-        groups = pdf.groupby(on, sort=False)
-        return ((cell if isinstance(cell, tuple) else (cell,), part) for cell, part in groups)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            found = [] if held is None else [held]
-            for cell, part in cells(pdf):
-                at = rows.get(cell)
-                if at and len(part):
-                    d = _unit(list(part["vector"]), cosine)
-                    found.append(_score_block(qids[at], ks[at], q[at], part["id"].to_numpy(), d))
-            if found:
-                # A task keeps k rows per question, not k per batch.
-                held = pd.concat(found).sort_values(
-                    ["qid", "score", "id"], ascending=[True, False, True]
-                )
-                held = held[held.groupby("qid").cumcount() < held["k"]]
-        if held is not None:
-            yield held
-
-    return docs.select("id", "vector", *on).mapInPandas(score, _hit_schema(docs, questions))
+    hits = _knn_grid(docs, questions, on, cosine)
+    # Spans of one question may overlap; a document still counts once.
+    return _final(hits.dropDuplicates(["qid", "id"]) if span else hits)
 
 
 def _hit_schema(docs: DataFrame, questions: DataFrame) -> str:
@@ -159,14 +117,14 @@ def _knn_grid(docs: DataFrame, questions: DataFrame, on: list[str], cosine: bool
         questions.join(grid, on)
         .withColumn("qb", block("qid", "nq"))
         .withColumn("db", every("nd"))
-        .select(*on, "qb", "db", "qid", "k", "vector")
+        .select(*on, "qb", "db", "qid", "k", "vector", "span__low", "span__high")
     )
     right = (
-        docs.select("id", "vector", *on)
+        docs.select("id", "vector", "span__at", *on)
         .join(grid, on)
         .withColumn("db", block("id", "nd"))
         .withColumn("qb", every("nq"))
-        .select(*on, "qb", "db", "id", "vector")
+        .select(*on, "qb", "db", "id", "vector", "span__at")
     )
 
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -178,6 +136,7 @@ def _knn_grid(docs: DataFrame, questions: DataFrame, on: list[str], cosine: bool
             _unit(list(q["vector"]), cosine),
             d["id"].to_numpy(),
             _unit(list(d["vector"]), cosine),
+            *(x.to_numpy(dtype=float, na_value=np.nan) for x in (q["span__low"], q["span__high"], d["span__at"])),
         )
 
     cells = [*on, "qb", "db"]

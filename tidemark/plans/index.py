@@ -42,46 +42,43 @@ def build_index(
     documents: DataFrame,
     id_: Column,
     path: str,
-    current_path: str | None = None,
     source: str = C.VECTOR_SOURCE,
     make_encoder: Callable[[], Encoder] = hash_encoder,
 ) -> DataFrame:
-    """Embed documents in batches and upsert them in one bulk write."""
+    """Embed documents in batches and upsert them in one bulk write; ids must be unique."""
     tagged = documents.withColumn(C.SOURCE, F.lit(source))
     records = to_records(embed_text(tagged, "text", "values", make_encoder), id_)
-    return upsert_vectors(spark, records, path, current_path)
+    return upsert_vectors(spark, records, path)
 
 
 def answer_prompts(
     questions: DataFrame,
     records: DataFrame,
     make_encoder: Callable[[], Encoder] = hash_encoder,
+    source: str = C.VECTOR_SOURCE,
 ) -> DataFrame:
     """Prompts for many questions in one job.
 
     ``questions(qid, question, k, ranges array<struct<lo int, hi int, type string>>)``.
-    A question meets the records of its types and years only: both sides are keyed by
-    (type, year), and a record lies in at most one key. Types are compared folded.
+    Only records of ``source`` are searched, a condition that reaches the scan. A question
+    meets the records of the types of its ranges, with the year in the range; without ranges
+    it meets all. Types are compared folded.
     """
-    # Written once: the grid reads the vectors twice, and encoders are costly.
-    embedded = materialise(embed_text(questions, "question", "vector", make_encoder), "questions")
-    cells = embedded.select(
-        "qid", "vector", "k", F.explode(F.col("ranges")).alias("r")
-    ).select(
-        "qid",
-        "vector",
-        "k",
-        F.lower("r.type").alias("cell_type"),
-        F.explode(F.sequence(F.col("r.lo"), F.col("r.hi"))).alias("cell_year"),
-    )
-    # Two ranges of one question may overlap; a record must still count once.
-    cells = cells.dropDuplicates(["qid", "cell_type", "cell_year"])
-    docs = records.select(
+    found = records.where(F.col(f"metadata.{C.SOURCE}") == source)
+    docs = found.select(
         "id",
         F.col("values").alias("vector"),
-        F.lower("metadata.type").alias("cell_type"),
-        F.col(f"metadata.{C.YEAR}").cast("int").alias("cell_year"),
+        F.coalesce(F.lower("metadata.type"), F.lit("")).alias("cell_type"),
+        F.col(f"metadata.{C.YEAR}").alias("at"),
     )
-    hits = knn(docs, cells, on=["cell_type", "cell_year"])
-    texts = records.select("id", F.col("metadata.text").alias("text"))
+    # Types are the partitions of a collection: a handful.
+    types = F.array(*[F.lit(r[0]) for r in docs.select("cell_type").distinct().collect()]).cast("array<string>")
+    every = F.transform(types, lambda t: F.struct(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), t.alias("type")))
+    # Written once: the grid reads the vectors twice, and encoders are costly.
+    embedded = materialise(embed_text(questions, "question", "vector", make_encoder), "questions")
+    cells = embedded.select(
+        "qid", "vector", "k", F.inline(F.when(F.size("ranges") > 0, F.col("ranges")).otherwise(every))
+    ).withColumn("cell_type", F.lower("type"))
+    hits = knn(docs, cells, on=["cell_type"], span=("lo", "hi", "at"))
+    texts = found.select("id", F.col("metadata.text").alias("text"))
     return prompts(questions, contexts(hits, texts))

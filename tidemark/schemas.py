@@ -45,5 +45,6 @@ VECTORS = T.StructType(
             ),
         ),
         T.StructField("type", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
     ]
 )

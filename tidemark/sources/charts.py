@@ -23,40 +23,57 @@ def script_text(html: Column, markers: tuple[str, ...] = C.CHART_MARKERS) -> Col
     return F.array_join(F.filter(bodies, wanted), "")
 
 
+def _listed(text: Column) -> Column:
+    """What stands in the first brackets of a text."""
+    return F.substring_index(F.substring_index(text, "]", 1), "[", -1)
+
+
+def _key(name: str) -> str:
+    return rf"(?:^|[\s,;{{'\"]){name}['\"]?\s*:\s*"
+
+
+def _value_of(literal: Column, key: str) -> Column:
+    """What follows ``key:`` in an object literal, null without that key."""
+    return F.get(F.split(literal, _key(key), 2), F.lit(1))
+
+
+def _name_of(literal: Column) -> Column:
+    value = _value_of(literal, "label")
+    quote = F.substring(value, 1, 1)
+    return F.when(quote.isin("'", '"'), F.split_part(value, quote, F.lit(2))).otherwise(strip(F.substring_index(value, ",", 1)))
+
+
 def extract_series(
     pages: DataFrame, keys: list[str], html: str = "html",
     markers: tuple[str, ...] = C.CHART_MARKERS,
 ) -> DataFrame:
     """Rows ``(keys, Année, Mois, Valeur)`` of the chart literals of each page.
 
-    Labels are the months, each dataset label is the year. Values are padded or cut to
-    the labels. Without labelled datasets they are named ``Dataset_1``, ``Dataset_2``…
-    A page without labels gives no rows. Everything happens inside the row; no shuffle.
+    Labels are the months, each dataset label is the year. The script is cut at its braces into
+    object literals; name and numbers are read from each literal by key, in any order. Values
+    are padded or cut to the labels. Without labelled datasets they are named ``Dataset_1``,
+    ``Dataset_2``… A page without labels gives no rows. Everything happens inside the row; no
+    shuffle.
     """
     js = F.col("js__c")
-    labels = F.transform(
-        F.split(F.regexp_extract(js, C.LABELS_PATTERN, 1), ","),
-        lambda x: F.translate(strip(x), "\"'", ""),
-    )
-    named = F.arrays_zip(
-        F.regexp_extract_all(js, F.lit(C.DATASET_PATTERN), F.lit(1)).alias("name"),
-        F.regexp_extract_all(js, F.lit(C.DATASET_PATTERN), F.lit(2)).alias("data"),
-    )
+    labels = F.transform(F.split(F.col("listed__c"), ","), lambda x: F.translate(strip(x), "\"'", ""))
+    literals = F.transform(F.split(js, r"\{"), lambda x: F.substring_index(x, "}", 1))
+    found = F.transform(literals, lambda x: F.struct(_name_of(x).alias("name"), _value_of(x, "data").alias("data")))
+    named = F.filter(found, lambda x: x["name"].isNotNull() & F.startswith(x["data"], F.lit("[")))
+    lists = F.filter(F.slice(F.split(js, _key("data")), 2, F.length(js)), lambda x: F.startswith(x, F.lit("[")))
     plain = F.transform(
-        F.regexp_extract_all(js, F.lit(C.DATA_PATTERN), F.lit(1)),
-        lambda d, i: F.struct(
-            F.concat(F.lit("Dataset_"), (i + 1).cast("string")).alias("name"), d.alias("data")
-        ),
+        lists, lambda x, i: F.struct(F.concat(F.lit("Dataset_"), (i + 1).cast("string")).alias("name"), x.alias("data"))
     )
-    values = F.transform(F.split(F.col("set__c.data"), ","), lambda t: token_value(strip(t)))
-    sets = F.when(F.size("named__c") > 0, F.col("named__c")).otherwise(plain)
-    # Pages without a marker, nearly all, are left out before any pattern is tried.
+    values = F.transform(F.split(_listed(F.col("set__c.data")), ","), lambda t: token_value(strip(t)))
+    sets = F.when(F.size("named__c") > 0, F.col("named__c")).otherwise(F.col("plain__c"))
+    # Pages without a marker, nearly all, are left out before any script is cut.
     marked = reduce(or_, [F.contains(F.col(html), F.lit(m)) for m in markers])
     return (
         pages.where(marked)
         .select(*keys, script_text(F.col(html), markers).alias("js__c"))
-        .where(F.col("js__c").rlike(C.LABELS_PATTERN))
-        .select(*keys, "js__c", labels.alias("labels__c"), named.alias("named__c"))
+        .withColumn("listed__c", _listed(F.substring_index(_value_of(js, "labels"), "]", 1)))
+        .where(F.length("listed__c") > 0)
+        .select(*keys, labels.alias("labels__c"), named.alias("named__c"), plain.alias("plain__c"))
         .select(*keys, "labels__c", F.explode(sets).alias("set__c"))
         .select(
             *keys,

@@ -31,13 +31,17 @@ def _or_empty(spark: SparkSession, scan) -> DataFrame:
         return spark.createDataFrame([], schemas.LOG)
 
 
-def log_records(df: DataFrame, question: str, response: str, timestamp: Column | None = None) -> DataFrame:
-    """Log rows; a missing response is logged as ``None``, the time is now unless given."""
+def log_records(
+    df: DataFrame, question: str, response: str, timestamp: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Log rows, and the columns in ``keep``; a missing response is logged as ``None``, the time is now
+    unless given."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return df.select(
         (now if timestamp is None else timestamp).alias("timestamp"),
         F.col(question).alias("question"),
         F.coalesce(F.col(response), F.lit(C.EMPTY_RESPONSE)).alias("response"),
+        *keep,
     )
 
 

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark import schemas
-from tidemark.session import materialise
+from tidemark.operators.lookup import unique_lookup
+from tidemark.session import exists, materialise
+
+#: Parts of a collection by the hash of the id; a batch rewrites those it touches.
+BUCKETS = 64
 
 
 def to_records(df: DataFrame, id_: Column, vector: str = "values") -> DataFrame:
     """``(id, values, metadata, type)``; the year becomes a double, the rest text. ``type``
-    is repeated outside the struct as the partition column of the stored collection."""
+    is repeated outside the struct as the sort column of the stored collection."""
     return df.select(
         id_.cast("string").alias("id"),
         F.col(vector).cast("array<float>").alias("values"),
@@ -33,38 +37,45 @@ def latest(batch: DataFrame, key: str, version: list[Column]) -> DataFrame:
     return batch.withColumn("rn__v", F.row_number().over(w)).where("rn__v = 1").drop("rn__v")
 
 
-def merge(current: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Current rows whose key is not in the batch, and the batch (one row per key).
-
-    Only the keys of the batch meet the current rows: a small stored batch is broadcast
-    by its file size and the collection is not shuffled.
-    """
-    return current.join(batch.select(key), key, "left_anti").unionByName(batch)
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
 
 
-def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Partitioned by type for pruning; the rebalance splits a heavy type over tasks and
-    joins light ones, so file sizes stay even."""
+def write_vectors(df: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
+    """Partitioned by a hash bucket of the id, sorted by type inside each file, so that a
+    condition on the type skips row groups; the rebalance evens out file sizes. ``overwrite``
+    replaces the buckets that ``df`` has rows in and leaves the files of all others."""
     (
-        df.hint("rebalance", F.col("type"))
+        bucketed(df, buckets)
+        .hint("rebalance", F.col("bucket"))
+        .sortWithinPartitions("bucket", "type")
         .write.mode(mode)
-        .partitionBy("type")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
         .parquet(path)
     )
 
 
 def upsert_vectors(
-    spark: SparkSession, batch: DataFrame, path: str, current_path: str | None = None,
-    version: list[Column] | None = None,
+    spark: SparkSession, batch: DataFrame, path: str, version: list[Column] | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Upsert into a new snapshot at ``path``; last write wins. Returns its scan."""
-    version_cols = version or [F.col("id")]
-    newest = latest(batch, "id", version_cols).select(*schemas.VECTORS.fieldNames())
-    if current_path is None:
-        write_vectors(newest, path)
-    else:
-        written = materialise(newest, "batch")
-        write_vectors(merge(scan_vectors(spark, current_path), written), path)
+    """Upsert into the collection at ``path``, which is made if it is not there. Returns its scan.
+
+    With ``version`` the row of an id with the highest one is written; without it an id that
+    occurs twice in the batch is an error. Only the buckets that the batch touches are read
+    and rewritten. ``buckets`` must stay the same for a collection.
+    """
+    names = [c for c in schemas.VECTORS.fieldNames() if c != "bucket"]
+    newest = latest(batch, "id", version) if version else unique_lookup(batch.select(*names), ["id"])
+    newest = newest.select(*names)
+    if not exists(spark, path):
+        write_vectors(newest, path, buckets)
+        return scan_vectors(spark, path)
+    newest = materialise(newest, "batch")
+    touched = [r[0] for r in bucketed(newest, buckets).select("bucket").distinct().collect()]
+    current = scan_vectors(spark, path, F.col("bucket").isin(touched))
+    kept = current.join(newest.select("id"), "id", "left_anti").select(*names)
+    write_vectors(materialise(kept.unionByName(newest), "merged"), path, buckets, "overwrite")
     return scan_vectors(spark, path)
 
 
@@ -75,4 +86,5 @@ def scan_vectors(
     df = spark.read.schema(schemas.VECTORS).parquet(path)
     if predicate is not None:
         df = df.where(predicate)
+    df = df.drop("bucket")
     return df if with_values else df.drop("values")
