@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.functions.text import sentence
-from tidemark.operators.embed import Encoder, embed_text, hash_encoder
+from tidemark.operators.embed import Encoder, embed_text
 from tidemark.operators.retrieve import contexts, knn, prompts
 from tidemark.session import materialise
 from tidemark.sources.vectors import to_records, upsert_vectors
@@ -43,7 +43,7 @@ def build_index(
     id_: Column,
     path: str,
     source: str = C.VECTOR_SOURCE,
-    make_encoder: Callable[[], Encoder] = hash_encoder,
+    make_encoder: Callable[[], Encoder] | None = None,
 ) -> DataFrame:
     """Embed documents in batches and upsert them in one bulk write; ids must be unique."""
     tagged = documents.withColumn(C.SOURCE, F.lit(source))
@@ -54,7 +54,7 @@ def build_index(
 def answer_prompts(
     questions: DataFrame,
     records: DataFrame,
-    make_encoder: Callable[[], Encoder] = hash_encoder,
+    make_encoder: Callable[[], Encoder] | None = None,
     source: str = C.VECTOR_SOURCE,
 ) -> DataFrame:
     """Prompts for many questions in one job.
