@@ -182,7 +182,7 @@ _BAL_DOC = _doc_sql(_BAL, ["'key : solde-' || " + Y, _number(C.BALANCE), f"'type
 def rag_prompts(spark, sf):
     """Build the collection in one bulk write, then answer all questions from its scan."""
     id_ = F.concat_ws("-", C.SOURCE, "key")
-    docs, path = _documents(spark, sf), shared_dir(spark, "index")
-    index.build_index(spark, docs, id_, path)
-    records = index.build_index(spark, docs, id_, path, source="other")
+    sources = F.explode(F.array(F.lit(C.VECTOR_SOURCE), F.lit("other")))
+    docs = _documents(spark, sf).withColumn(C.SOURCE, sources)
+    records = index.build_index(spark, docs, id_, shared_dir(spark, "index"))
     return index.answer_prompts(_questions(spark, sf), records).select("qid", "question", "prompt")

@@ -45,8 +45,9 @@ def build_index(
     source: str = C.VECTOR_SOURCE,
     make_encoder: Callable[[], Encoder] | None = None,
 ) -> DataFrame:
-    """Embed documents in batches and upsert them in one bulk write; ids must be unique."""
-    tagged = documents.withColumn(C.SOURCE, F.lit(source))
+    """Embed documents and upsert them in one bulk write; ids must be unique. ``source`` is that of
+    documents without such a column."""
+    tagged = documents if C.SOURCE in documents.columns else documents.withColumn(C.SOURCE, F.lit(source))
     records = to_records(embed_text(tagged, "text", "values", make_encoder), id_)
     return upsert_vectors(spark, records, path)
 

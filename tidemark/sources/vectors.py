@@ -11,7 +11,7 @@ from tidemark.operators.lookup import unique_lookup
 from tidemark.session import exists, materialise
 
 #: Parts of a collection by the hash of the id; a batch rewrites those it touches.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def to_records(df: DataFrame, id_: Column, vector: str = "values") -> DataFrame:
