@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +14,37 @@ from pyspark.sql import types as T
 
 Encoder = Callable[[list[str]], np.ndarray]
 
-_BLANKS = r"[ \t\n\x0B\f\r]+"
+_WORD = re.compile(r"\S+", re.ASCII)
+
+
+class _Slots(dict):
+    """Word to slot, filled as words are met; emptied when it grows too large."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        self[word] = slot
+        return slot
+
+
+def hash_encoder(dim: int = 64) -> Encoder:
+    """Bag of words hashed to ``dim`` counts, unit length. Needs no model file."""
+    slots = _Slots(dim)
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for row, text in enumerate(texts):
+            hits = [slots[w] for w in _WORD.findall(text.lower())]
+            out[row] = np.bincount(hits, minlength=dim) if hits else 0
+        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, norms, out=out, where=norms > 0)
+
+    return encode
 
 
 def encode_column(text: Column, make_encoder: Callable[[], Encoder]) -> Column:
@@ -35,24 +67,10 @@ def embed_text(
     df: DataFrame,
     text: str,
     out: str = "values",
-    make_encoder: Callable[[], Encoder] | None = None,
-    dim: int = 64,
+    make_encoder: Callable[[], Encoder] = hash_encoder,
 ) -> DataFrame:
-    """Add the embedding; rows stay where they are read (see ``session.spread_scan``).
-
-    Without an encoder it is the bag of words hashed to ``dim`` counts, of unit length, by
-    built-in functions; ``make_encoder`` is the hook for a model.
-    """
-    if make_encoder:
-        return df.withColumn(out, encode_column(F.col(text), make_encoder))
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _BLANKS), lambda w: w != "")
-    slot = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    count = lambda d: (F.size("slots__e") - F.size(F.array_remove("slots__e", d))).cast("double")
-    rows = df.withColumn("slots__e", F.transform(words, slot))
-    rows = rows.withColumn("counts__e", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count))
-    norm = F.sqrt(F.aggregate("counts__e", F.lit(0.0), lambda acc, c: acc + c * c))
-    unit = F.zip_with("counts__e", F.array_repeat(norm, dim), lambda c, n: F.when(n > 0, c / n).otherwise(0.0))
-    return rows.withColumn(out, unit).drop("slots__e", "counts__e")
+    """Add the embedding; rows stay where they are read (see ``session.spread_scan``)."""
+    return df.withColumn(out, encode_column(F.col(text), make_encoder))
 
 
 def embedding_dims(df: DataFrame, vector: str, n: int = 3, order: str = "id") -> DataFrame:
