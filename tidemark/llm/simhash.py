@@ -114,19 +114,25 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text")
     """Each row with its fingerprint, that of its edited text, and its next document's id.
 
     The edited text has the last third replaced by the start of the next document's text."""
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # One key without nulls on both sides, so that the texts are shuffled once for both joins.
+    nil = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.coalesce(F.col(id).cast("long"), nil).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     third = F.floor(F.length("text") / 3).cast("int")
-    sizes = materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(third).alias("third")), "sizes")
+    sizes = rows.where(F.col("key") != nil).groupBy(F.col("key").alias("doc_id")).agg(F.max(third).alias("third"))
+    sizes = materialise(sizes, "sizes")
     order = materialise(next_ids(sizes.select("doc_id")).join(sizes, "doc_id"), "order")
-    givers = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "third")
-    pieces = rows.join(givers, "doc_id").select("to", F.expr("substring(text, 1, third)").alias("piece"))
-    pieces = pieces.groupBy(F.col("to").alias("doc_id")).agg(F.min("piece").alias("piece"))
-    both = rows.join(pieces, "doc_id", "left").withColumn("row", F.monotonically_increasing_id())
-    both = both.select("doc_id", "row", "text", F.length("text").alias("n_chars"), third.alias("third"), F.coalesce("piece", F.lit("")).alias("piece"))
+    givers = order.select(F.coalesce("next_id", nil).alias("key"), F.coalesce("doc_id", nil).alias("to"), "third")
+    pieces = rows.join(givers, "key").select("to", F.expr("substring(text, 1, third)").alias("piece"))
+    pieces = pieces.groupBy(F.col("to").alias("key")).agg(F.min("piece").alias("piece"))
+    both = rows.join(pieces, "key", "left").select(
+        "key", "text", F.length("text").alias("n_chars"), third.alias("third"), F.coalesce("piece", F.lit("")).alias("piece"),
+        F.monotonically_increasing_id().alias("row"),
+    )
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - third), substring(piece, 1, third))"))
-    both = both.select("doc_id", "row", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array("text", "edited").alias("texts"))
-    each = both.select("doc_id", "row", "n_chars", "edited_sha256", F.posexplode("texts").alias("kind", "text"))
-    prints = fingerprints(each, ["doc_id", "row", "n_chars", "edited_sha256", "kind"], "text")
+    keys = ["key", "row", "n_chars", "edited_sha256"]
+    both = both.select("key", "row", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array("text", "edited").alias("texts"))
+    prints = fingerprints(both.select(*keys, F.posexplode("texts").alias("kind", "text")), [*keys, "kind"], "text")
     one = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    wide = prints.groupBy("doc_id", "row", "n_chars", "edited_sha256").agg(one("f1", 0).alias("f1"), one("f2", 0).alias("f2"), one("f1", 1).alias("e1"), one("f2", 1).alias("e2"))
-    return materialise(wide.drop("row"), "prints").join(order.select("doc_id", "next_id"), "doc_id", "left")
+    wide = prints.groupBy(*keys).agg(one("f1", 0).alias("f1"), one("f2", 0).alias("f2"), one("f1", 1).alias("e1"), one("f2", 1).alias("e2"))
+    wide = wide.withColumn("doc_id", F.nullif(F.col("key"), nil)).drop("key", "row")
+    return materialise(wide, "prints").join(order.select("doc_id", "next_id"), "doc_id", "left")
