@@ -25,6 +25,8 @@ from tidemark.llm.labelled import sample
 
 BITS, PER_CLASS, STEPS = 18, 4000, 16000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
+#: Bytes of text whose features are held at a time.
+SLICE = 1 << 20
 
 # Classes of bytes for the shape of a word: every byte that no class holds is its own.
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -72,8 +74,12 @@ def features(texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def fit(texts, y: np.ndarray, share: np.ndarray, bits: int = BITS, steps: int = STEPS) -> np.ndarray:
     """Weights, and the bias at the end."""
     size = 1 << bits
-    z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    at, values, bounds = features(texts, bits)
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    # In slices, so that the sorted features of all texts are never held at once.
+    parts = [features(part.column("text"), bits) for part in W.slices(pa.table({"text": texts}), "text", SLICE)]
+    at = np.concatenate([np.zeros(0, np.int32), *(p[0].astype(np.int32) for p in parts)])
+    values = np.concatenate([np.zeros(0, np.float32), *(p[1].astype(np.float32) for p in parts)])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, int), *(np.diff(p[2]) for p in parts)]))])
     for epoch in range(-(-steps // max(len(y), 1))):
         for i in np.random.default_rng(epoch).permutation(len(y)):
             lo, hi = bounds[i], bounds[i + 1]
@@ -118,7 +124,7 @@ def scored(docs: DataFrame, weights: np.ndarray, carry: tuple[str, ...] = ()) ->
 
     def run(batches):
         for batch in batches:
-            for part in W.slices(pa.Table.from_batches([batch]), "text"):
+            for part in W.slices(pa.Table.from_batches([batch]), "text", SLICE):
                 p = pa.array(probabilities(part.column("text"), weights))
                 yield from part.append_column("quality_score", p).to_batches()
 
