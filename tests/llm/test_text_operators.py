@@ -234,6 +234,37 @@ def test_block_tables_find_all(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("blocks", [3, 5, 6, 8])
+def test_all_cuts_find_all_once(spark, monkeypatch, blocks):
+    rng = np.random.default_rng(blocks)
+    base, rows = rng.integers(0, 2, (6, 128)), []
+    for i in range(240):
+        bits = base[i % 6] ^ (rng.permutation(128) < rng.integers(0, 14))
+        rows.append((i, *np.packbits(bits).view(">i8").tolist()))
+    df = spark.createDataFrame(rows, "q long, f1 long, f2 long")
+    apart = lambda a, b: sum((x ^ y & (1 << 64) - 1).bit_count() for x, y in zip([v & (1 << 64) - 1 for v in a], b))
+    monkeypatch.setattr(simhash, "_plan", lambda radius, *_: simhash._cut(radius, blocks))
+    got = {r["q"]: r["n_within"] for r in simhash.within_radius(df.where("q % 4 = 0"), df, 7).collect()}
+    assert got == {i: sum(apart((a, b), r[1:]) <= 7 for r in rows) for i, a, b in rows if i % 4 == 0}
+
+
+def test_texts_with_few_edited_words_are_within_radius(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        words = prose(rng, 100).split()
+        rows.append((i * 10, " ".join(words)))
+        for edits in (1, 2, 3):
+            new = list(words)
+            for j in rng.choice(100, edits, replace=False):
+                new[j] = f"edit{i}_{j}"
+            rows.append((i * 10 + edits, " ".join(new)))
+    prints = simhash.fingerprints(spark.createDataFrame(rows, "q long, text string"), ["q"], "text")
+    got = {r["q"]: r["n_within"] for r in simhash.within_radius(prints.where("q % 10 = 0"), prints.select("f1", "f2")).collect()}
+    # One in a hundred with three of a hundred words replaced differs by more bits.
+    assert len(got) == 40 and min(got.values()) >= 3 and sum(got.values()) >= 40 * 4 - 3
+
+
 def test_next_ids_of_uneven_ids(spark, monkeypatch):
     monkeypatch.setattr(simhash, "IDS_OF_BUCKET", 3)
     ids = [5, 7, 8, 1000, 1001, -40, 999999, 10, 11, 12]

@@ -4,10 +4,14 @@ Terms are pairs of neighbouring words (the last one alone). Each votes with the
 characters, and as often as it occurs, on ``BITS`` bits by two 64-bit hashes; a bit is set if
 more than half of the weight is for it. Two counts share a long, so 64 sums count 128 bits.
 
-``within_radius`` finds all fingerprints within a Hamming radius by permuted block tables: 128
-bits are cut into ``RADIUS + 2`` blocks, of which two at least are intact within the radius, so
-one table for each pair of blocks, keyed by its 51 bits or so, holds every match. Equal
-fingerprints are one entry with a count, so copies are never paired.
+``within_radius`` finds all fingerprints within a Hamming radius. ``RADIUS`` is the number of bits by
+which texts with a Jaccard similarity of terms of ``LIKE`` differ on average: of texts just as like
+as that about half are found, of liker ones nearly all. 128 bits are cut into blocks with a
+number of flips each; these and one for each block are more than the radius in sum, so a match
+has a block with no more flips than its number. Each entry is kept by the bits of each block,
+each query looks up all that its blocks may be flipped to, and a match counts at its first such
+block only. ``_plan`` takes the number of blocks that costs least at the sizes given; all find the
+same. Equal fingerprints are one entry with a count, so copies are never paired.
 
 Defined results: a null text is empty; texts without words have the fingerprint 0; equal texts
 have equal fingerprints; rows with equal ids are each fingerprinted, and as the next document
@@ -17,6 +21,7 @@ borrow nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +29,12 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-BITS, RADIUS, IDS_OF_BUCKET = 128, 3, 1000
+BITS, IDS_OF_BUCKET = 128, 1000
+#: Jaccard similarity of terms (as that of ``prefix_join``); bits of its cosine, for terms of equal weights.
+LIKE = 0.75
+RADIUS = math.ceil(BITS / math.pi * math.acos(2 * LIKE / (1 + LIKE)))
+#: Least bits of a key; most flips of a block, which are a constant of the plan; cost of a compared pair to a key looked up.
+LEAST_KEY, MOST_FLIPS, PAIR = 16, 5000, 0.02
 LANES = 0x0000000100000001
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -66,30 +76,65 @@ def likeness(bits: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.cos(F.lit(3.141592653589793 / BITS) * bits)), 6)
 
 
-def _bits(start: int, size: int) -> Column:
+def _bits(start: int, size: int, f1: Column, f2: Column) -> Column:
     """Bits from ``start`` on of a fingerprint's 128; a block may lie in both longs."""
     parts = []
-    for word, base in (("f1", 0), ("f2", 64)):
+    for word, base in ((f1, 0), (f2, 64)):
         lo, hi = max(start, base), min(start + size, base + 64)
         if lo < hi:
             parts.append(F.shiftrightunsigned(word, lo - base).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
     return parts[0] if len(parts) == 1 else F.shiftleft(parts[1], min(start + size, 64) - start).bitwiseOR(parts[0])
 
 
+def _cut(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """Start, size and flips of each block; a block of -1 flips isn't needed."""
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    flips = radius // blocks
+    most = radius + 1 - blocks * flips
+    return [(lo, hi - lo, flips if i < most else flips - 1) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+
+
+def _flipped(size: int, flips: int) -> int:
+    return sum(math.comb(size, k) for k in range(flips + 1))
+
+
+def _plan(radius: int, asked: int, entries: int) -> list[tuple[int, int, int]]:
+    """The cheapest cut: keys written and looked up, and pairs compared if bits were even."""
+
+    def cost(cut):
+        return sum(entries + asked * _flipped(w, t) * (1 + PAIR * entries / 2**w) for _, w, t in cut if t >= 0)
+
+    cuts = [_cut(radius, blocks) for blocks in range(3, BITS // LEAST_KEY + 1)]
+    return min((c for c in cuts if all(_flipped(w, t) <= MOST_FLIPS for _, w, t in c)), key=cost)
+
+
+def _masks(size: int, flips: int) -> Column:
+    masks = [sum(1 << i for i in at) for k in range(flips + 1) for at in combinations(range(size), k)]
+    return F.expr(f"array({','.join(f'{m}L' for m in masks)})")
+
+
+def _matches(asked: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
+    """Each pair of distinct ``asked (g1, g2)`` and ``entries (f1, f2, ...)`` within ``radius``, once, with its ``bits``."""
+    cut = _plan(radius, asked.count(), entries.count())
+    used = [(i, start, size, flips) for i, (start, size, flips) in enumerate(cut) if flips >= 0]
+    of = lambda start, size, a, b: _bits(start, size, F.col(a), F.col(b))
+    key = lambda i, start, size, a, b: of(start, size, a, b).bitwiseOR(F.lit(i << 48))
+    spread = entries.select("*", F.explode(F.array(*[key(i, lo, w, "f1", "f2") for i, lo, w, _ in used])).alias("key"))
+    flipped = [F.transform(_masks(w, t), key(i, lo, w, "g1", "g2").bitwiseXOR) for i, lo, w, t in used]
+    probe = asked.select("g1", "g2", F.explode(F.concat(*flipped)).alias("key"))
+    x1, x2 = F.col("f1").bitwiseXOR(F.col("g1")), F.col("f2").bitwiseXOR(F.col("g2"))
+    first = F.coalesce(*[F.when(F.bit_count(_bits(lo, w, x1, x2)) <= t, F.lit(i)) for i, lo, w, t in used])
+    bits = differing(("f1", "f2"), ("g1", "g2"))
+    # The planner takes the keys looked up for as few as the queries, and would broadcast them.
+    near = spread.join(probe.hint("merge"), "key").where(bits <= radius).where(first == F.shiftrightunsigned("key", 48))
+    return near.withColumn("bits", bits).drop("key")
+
+
 def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For each ``q`` of ``queries (q, f1, f2)`` the number of ``index (f1, f2)`` rows within ``radius``."""
-    blocks = radius + 2
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    keys = F.array(*[
-        F.struct(F.lit(n).alias("table"), _bits(edges[i], edges[i + 1] - edges[i]).alias("x"), _bits(edges[j], edges[j + 1] - edges[j]).alias("y"))
-        for n, (i, j) in enumerate(combinations(range(blocks), 2))
-    ])
     entries = materialise(index.groupBy("f1", "f2").agg(F.count("*").alias("n")), "entries")
-    asked = queries.groupBy("f1", "f2").agg(F.count("*").alias("asked"))
-    spread = lambda df, *more: df.select("f1", "f2", *more, F.inline(keys))
-    probe = spread(asked).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "table", "x", "y")
-    near = spread(entries, "n").join(probe, ["table", "x", "y"]).where(differing(("f1", "f2"), ("g1", "g2")) <= radius)
-    near = near.select("g1", "g2", "f1", "f2", "n").distinct().groupBy("g1", "g2").agg(F.sum("n").alias("n_within"))
+    asked = materialise(queries.select(F.col("f1").alias("g1"), F.col("f2").alias("g2")).distinct(), "asked")
+    near = _matches(asked, entries, radius).groupBy("g1", "g2").agg(F.sum("n").alias("n_within"))
     near = materialise(near.withColumnsRenamed({"g1": "f1", "g2": "f2"}), "near")
     return queries.join(near, ["f1", "f2"], "left").select("q", F.coalesce("n_within", F.lit(0)).alias("n_within"))
 
