@@ -265,6 +265,18 @@ def test_texts_with_few_edited_words_are_within_radius(spark):
     assert len(got) == 40 and min(got.values()) >= 3 and sum(got.values()) >= 40 * 4 - 3
 
 
+def test_matches_carry_ids_and_bits(spark):
+    rows = [(1, 0, 0), (2, 0, 0), (3, 7, 0), (4, -1, -1), (5, 0, 1 << 40), (6, -1, -2)]
+    df = spark.createDataFrame(rows, "doc_id long, f1 long, f2 long")
+    asked = df.withColumnRenamed("doc_id", "q").where("q IN (1, 2, 4)")
+    got = sorted(tuple(r) for r in simhash.matched_documents(asked, df, 3).collect())
+    near = [(1, 0), (2, 0), (3, 3), (5, 1)]
+    assert got == sorted([(q, d, bits) for q in (1, 2) for d, bits in near] + [(4, 4, 0), (4, 6, 1)])
+    entries = df.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
+    pairs = sorted((r["g1"], r["g2"], r["least"], r["bits"]) for r in simhash.matches(asked.drop("q"), entries, 3).collect())
+    assert pairs == [(-1, -1, 4, 0), (-1, -1, 6, 1), (0, 0, 1, 0), (0, 0, 3, 3), (0, 0, 5, 1)]
+
+
 def test_next_ids_of_uneven_ids(spark, monkeypatch):
     monkeypatch.setattr(simhash, "IDS_OF_BUCKET", 3)
     ids = [5, 7, 8, 1000, 1001, -40, 999999, 10, 11, 12]

@@ -113,7 +113,7 @@ def _masks(size: int, flips: int) -> Column:
     return F.expr(f"array({','.join(f'{m}L' for m in masks)})")
 
 
-def _matches(asked: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
+def _pairs(asked: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
     """Each pair of distinct ``asked (g1, g2)`` and ``entries (f1, f2, ...)`` within ``radius``, once, with its ``bits``."""
     cut = _plan(radius, asked.count(), entries.count())
     used = [(i, start, size, flips) for i, (start, size, flips) in enumerate(cut) if flips >= 0]
@@ -130,11 +130,28 @@ def _matches(asked: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
     return near.withColumn("bits", bits).drop("key")
 
 
+def _entries(index: DataFrame) -> DataFrame:
+    return materialise(index.groupBy("f1", "f2").agg(F.count("*").alias("n")), "entries")
+
+
+def matches(queries: DataFrame, entries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs of a distinct fingerprint ``g1, g2`` of ``queries (f1, f2)`` and a row of ``entries``, whose
+    ``f1, f2`` are distinct, within ``radius``; with the columns of ``entries`` and the ``bits`` that differ."""
+    asked = materialise(queries.select(F.col("f1").alias("g1"), F.col("f2").alias("g2")).distinct(), "asked")
+    return _pairs(asked, entries, radius)
+
+
+def matched_documents(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``q``, ``doc_id``, ``bits`` of each row of ``queries (q, f1, f2)`` with each of ``index (doc_id, f1, f2)`` within
+    ``radius``. Copies are written out here, where the members of the matched fingerprints are joined."""
+    near = materialise(matches(queries, _entries(index), radius).drop("n"), "matches")
+    found = near.join(index.select("doc_id", "f1", "f2"), ["f1", "f2"]).select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), "doc_id", "bits")
+    return queries.select("q", "f1", "f2").join(found, ["f1", "f2"]).select("q", "doc_id", "bits")
+
+
 def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For each ``q`` of ``queries (q, f1, f2)`` the number of ``index (f1, f2)`` rows within ``radius``."""
-    entries = materialise(index.groupBy("f1", "f2").agg(F.count("*").alias("n")), "entries")
-    asked = materialise(queries.select(F.col("f1").alias("g1"), F.col("f2").alias("g2")).distinct(), "asked")
-    near = _matches(asked, entries, radius).groupBy("g1", "g2").agg(F.sum("n").alias("n_within"))
+    near = matches(queries, _entries(index), radius).groupBy("g1", "g2").agg(F.sum("n").alias("n_within"))
     near = materialise(near.withColumnsRenamed({"g1": "f1", "g2": "f2"}), "near")
     return queries.join(near, ["f1", "f2"], "left").select("q", F.coalesce("n_within", F.lit(0)).alias("n_within"))
 
