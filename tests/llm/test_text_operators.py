@@ -285,6 +285,16 @@ def test_next_ids_of_uneven_ids(spark, monkeypatch):
     assert got == dict(zip(down, down[1:] + down[:1]))
 
 
+def test_far_id_leaves_ranges_even(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "IDS_OF_BUCKET", 100)
+    ids = [*range(5000), 10**15]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(4)
+    got = {r["doc_id"]: r["next_id"] for r in simhash.next_ids(df).collect()}
+    assert got == {i: after for after, i in zip([ids[-1], *ids], ids)}
+    ranges = simhash._ranged(df, len(ids)).groupBy("bucket").count().collect()
+    assert len(ranges) >= 40 and max(r["count"] for r in ranges) <= 300
+
+
 def base_counts(text):
     w, seen, repeated = WORD.findall(text), set(), 0
     for line in text.split("\n"):

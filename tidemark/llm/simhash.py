@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-BITS, IDS_OF_BUCKET = 128, 1000
+BITS, IDS_OF_BUCKET = 128, 100_000
 #: Jaccard similarity of terms (as that of ``prefix_join``); bits of its cosine, for terms of equal weights.
 LIKE = 0.75
 RADIUS = math.ceil(BITS / math.pi * math.acos(2 * LIKE / (1 + LIKE)))
@@ -156,17 +156,23 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) ->
     return queries.join(near, ["f1", "f2"], "left").select("q", F.coalesce("n_within", F.lit(0)).alias("n_within"))
 
 
+def _ranged(ids: DataFrame, n: int) -> DataFrame:
+    """``ids`` with the ``bucket`` of each: ranges in order of the ids, with about as many in each."""
+    parts = max(ids.sparkSession.sparkContext.defaultParallelism, -(-n // IDS_OF_BUCKET))
+    rows = ids.select("doc_id").repartitionByRange(parts, "doc_id").withColumn("bucket", F.spark_partition_id())
+    return materialise(rows, "ranged")
+
+
 def next_ids(ids: DataFrame) -> DataFrame:
     """For distinct ``doc_id``, the next in descending order; after the last the first.
 
-    Ids lie in buckets of equal width; only the largest id of each bucket is looked at across them."""
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    Ids are sorted in ranges; only the largest id of each range is handed to the range above it."""
+    high, n = ids.agg(F.max("doc_id"), F.count("*")).first()
     if not n:
         return ids.select("doc_id", F.col("doc_id").alias("next_id"))
-    width = -(-(high - low + 1) // max(1, n // IDS_OF_BUCKET))
-    ids = ids.select("doc_id", F.floor((F.col("doc_id") - low) / F.lit(width)).alias("bucket"))
+    ids = _ranged(ids, n)
     tops = ids.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    tops = tops.select("bucket", F.lag("top").over(Window.orderBy("bucket")).alias("below"))
+    tops = tops.select("bucket", F.lag("top").over(Window.orderBy("bucket")).alias("below"))  # a row for each range
     own = F.lead("doc_id").over(Window.partitionBy("bucket").orderBy(F.desc("doc_id")))
     out = ids.select("doc_id", "bucket", own.alias("own")).join(tops, "bucket")
     return out.select("doc_id", F.coalesce("own", "below", F.lit(high)).alias("next_id"))
