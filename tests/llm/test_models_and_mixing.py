@@ -172,6 +172,14 @@ def raked_by_hand(cells, targets, rounds=500):
     return w
 
 
+def test_cells_without_words_keep_their_share(spark):
+    rows = [(i, "" if i % 2 else "a b c", "blank" if i % 2 else "full", "en") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = raking.mixed(df).collect()
+    assert {r["probability"] for r in got if r["source"] == "blank"} == {raking.KEEP}
+    assert 0.5 < sum(r["sampled"] for r in got if r["source"] == "blank") / 200 < 0.9
+
+
 def test_raking(spark):
     rng = np.random.default_rng(8)
     names = ("source", "lang", "topic")

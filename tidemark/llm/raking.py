@@ -7,8 +7,8 @@ id. Cells are as many as there are combinations, not rows; they are split over t
 ``CELLS_OF_TASK``, and each round of raking is written to the shared folder.
 
 Defined results: a null or absent value of a marginal is a value of its own; a document without
-words has weight 0 tokens and its cell's probability; a cell whose value has no target is left
-out (probability 0), a target without cells is spread over the others; repeated rows share
+words has weight 0 tokens and its cell's probability, in a cell without any words ``keep``, so far
+as its values have targets; a cell whose value has no target is left out (probability 0), a target without cells is spread over the others; repeated rows share
 their fate; a null id counts as 0; an empty table gives no rows.
 """
 
@@ -106,8 +106,15 @@ def fitted(rows: DataFrame, names: tuple[str, ...], targets: DataFrame | None, k
         for m in names:
             goal = tempered(cells, m)
             targets = goal if targets is None else targets.unionByName(goal)
-    done = probabilities(raked(cells, scratch.write(targets, "targets"), names, scratch), keep)
-    done = scratch.write(done.select(*names, F.round(F.col("weight") / F.col("tokens"), 9).alias("weight"), "probability"), "fitted")
+    targets = scratch.write(targets, "targets")
+    done = probabilities(raked(cells, targets, names, scratch), keep)
+    done = done.select(*names, F.round(F.col("weight") / F.col("tokens"), 9).alias("weight"), "probability")
+    blank = cells.where("tokens = 0")
+    for m in names:
+        aimed = targets.where((F.col("marginal") == m) & (F.col("share") > 0)).select(F.col("value").alias(m))
+        blank = blank.join(aimed, m, "left_semi")
+    blank = blank.select(*names, F.lit(0.0).alias("weight"), F.lit(float(keep)).alias("probability"))
+    done = scratch.write(done.unionByName(blank), "fitted")
     scratch.drop("fitted")
     return done
 
