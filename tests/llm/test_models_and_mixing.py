@@ -180,6 +180,15 @@ def test_cells_without_words_keep_their_share(spark):
     assert 0.5 < sum(r["sampled"] for r in got if r["source"] == "blank") / 200 < 0.9
 
 
+def test_contradicting_targets_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(raking, "ROUNDS", 2)
+    cells = spark.createDataFrame([("a", "x", 10.0), ("b", "y", 10.0)], "source string, lang string, tokens double")
+    goals = [("source", "a", 0.5), ("source", "b", 0.5), ("lang", "x", 0.9), ("lang", "y", 0.1)]
+    targets = spark.createDataFrame(goals, "marginal string, value string, share double")
+    with pytest.warns(UserWarning, match="'source': 0.8"):
+        raking.raked(cells, targets, ("source", "lang"))
+
+
 def test_raking(spark):
     rng = np.random.default_rng(8)
     names = ("source", "lang", "topic")

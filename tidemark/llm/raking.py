@@ -14,6 +14,8 @@ their fate; a null id counts as 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +47,20 @@ def tempered(cells: DataFrame, column: str, power: float = TEMPER) -> DataFrame:
     return sums.select(F.lit(column).alias("marginal"), "value", F.pow(F.greatest("tokens", F.lit(1.0)), power).alias("share"))
 
 
+def deviations(cells: DataFrame, marginals: tuple[str, ...], sums: dict[str, float], whole: float) -> dict[str, float]:
+    """Of each marginal the largest part by which the weight of a value misses its goal."""
+    out = {}
+    for m in marginals:
+        found = cells.groupBy(m).agg(F.sum("weight").alias("w"), F.first(f"goal_{m}").alias("g"))
+        out[m] = found.agg(F.max(F.abs(F.col("w") / (F.col("g") / F.lit(sums[m]) * F.lit(whole)) - 1))).first()[0] or 0.0
+    return out
+
+
 def raked(cells: DataFrame, targets: DataFrame, marginals: tuple[str, ...] = MARGINALS, scratch: Scratch | None = None) -> DataFrame:
     """``cells`` with a ``weight`` whose sums by each marginal are as ``targets (marginal, value, share)``.
 
-    Weights sum to the tokens of all cells. ``scratch`` takes over the result's table."""
+    Weights sum to the tokens of all cells. Targets that contradict each other can't all be met: a warning
+    then names the deviation of each marginal that is left. ``scratch`` takes over the result's table."""
     own = Scratch(cells.sparkSession)
     parts = max(1, -(-cells.count() // CELLS_OF_TASK))
     now = cells.where("tokens > 0")
@@ -71,6 +83,10 @@ def raked(cells: DataFrame, targets: DataFrame, marginals: tuple[str, ...] = MAR
         if max(abs(x or 0.0) for x in now.agg(*off).first()) < CLOSE:
             break
         now = now.drop(*[f"off_{m}" for m in marginals])
+    else:
+        off = deviations(now, marginals, sums, whole)
+        if max(off.values()) >= CLOSE:
+            warnings.warn(f"after {ROUNDS} rounds marginals still miss their targets, by at most these parts: {off}", stacklevel=2)
     if scratch:
         scratch.paths.update(own.paths)
     return now.select(*marginals, "tokens", "weight")
