@@ -164,3 +164,70 @@ def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.divergence_rules import judged
 
     return judged(documents(spark, sf_dir))
+
+
+#: The text up to the end of the first k lines.
+OP12_UP_TO = "CASE WHEN {k} >= n THEN t WHEN {k} = 0 THEN '' ELSE array_to_string(lines[1:{k}], chr(10)) || chr(10) END"
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, string_split(t, chr(10)) AS lines,
+    CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) - CASE WHEN ends_with(t, chr(10)) THEN 1 ELSE 0 END END AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT doc_id, n, t, form, {OP12_UP_TO.format(k="i")} AS a, {OP12_UP_TO.format(k="j")} AS b FROM c
+), o AS (
+  SELECT doc_id, n, t, form, a, substr(b, length(a) + 1) AS m, substr(t, length(b) + 1) AS s FROM p
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+@query(OP12_SQL)
+def op12_fim_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fim_cuts import fill_in_middle, restored
+
+    out = fill_in_middle(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query()
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.word_runs import periodic_runs, strongest
+
+    out = periodic_runs(documents(spark, sf_dir), plant=True)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.withColumn("best", strongest(F.col("runs")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op11_merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.merge_pieces import encoded_texts
+
+    out = encoded_texts(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
