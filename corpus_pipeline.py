@@ -2,7 +2,7 @@
 
 Each stage takes and, but for the last, returns the columns of ``documents`` (more columns are
 carried along). Rejected are: documents the quality classifier scores under ``QUALITY``; all
-but the smallest id of linked documents, and repeated rows; words of repeats from smaller
+but the smallest id of linked documents, and rows that repeat both id and text; words of repeats from smaller
 documents, and documents that consist of such words alone; documents the mixture leaves out.
 A null text is scored, linked and packed as an empty one and stays null until it is packed;
 rows with a null id are linked with nothing. Empty tables pass through.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import block_anchors, prefix_join, quality_ftrl, raking, window_packing
+from tidemark.operators.ranking import spread_row_number
 from tidemark.session import materialise
 
 QUALITY = 0.3
@@ -40,13 +41,28 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the smallest id."""
-    linked = materialise(prefix_join.linked_documents(docs).select("doc_id", "component_id"), "linked")
-    first = linked.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    if not linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of linked ones: the smallest id, of equal ids the smallest text.
+
+    Links are between rows, not ids: where an id occurs more than once, rows are first numbered in
+    the order of id and text, so that a unique text stays whatever other row has its id. Of rows
+    equal in id and text one stays, that with the smallest other columns.
+    """
+    bare, others = _bare(docs)
+    known = bare.where("doc_id IS NOT NULL")
+    again = materialise(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        keyed = known.withColumn("row__key", F.col("doc_id"))
+    else:
+        rest = [c for c in bare.columns if c not in ("doc_id", "text")]
+        first = F.min(F.struct(F.lit(0).alias("row__none"), *rest)).alias("row__rest")
+        repeated = known.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(first)
+        repeated = repeated.select("doc_id", "text", *[F.col(f"row__rest.{c}").alias(c) for c in rest])
+        rows = known.join(again, "doc_id", "left_anti").select(*bare.columns).unionByName(repeated)
+        keyed = materialise(spread_row_number(rows, [], [F.col("doc_id"), F.col("text")], "row__key"), "keyed")
+    linked = prefix_join.linked_documents(keyed.select("row__key", "text"), id="row__key")
+    first = materialise(linked.select("doc_id", "component_id"), "linked").where("doc_id = component_id")
+    kept = keyed.join(first.select(F.col("doc_id").alias("row__key")), "row__key", "left_semi").select(*bare.columns)
+    return _restored(kept.unionByName(bare.where("doc_id IS NULL")), others, docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
