@@ -273,3 +273,23 @@ def test_stages_match_brute_force(spark):
     assert all(got[i]["text"] == t and got[i]["n_chars"] == len(t) for i, (n, gone, t) in want.items() if gone and i in got)
     drawn = {r["doc_id"] for r in raking.mixed(docs).where("sampled").collect()}
     assert {r[0] for r in corpus_pipeline.mix_sources(spark, docs, SF).select("doc_id").collect()} == drawn
+
+
+def test_pipeline_keeps_unique_texts_of_repeated_ids(spark):
+    """One id with two texts: the unique one stays, whichever row comes first; equal rows become one."""
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w30", "other")
+    rows = [
+        (1, long, "a"), (1, "completely other words that nobody else has", "b"), (2, near, "c"), (2, near, "d"), (2, near, "d"),
+        (3, "this text stands alone in the whole table", "e"), (4, "", "f"), (4, "", "f"), (4, None, "g"), (None, long, "h"), (None, long, "h"),
+        (5, long, "i"), (0, "this text stands alone in the whole table", "j"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row__key string").repartition(3)
+    got = sorted((tuple(r) for r in corpus_pipeline.join_near_copies(spark, df, SF).collect()), key=str)
+    want = [
+        (1, long, "a"), (1, "completely other words that nobody else has", "b"), (0, "this text stands alone in the whole table", "j"),
+        (4, "", "f"), (4, None, "g"), (None, long, "h"), (None, long, "h"),
+    ]
+    assert got == sorted(want, key=str)
+    alone = df.where("doc_id IN (0, 3, 5) OR doc_id IS NULL")
+    assert sorted(r[0] or -1 for r in corpus_pipeline.join_near_copies(spark, alone, SF).collect()) == [-1, -1, -1, 5]
