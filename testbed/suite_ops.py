@@ -23,12 +23,13 @@ from testbed.roles import (
 )
 from testbed.sqlparts import TOT, D, M, P, QT, V, Y, q, rnd, sql
 from tidemark import constants as C
-from tidemark.operators import filters, ranking, reshape, stats
+from tidemark.operators import filters, ranking, reshape, similar, stats
 from tidemark.operators import monthly as mon
 from tidemark.operators.lookup import lookup_join, unique_lookup
 from tidemark.operators.embed import embedding_dims
 from tidemark.operators.retrieve import contexts, knn
 from tidemark.plans import reports
+from tidemark.session import materialise
 
 REC, EXP = q(C.RECEIPTS), q(C.EXPENSES)
 
@@ -352,15 +353,19 @@ def invalid_values(spark, sf):
     return filters.invalid_values(asked, have, C.YEAR)
 
 
-def _knn(spark, sf):
-    """The twenty vectors most like the mean of each label."""
+def _knn_tables(spark, sf):
     docs = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
     )
     asked = centroids(spark, sf).select(
         F.col("label").alias("qid"), "vector", F.lit(C.DEFAULT_TOP_K).alias("k")
     )
-    return knn(docs, asked)
+    return docs, asked
+
+
+def _knn(spark, sf):
+    """The twenty vectors most like the mean of each label."""
+    return knn(*_knn_tables(spark, sf))
 
 
 @query("knn_topk", sql("SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM knn", "knn"))
@@ -368,6 +373,28 @@ def knn_topk(spark, sf):
     return rounded(_knn(spark, sf), 6, "score")
 
 
+@query(
+    "knn_lsh",
+    sql("SELECT qid, count(*) AS hits, TRUE AS same_scores, TRUE AS recall_reached, TRUE AS fewer_pairs FROM knn GROUP BY 1", "knn"),
+)
+def knn_lsh(spark, sf):
+    """The approximate search over all questions and vectors, held against the exact one: how many hits a
+    question gets, whether each has its exact score, whether 0.9 of all exact hits are found, and with
+    fewer pairs scored than there are."""
+    docs, asked = _knn_tables(spark, sf)
+    index = similar.fit_filters(docs, asked, recall=0.9, share=0.2)
+    found = materialise(similar.knn_lsh(docs, asked, filters=index), "found")
+    pairs = similar.candidates(docs, asked, index).count()
+    both = materialise(found.join(knn(docs, asked).withColumnRenamed("score", "exact").drop("rank"), ["qid", "id"], "left"), "both")
+    got, all_ = both.where("exact IS NOT NULL").count(), asked.agg(F.sum("k")).first()[0]
+    return both.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("hits"),
+        F.bool_and(F.coalesce(F.abs(F.col("score") - F.col("exact")) < 1e-8, F.lit(True))).alias("same_scores"),
+        F.lit(got >= 0.9 * all_).alias("recall_reached"),
+        F.lit(pairs < docs.count() * asked.count()).alias("fewer_pairs"),
+    )
+
+
 @query(
     "context_concat",
     sql(
