@@ -219,26 +219,27 @@ def marker_count(spark, sf):
     return table(spark, sf, "pages").select("page_id", txt.count_of(F.col("html"), "<p>").alias("n"))
 
 
-_UPSERTED = f"""SELECT id, CAST({Y} AS DOUBLE) AS year, type, text, dims FROM (
-    SELECT id, {Y}, CASE WHEN embedding[1] > 0 THEN 'moved' ELSE type END AS type,
-        CASE WHEN embedding[1] > 0 THEN 'second ' || id ELSE text END AS text, len(embedding) AS dims FROM vectors)"""
+_UPSERTED = f"""SELECT id, CAST({Y} AS DOUBLE) AS year,
+    CASE WHEN embedding[2] > 0 THEN 'late' WHEN embedding[1] > 0 THEN 'moved' ELSE type END AS type,
+    CASE WHEN embedding[2] > 0 THEN 'third ' || id WHEN embedding[1] > 0 THEN 'second ' || id ELSE text END AS text,
+    CAST(len(embedding) AS INTEGER) AS dims FROM vectors"""
 
 
-@query("vector_upsert", sql(_UPSERTED.replace("dims FROM (", "CAST(dims AS INTEGER) AS dims FROM ("), "vectors"))
+@query("vector_upsert", sql(_UPSERTED, "vectors"))
 def vector_upsert(spark, sf):
-    """First load, then a batch that changes some ids twice: the last version wins."""
+    """First load, then a batch that changes some ids twice, then one more: the last version wins."""
     base = vector_records(spark, sf)
-    first = shared_dir(spark, "vectors")
-    vectors.upsert_vectors(spark, base, first)
-    changed = base.where(F.get("values", F.lit(0)) > 0)
+    path = shared_dir(spark, "vectors")
+    vectors.upsert_vectors(spark, base, path)
 
-    def version(n, word):
+    def changed(slot, word, type_, n):
         text = F.concat(F.lit(f"{word} "), F.col("id"))
-        meta = F.col("metadata").withField("text", text).withField("type", F.lit("moved"))
-        return changed.withColumns({"metadata": meta, "type": F.lit("moved"), "v": F.lit(n)})
+        meta = F.col("metadata").withField("text", text).withField("type", F.lit(type_))
+        return base.where(F.get("values", F.lit(slot)) > 0).withColumns({"metadata": meta, "type": F.lit(type_), "v": F.lit(n)})
 
-    batch = version(1, "first").unionByName(version(2, "second"))
-    out = vectors.upsert_vectors(spark, batch, first, version=[F.col("v")])
+    twice = changed(0, "first", "moved", 1).unionByName(changed(0, "second", "moved", 2))
+    vectors.upsert_vectors(spark, twice, path, version=[F.col("v")])
+    out = vectors.upsert_vectors(spark, changed(1, "third", "late", 3), path)
     return out.select(
         "id", F.col(f"metadata.{C.YEAR}").alias("year"), F.col("metadata.type").alias("type"),
         F.col("metadata.text").alias("text"), F.size("values").alias("dims"),
@@ -260,7 +261,7 @@ def _meta(df):
 @query("vector_scan", sql(_META_SQL, "vectors"))
 def vector_scan(spark, sf):
     path = shared_dir(spark, "vectors")
-    vectors.write_vectors(vector_records(spark, sf), path)
+    vectors.upsert_vectors(spark, vector_records(spark, sf), path)
     pred = metadata_predicate(_RANGES, type_=F.col("type"))
     return _meta(vectors.scan_vectors(spark, path, pred, with_values=False))
 

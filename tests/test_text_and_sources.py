@@ -90,20 +90,103 @@ def test_upsert(spark, tmp_path):
     second = batch([("b", [3.0], "s", "b2", 2012, "x", 1), ("b", [4.0], "s", "b3", 2013, "z", 2), ("c", [5.0], "s", "c1", None, "x", 1)])
     path = str(tmp_path / "v")
     vectors.upsert_vectors(spark, first, path)
-    files = {f for f in (tmp_path / "v").rglob("*.parquet")}
     out = vectors.upsert_vectors(spark, second, path, version=[F.col("v")])
     got = sorted((r["id"], r["metadata"]["text"], r["type"]) for r in out.collect())
     assert got == [("a", "a1", "x"), ("b", "b3", "z"), ("c", "c1", "x")]
-    touched = {r["bucket"] for r in vectors.bucketed(second, vectors.BUCKETS).collect()}
-    kept = {f for f in files if int(f.parent.name.split("=")[1]) not in touched}
-    assert kept and kept < {f for f in (tmp_path / "v").rglob("*.parquet")}
     before = sorted(map(str, out.collect()))
     again = vectors.upsert_vectors(spark, second, path, version=[F.col("v")])
     assert sorted(map(str, again.collect())) == before
     scan = vectors.scan_vectors(spark, path, F.col("type") == "x", with_values=False)
     assert sorted(r["id"] for r in scan.collect()) == ["a", "c"] and "values" not in scan.columns
+    # The first version of b is of type y: a condition must not bring it back.
+    assert vectors.scan_vectors(spark, path, F.col("type") == "y").count() == 0
     with pytest.raises(Exception, match="duplicate key"):
         vectors.upsert_vectors(spark, second, path)
+    assert sorted(map(str, vectors.scan_vectors(spark, path).collect())) == before
+
+
+def records(spark, rows):
+    df = spark.createDataFrame(rows, f"id string, values array<float>, text string, `{C.YEAR}` int, type string")
+    return vectors.to_records(df.withColumn(C.SOURCE, F.lit("s")), F.col("id"))
+
+
+def stored(df):
+    return {r["id"]: r["metadata"]["text"] for r in df.collect()}
+
+
+def files_of(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_small_batches_on_a_large_collection(spark, tmp_path, monkeypatch):
+    """Appends touch no file; buckets with many parts are merged, those alone, and split as they fill."""
+    monkeypatch.setattr(vectors, "BUCKETS", 4)
+    monkeypatch.setattr(vectors, "MOST_PARTS", 3)
+    path, want = str(tmp_path / "v"), {f"i{k}": "first" for k in range(300)}
+    vectors.upsert_vectors(spark, records(spark, [(i, [1.0], t, 2000, "x") for i, t in want.items()]), path)
+    base = files_of(tmp_path / "v")
+    merges = 0
+    for turn in range(6):
+        new = {f"i{(turn * 7 + k) % 320}": f"turn {turn}" for k in range(5)}
+        before, known = files_of(tmp_path / "v"), vectors.read_manifest(spark, path)
+        if turn == 3:
+            monkeypatch.setattr(vectors, "BUCKET_ROWS", 20)
+        out = vectors.upsert_vectors(spark, records(spark, [(i, [2.0], t, 2001, "y") for i, t in new.items()]), path)
+        want |= new
+        assert stored(out) == want
+        after = files_of(tmp_path / "v")
+        assert before.items() <= after.items()  # nothing is rewritten in place
+        now = vectors.read_manifest(spark, path)
+        if now["version"] == known["version"] + 1:
+            assert base.items() <= after.items() and [s for s in now["segments"] if s["base"]] == [s for s in known["segments"] if s["base"]]
+        else:
+            merges += 1
+            coarse = min(s["buckets"] for s in known["segments"])
+            merged = {int(b) % coarse for b in now["segments"][0]["live"]}
+            for s in known["segments"]:  # buckets that were not due are still read from where they were
+                left = next((x for x in now["segments"] if x["name"] == s["name"]), {"live": {}})
+                assert {b for b in s["live"] if int(b) % coarse not in merged} == set(left["live"])
+    assert merges >= 1 and vectors.read_manifest(spark, path)["buckets"] > 4
+    assert sum(sum(s["live"].values()) for s in vectors.read_manifest(spark, path)["segments"]) >= len(want)
+    vectors.vacuum_vectors(spark, path)
+    assert stored(vectors.scan_vectors(spark, path)) == want
+    assert len(files_of(tmp_path / "v")) < len(after) and len(list((tmp_path / "v" / "_manifest").glob("[0-9]*"))) == 1
+
+
+def test_crash_between_the_writes_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "v")
+    vectors.upsert_vectors(spark, records(spark, [("a", [1.0], "old", 1, "x"), ("b", [1.0], "old", 1, "x")]), path)
+    commit = vectors._commit
+    batch = records(spark, [("b", [2.0], "new", 1, "x"), ("c", [2.0], "new", 1, "x")])
+
+    def crash(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(vectors, "_commit", crash)
+    with pytest.raises(OSError):
+        vectors.upsert_vectors(spark, batch, path)
+    assert stored(vectors.scan_vectors(spark, path)) == {"a": "old", "b": "old"}
+    (tmp_path / "v" / "_manifest" / "000000000009").write_text('{"version": 9, "seg')  # a manifest cut off in the middle
+    assert stored(vectors.scan_vectors(spark, path)) == {"a": "old", "b": "old"}
+    monkeypatch.setattr(vectors, "_commit", commit)
+    monkeypatch.setattr(vectors, "MOST_PARTS", 1)  # append and merge, the merge fails
+    monkeypatch.setattr(vectors, "_merged", lambda *_: crash())
+    with pytest.raises(OSError):
+        vectors.upsert_vectors(spark, batch, path)
+    want = {"a": "old", "b": "new", "c": "new"}
+    assert stored(vectors.scan_vectors(spark, path)) == want
+    vectors.vacuum_vectors(spark, path)
+    assert stored(vectors.scan_vectors(spark, path)) == want
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "v")
+    vectors.upsert_vectors(spark, records(spark, [("a", [1.0], "old", 1, "x")]), path)
+    seen = vectors.read_manifest(spark, path)
+    vectors.upsert_vectors(spark, records(spark, [("b", [1.0], "old", 1, "x")]), path)
+    with pytest.raises(RuntimeError, match="another writer"):
+        vectors._commit(spark, path, {**seen, "version": seen["version"] + 1})
+    assert stored(vectors.scan_vectors(spark, str(tmp_path / "none"))) == {}
 
 
 def test_log(spark, tmp_path):
