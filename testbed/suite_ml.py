@@ -71,6 +71,19 @@ def rf_lag_fit(spark, sf):
     return rounded(out, 2, C.VALUE, "fitted")
 
 
+@query(
+    "forest_exact",
+    sql(f"SELECT series, segment, {Y}, round({V}, 2) AS {V}, round({V}, 2) AS fitted FROM ({_TRAIN})", "segments"),
+)
+def forest_exact(spark, sf):
+    """One tree of full depth without bootstrap gives back the labels of rows whose inputs differ."""
+    rows = _train_rows(_history(spark, sf))
+    train = fc.training_frame(rows, fc.LAGS, [C.VALUE], [*SEGMENT_KEYS, C.YEAR])
+    model = fc.fit_forest(train, fc.LAGS, C.VALUE, trees=1, bootstrap=False)
+    out = fc.predict(model, rows, fc.LAGS, "fitted").select(*SEGMENT_KEYS, C.YEAR, C.VALUE, "fitted")
+    return rounded(out, 2, C.VALUE, "fitted")
+
+
 def _recursive(spark, sf):
     """Both ways to start: from the last row, after the gap, and from the last year before it."""
     rows = _history(spark, sf)
@@ -135,11 +148,11 @@ def indicator_extend_checked(spark, sf):
     return out.select(*KEYS, C.DATE, C.YEAR, *[f"`{c}`" for c in C.INDICATORS], "inside")
 
 
-def _years_sql(value: str, actual: str) -> str:
+def _years_sql(value: str, actual: str, digits: int = 2) -> str:
     """History, then four years after the last of the series; the range of all labels."""
     return f"""WITH a AS (SELECT series, {Y}, {value} AS v FROM filt GROUP BY 1, 2)
         SELECT series, {Y}, v AS {q(actual)}, (SELECT min(v) FROM a) AS low, (SELECT max(v) FROM a) AS high, TRUE AS inside FROM (
-            SELECT series, {Y}, round(v, 2) AS v FROM a UNION ALL
+            SELECT series, {Y}, round(v, {digits}) AS v FROM a UNION ALL
             SELECT series, CAST(unnest(generate_series(max({Y}) + 1, max({Y}) + 4)) AS INTEGER), NULL FROM a GROUP BY 1)"""
 
 
@@ -166,11 +179,11 @@ def forecast_balance_4y(spark, sf):
     return rounded(out, 2, C.BALANCE, BALANCE_FITTED)
 
 
-@query("forecast_balance_4y_checked", sql(_years_sql(_BALANCE_SQL, C.BALANCE).replace("(SELECT min(v)", "(SELECT round(min(v), 2)").replace("(SELECT max(v)", "(SELECT round(max(v), 2)"), "filt"))
+@query("forecast_balance_4y_checked", sql(_years_sql(_BALANCE_SQL, C.BALANCE, 4).replace("(SELECT min(v)", "(SELECT round(min(v), 4)").replace("(SELECT max(v)", "(SELECT round(max(v), 4)"), "filt"))
 def forecast_balance_4y_checked(spark, sf):
     out = fc.forecast_balance(reports.filtered(mart(spark, sf)), KEYS)
     checked = _inside(out, BALANCE_FITTED, out.where(F.col(C.BALANCE).isNotNull()), C.BALANCE).drop(BALANCE_FITTED)
-    return rounded(checked, 2, C.BALANCE, "low", "high")
+    return rounded(checked, 4, C.BALANCE, "low", "high")  # balances have four decimals, so none lies between two
 
 
 @query(

@@ -2,73 +2,40 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.operators.forest import Forest, fit_forests, predict_forests
 from tidemark.operators.monthly import annual_sum, history_and_future, with_balance, with_lags
 from tidemark.operators.ranking import split_train_test
 from tidemark.operators.stats import fill_with_mean, trend
 from tidemark.session import materialise
 
 LAGS = ["lag1", "lag2", "lag3"]
-ROWS_PER_PARTITION = 50_000
-#: Trees grow until their leaves are pure, as deep as the library allows; split points per input.
-DEPTH, BINS = 30, 32
-
-
-def assemble(df: DataFrame, inputs: list[str], out: str = "features") -> DataFrame:
-    """Feature vector; a missing input becomes NaN so that no row is lost."""
-    return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(df)
+#: Trees grow until their leaves are pure.
+DEPTH = None
 
 
 def training_frame(
     df: DataFrame, inputs: list[str], labels: list[str], keys: list[str]
 ) -> DataFrame:
-    """Training rows written once, then laid out by key hash and sorted.
-
-    The forest samples per partition, so a layout that depends only on the data is what
-    makes a seed repeat. The number of partitions follows from the number of rows; each
-    tree level is a job, and tasks without rows would only add to its cost.
-    """
+    """Training rows, written once. The keys tell rows apart that are equal otherwise."""
     cols = list(dict.fromkeys([*keys, *inputs, *labels]))
-    rows = materialise(df.select(*[F.col(f"`{c}`") for c in cols]), "train")
-    partitions = rows.count() // ROWS_PER_PARTITION + 1
-    return rows.repartition(partitions, *keys).sortWithinPartitions(*cols)
+    return materialise(df.select(*[F.col(f"`{c}`") for c in cols]), "train")
 
 
 def fit_forest(
-    train: DataFrame, inputs: list[str], label: str, trees: int, depth: int, seed: int = 42, bins: int = BINS
-) -> RandomForestRegressionModel:
-    """All inputs are tried at every split, rows are bootstrapped; null labels are left out. ``bins``
-    is the number of split points tried per input: more are finer and cost memory in proportion."""
-    rows = train.na.drop(subset=[*inputs, label])
-    rows = assemble(rows, inputs).select("features", F.col(f"`{label}`").cast("double").alias("label"))
-    return RandomForestRegressor(
-        numTrees=trees,
-        maxDepth=depth,
-        maxBins=bins,
-        featureSubsetStrategy="all",
-        seed=seed,
-    ).fit(rows)
-
-
-def predict(
-    model: RandomForestRegressionModel, df: DataFrame, inputs: list[str], out: str
-) -> DataFrame:
+    train: DataFrame, inputs: list[str], label: str, trees: int, depth: int | None = DEPTH, seed: int = 42,
+    bootstrap: bool = True,
+) -> Forest:
+    """All inputs are tried at every split, rows are bootstrapped; null labels are left out."""
+    return fit_forests(train, inputs, [label], trees, depth, seed, bootstrap)[label]
+
+
+def predict(model: Forest, df: DataFrame, inputs: list[str], out: str) -> DataFrame:
     """Add a prediction; null where an input is missing."""
-    known = F.lit(True)
-    for c in inputs:
-        known = known & F.col(f"`{c}`").isNotNull()
-    scored = model.setPredictionCol("pred__v").transform(assemble(df, inputs, model.getFeaturesCol()))
-    return scored.withColumn(out, F.when(known, F.col("pred__v"))).drop(
-        "pred__v", model.getFeaturesCol()
-    )
+    return predict_forests({out: model}, df, inputs, {out: out})
 
 
 def fit_lag_forest(
@@ -78,9 +45,9 @@ def fit_lag_forest(
     last_year: int,
     value: str = C.VALUE,
     trees: int = 300,
-    depth: int = DEPTH,
+    depth: int | None = DEPTH,
     seed: int = 42,
-) -> RandomForestRegressionModel:
+) -> Forest:
     """Forest on three lags, trained on the complete rows of the given years."""
     lagged = with_lags(annual, keys, value)
     rows = lagged.where(F.col(C.YEAR).between(first_year, last_year)).na.drop(
@@ -91,7 +58,7 @@ def fit_lag_forest(
 
 
 def recursive_forecast(
-    model: RandomForestRegressionModel,
+    model: Forest,
     annual: DataFrame,
     keys: list[str],
     years: list[int],
@@ -138,32 +105,21 @@ def extend_indicators(
     cut_year: int,
     value: str = C.VALUE,
     trees: int = 100,
-    depth: int = DEPTH,
+    depth: int | None = DEPTH,
     seed: int = 42,
-    parallelism: int = 4,
 ) -> DataFrame:
     """Overwrite the indicators after ``cut_year`` by one forest each on the monthly value.
 
-    The training frame is written once for all fits, ``parallelism`` fits run at a time,
-    and all models score in one pass.
+    The forests of all indicators are grown together and score in one pass.
     """
     past = mart.where(F.col(C.YEAR) <= cut_year).na.drop(subset=[value])
-    train = training_frame(past, [value], indicators, [*keys, C.DATE]).persist()
-
-    def fit(indicator: str) -> RandomForestRegressionModel:
-        return fit_forest(train, [value], indicator, trees, depth, seed)
-
-    try:
-        with ThreadPool(min(parallelism, len(indicators))) as pool:
-            models = pool.map(inheritable_thread_target(mart.sparkSession)(fit), indicators)
-    finally:
-        train.unpersist()
-    out = mart
-    for ind, model in zip(indicators, models):
-        out = predict(model, out, [value], "pred__i").withColumn(
-            ind, F.when(F.col(C.YEAR) > cut_year, F.col("pred__i")).otherwise(F.col(f"`{ind}`"))
-        )
-    return out.drop("pred__i")
+    train = training_frame(past, [value], indicators, [*keys, C.DATE])
+    models = fit_forests(train, [value], indicators, trees, depth, seed)
+    names = {ind: f"pred__{i}" for i, ind in enumerate(indicators)}
+    out = predict_forests(models, mart, [value], names)
+    later = F.col(C.YEAR) > cut_year
+    extended = {ind: F.when(later, F.col(name)).otherwise(F.col(f"`{ind}`")) for ind, name in names.items()}
+    return out.withColumns(extended).drop(*names.values())
 
 
 def forecast_with_trend(
