@@ -280,6 +280,10 @@ def _dealt(partial: dict, parts: dict, inputs: int, seed: int, bootstrap: bool):
     return run
 
 
+#: A grown tree on its way to the driver.
+_PACKED = {"on": "<i4", "cut": "<f8", "left": "<i4", "value": "<f8"}
+
+
 def _grown(inputs: int, depth: int | None, depths: dict):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("label", "tree", "node", "row", "y")])
@@ -292,14 +296,16 @@ def _grown(inputs: int, depth: int | None, depths: dict):
         # Nodes of one root, in the order they were made.
         owner = np.full(len(on), -1)
         owner[: len(keys)] = np.arange(len(keys))
-        for node in np.flatnonzero(on >= 0):
-            owner[left[node] : left[node] + 2] = owner[node]
+        while (owner < 0).any():  # a level at a time
+            inner = np.flatnonzero((owner >= 0) & (on >= 0))
+            owner[left[inner]] = owner[left[inner] + 1] = owner[inner]
         order = np.argsort(owner, kind="stable")
         place = np.empty(len(on), np.int64)
         counts = np.bincount(owner, minlength=len(keys))
         place[order] = np.arange(len(on)) - np.repeat(np.cumsum(counts) - counts, counts)
-        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (on, cut, place[left], value)]
+        ends = np.cumsum(counts)[:-1]
+        packed = zip((on, cut, place[left], value), _PACKED.values())
+        lists = [pa.array([v.tobytes() for v in np.split(a[order].astype(t), ends)], pa.binary()) for a, t in packed]
         return pa.table([pa.array(k, pa.int32()) for k in keys.T] + lists, ["label", "tree", "node", "on", "cut", "left", "value"])
 
     return run
@@ -348,12 +354,12 @@ def fit_forests(
         depths[o.label, o.tree, o.node] = o.depth
         held += w
     deal = ", ".join(["part int, label int, tree int, node int, row long, w double, y double", *[f"x{f} double" for f in range(k)]])
-    grown = "label int, tree int, node int, on array<long>, cut array<double>, left array<long>, value array<double>"
+    grown = "label int, tree int, node int, on binary, cut binary, left binary, value binary"
     groups = rows.mapInArrow(_dealt(partial, parts, k, seed, bootstrap), deal).groupBy("part")
     known = set(partial) - {(o.label, o.tree) for o, _ in small if o.node == 0}
     for r in groups.applyInArrow(_grown(k, depth, depths), grown).toArrow().to_pylist():
         known.add((r["label"], r["tree"]))
-        arrays = [np.array(r[c], t) for c, t in (("on", np.int64), ("cut", float), ("left", np.int64), ("value", float))]
+        arrays = [np.frombuffer(r[c], t) for c, t in _PACKED.items()]
         _grafted(partial[r["label"], r["tree"]], r["node"], *arrays)
     return _joined(partial, labels, trees, known)
 
