@@ -157,7 +157,7 @@ def indicator_pivot(spark, sf):
     return tables.load_indicators(feed, country=None)
 
 
-def _chart_pages(spark, sf):
+def _chart_pages(spark, sf, dataset=None):
     """One page per series whose script holds its monthly sums as chart literals."""
     year_cells = (
         monthly(spark, sf)
@@ -171,10 +171,11 @@ def _chart_pages(spark, sf):
             ]
         )
     )
-    dataset = F.concat(
-        F.lit("{label: '"), F.col(C.YEAR).cast("string"), F.lit("', data: ["),
-        F.concat_ws(", ", *C.MONTHS), F.lit("]}"),
-    )
+    if dataset is None:
+        dataset = F.concat(
+            F.lit("{label: '"), F.col(C.YEAR).cast("string"), F.lit("', data: ["),
+            F.concat_ws(", ", *C.MONTHS), F.lit("]}"),
+        )
     labels = ", ".join(f'"{m}"' for m in C.MONTHS)
     return year_cells.groupBy(C.SERIES).agg(
         F.concat(
@@ -201,6 +202,30 @@ def chart_extract(spark, sf):
     return charts.extract_series(_chart_pages(spark, sf), [C.SERIES])
 
 
+_NESTED_NAME = f"""CASE CAST(s.{Y} AS INTEGER) % 4 WHEN 0 THEN s.{Y} || '}} ]' WHEN 1 THEN s.{Y} || ' l''an' WHEN 2 THEN '{{' || s.{Y} ELSE CAST(s.{Y} AS VARCHAR) END"""
+
+
+@query(
+    "chart_nested",
+    sql(
+        f"""SELECT s.series, {_NESTED_NAME} AS {Y}, strftime(make_date(2000, m, 1), '%b') AS {M}, {V} AS "Valeur"
+            FROM (SELECT DISTINCT series, CAST({Y} AS VARCHAR) AS {Y} FROM monthly) s
+            CROSS JOIN (SELECT CAST(unnest(generate_series(1, 12)) AS INTEGER) AS m)
+            LEFT JOIN monthly v ON v.series = s.series AND CAST(v.{Y} AS VARCHAR) = s.{Y} AND month(v.{D}) = m""",
+        "monthly",
+    ),
+)
+def chart_nested(spark, sf):
+    """Names with brackets and escaped quotes, nested objects, keys in both orders, comments."""
+    y, data = F.col(C.YEAR).cast("string"), F.concat(F.lit("data: ["), F.concat_ws(", ", *C.MONTHS), F.lit("]"))
+    style = "options: {pad: [1, 2], font: {label: 'none', data: 3}}, /* label: 'x' */ "
+    dataset = F.when(F.col(C.YEAR) % 4 == 0, F.concat(F.lit("{label: '"), y, F.lit("} ]', "), data, F.lit("}")))
+    dataset = dataset.when(F.col(C.YEAR) % 4 == 1, F.concat(F.lit("{" + style + "label: '"), y, F.lit(" l\\'an', "), data, F.lit("}")))
+    dataset = dataset.when(F.col(C.YEAR) % 4 == 2, F.concat(F.lit("{"), data, F.lit(", " + style + 'label: "{'), y, F.lit('"}')))
+    dataset = dataset.otherwise(F.concat(F.lit("{'label': \""), y, F.lit("\", " + style + '"data": ['), F.concat_ws(" , ", *C.MONTHS), F.lit("]}")))
+    return charts.extract_series(_chart_pages(spark, sf, dataset), [C.SERIES])
+
+
 @query(
     "script_filter",
     r"""SELECT page_id, array_to_string(list_filter(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1),

@@ -58,6 +58,25 @@ def test_chart_label_after_data(spark):
     ]
 
 
+def test_chart_literals_by_hand():
+    read = charts.chart_literals
+    assert read("{label:'20}21',data:[5,6]}") == ([], [("20}21", ["5", "6"])])
+    assert read("labels: ['a', \"b, c\", d]") == (["a", "b, c", "d"], [])
+    js = """var u = 'http://x/[{'; // labels: [no]
+    cfg = {labels: ["J'an", 'F\\'ev', `M]`], datasets: [
+      {label: "x", style: {label: 'inner', data: [9, 9], f: function(a) { return a[0]; }}, data: [1, -2.5e3, null, , 4,],},
+      {"data" : [ [1, 2], {x: 1}, 7 ], 'label': 2020}, /* {label: 'z', data: [1]} */
+      {data: JSON.parse('[1]'), label: 'calls'}, {label: 'none'}]}, more"""
+    assert read(js)[0] == ["J'an", "F'ev", "M]"]
+    assert sorted(read(js)[1]) == [("2020", ["", "", "7"]), ("inner", ["9", "9"]), ("x", ["1", "-2.5e3", "null", "", "4"])]
+    assert read("{data:[1]},{data:[2]}") == ([], [("Dataset_1", ["1"]), ("Dataset_2", ["2"])])
+    for broken in ("", "]]}}", "{label:'x", "{label:'x',data:[1", "[[[{{{", "data:[1]}]", "'", "labels:[", "{label 'x' data [1]}"):
+        read(broken)
+    assert read("{label:'x',data:[1") == ([], [("x", ["1"])])
+    long = "{label:'a',data:[" + ",".join("1" * 50000) + "]}"
+    assert len(read(long)[1][0][1]) == 50000 and read("{" * 5000 + "}" * 5000) == ([], [])
+
+
 def test_chart_extraction(spark):
     named = (
         "<script>x</script><script>new Chart(c,{labels:['Jan', \"Fev\",'Mar'],datasets:["
