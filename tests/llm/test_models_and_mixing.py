@@ -94,6 +94,79 @@ def test_toxicity_network(spark, labelled_rows):
     assert {r["toxic_score"] for r in toxic_gru.scored(odd.where("doc_id IN (1, 2, 5)"), nothing).collect()} == {0.5}
 
 
+def one_by_one(text, model):
+    """The score of a text, word by word and window by window, in plain loops."""
+    import re as _re
+
+    letters = [_re.sub(rb"[^A-Za-z\x80-\xff]", b"", w.encode()).lower() for w in _re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    vectors = []
+    for w in letters:
+        data = np.frombuffer(w, np.uint8)
+        slot = int(toxic_gru.W.word_hashes(data, np.array([0]), np.array([len(data)]))[0] % np.uint64(toxic_gru.WORDS))
+        padded, grams = [1, *w, 2], []
+        for i in range(len(w)):
+            key = np.array([padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]], np.uint64)
+            grams.append(model["gram"][int(toxic_gru.W.mixed(key)[0] % np.uint64(toxic_gru.GRAMS))])
+        vectors.append(np.concatenate([model["word"][slot], np.mean(grams, axis=0) if grams else np.zeros(toxic_gru.WIDE)]))
+    h, sig = toxic_gru.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    starts = range(0, max(1, len(letters) - toxic_gru.WINDOW + toxic_gru.STRIDE), toxic_gru.STRIDE)
+    logits = []
+    for start in starts:
+        part = vectors[start : start + toxic_gru.WINDOW]
+        sides = []
+        for d, words in (("f", part), ("b", part[::-1])):
+            state, seen = np.zeros(h), []
+            for v in words:
+                x = v @ model[f"in_{d}"] + model[f"bias_{d}"]
+                gate = sig(x[: 2 * h] + state @ model[f"gate_{d}"])
+                new = np.tanh(x[2 * h :] + (gate[h:] * state) @ model[f"new_{d}"])
+                state = (1 - gate[:h]) * state + gate[:h] * new
+                seen.append(state)
+            sides.append(seen if d == "f" else seen[::-1])
+        states = [np.concatenate(pair) for pair in zip(*sides)]
+        attention = np.exp([np.tanh(s @ model["look"]) @ model["ask"] for s in states])
+        pooled = sum((a * s for a, s in zip(attention / attention.sum(), states)), np.zeros(2 * h)) if states else np.zeros(2 * h)
+        logits.append(pooled @ model["out"] + model["bias"][0])
+    smooth = np.log(np.sum(np.exp(4.0 * np.array(logits)))) / 4.0
+    return sig(smooth - max(0.0, np.log(len(logits) / 16)))
+
+
+def test_scores_one_by_one(labelled_rows):
+    """All windows of whole texts, against an independent forward pass."""
+    rng = np.random.default_rng(3)
+    model = {k: v + rng.normal(0, 0.3, v.shape) for k, v in toxic_gru.fresh().items()}
+    texts = [None, "", "one", "12 !!", made(rng, 31, "plain"), made(rng, 33, "toxic"), made(rng, 57, "plain"), made(rng, 900, "plain"), "Ünï çödé wörds " * 9]
+    got = toxic_gru.probabilities(pa.array(texts), model)
+    assert np.allclose(got, [one_by_one(t, model) for t in texts], atol=2e-4)
+
+
+def test_long_texts_are_learnt_from_and_stay_clean(spark, labelled_rows):
+    """Labelled texts over any size are in the sample; long clean texts pass, long toxic ones are found."""
+    docs, labels = labelled_rows
+    rng = np.random.default_rng(12)
+    long = [(90000 + i, made(rng, 4000, "plain"), "x") for i in range(6)]
+    more = docs.union(spark.createDataFrame(long, docs.schema))
+    marks = labels.union(spark.createDataFrame([(i, 1, 0) for i, *_ in long], labels.schema))
+    rows = labelled.sample(more, marks, "toxic", 10_000).collect()
+    kept = [r for r in rows if r["doc_id"] >= 90000]
+    assert kept and all(len(r["text"].split()) == 4000 for r in kept)
+    by_class = {y: sum(r["share"] for r in rows if r["y"] == y) for y in (0, 1)}
+    fold = labels.union(marks.where("doc_id >= 90000")).where(~labelled.held_out(F.col("doc_id")))
+    assert by_class == {y: fold.where(f"toxic = {y}").count() for y in (0, 1)}
+    model = toxic_gru.train(more, marks)
+    clean = [made(rng, 20_000, "plain") for _ in range(5)]
+    toxic = [" ".join([made(rng, 10_000, "plain"), BAD[0], made(rng, 9, "plain"), BAD[1], made(rng, 10_000, "plain")]) for _ in range(2)]
+    frame = spark.createDataFrame(list(enumerate(clean + toxic + toxic[:1])), "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic_score"] for r in toxic_gru.scored(frame, model).collect()}
+    assert all(got[i] < 0.5 for i in range(5)) and got[5] == pytest.approx(got[7], abs=1e-6)
+    assert min(got[5], got[6]) > max(got[i] for i in range(5))
+    assert toxic_gru.scored(frame.where("false"), model).count() == 0
+    twice = toxic_gru.scored(frame.where("doc_id = 0").union(frame.where("doc_id = 0")), model).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    nothing = toxic_gru.train(docs, labels.where("false"))
+    assert {r["toxic_score"] for r in toxic_gru.scored(frame, nothing).collect()} == {0.5}
+
+
 def test_windows_cover_all_words():
     first = np.cumsum([0, 0, 1, 31, 32, 33, 100])
     doc, begin, size = toxic_gru.windows(first)

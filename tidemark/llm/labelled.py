@@ -13,13 +13,12 @@ def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int | None = None) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """``text``, ``y`` and ``share`` (how many labelled rows of this class a row of the sample stands for) of
     at most ``per_class`` rows of each class outside fold 0, chosen by the hash of their id.
 
     Nulls and values other than 0 and 1 are no labels; of repeated labels the largest counts. The ids
     are at most ``2 * per_class`` pairs of numbers, so they are sent to the scans of the texts.
-    ``most_bytes`` leaves longer texts out of the training only.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -31,7 +30,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_
         chosen = rows if chosen is None else chosen.unionByName(rows)
     if chosen is None:
         chosen = known.withColumn("share", F.lit(1.0))
-    texts = docs.select("doc_id", "text")
-    if most_bytes:
-        texts = texts.where(F.octet_length("text") <= most_bytes)
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "share")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "share")

@@ -1,12 +1,15 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as two vectors: one of its hash, and the mean of those of its character
-three-grams, both of its letters alone, lower-cased. Overlapping windows of ``WINDOW`` words, a
-new one every ``STRIDE``, pass a gated recurrent layer in both directions; attention pools the
-states to one logit, and a document's logit is the log of the summed exponentials over all its
-windows, so that one toxic passage is enough. The network is trained by Adam on a sample of
-bounded size (``PER_CLASS`` rows of each label, none over ``TRAIN_BYTES``) in one task, and has
-a fixed size, so its weights are sent to every task. Scoring reads all windows of whole texts.
+three-grams, both of its letters alone, lower-cased. A word that fewer than ``LEAST_TEXTS`` training
+texts have keeps the second only, so that no text is learnt by heart. Overlapping windows of
+``WINDOW`` words, a new one every ``STRIDE``, pass a gated recurrent layer in both directions;
+attention pools the states to one logit. A document's logit is a smooth maximum over all its
+windows, so that one toxic passage is enough, less ``CHANCE`` times the log of how many times more
+than ``KEEP`` windows it has: what many windows raise it by chance. The network is trained by Adam on
+a sample of bounded size (``PER_CLASS`` rows of each label, whole texts) in one task; of texts with
+many windows a step takes the ``KEEP`` with the highest logits of all. It has a fixed size, so its
+weights are sent to every task. Scoring reads all windows of whole texts.
 
 Defined results: a text without words (null, empty) has the score of the bias alone, as one
 window of no words; equal texts get equal scores up to rounding; without labels every score is
@@ -27,7 +30,9 @@ from tidemark.llm.labelled import sample
 
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 15, 1 << 12, 8, 8
-PER_CLASS, TRAIN_BYTES, STEPS, BATCH, RATE = 1500, 6000, 500, 24, 0.01
+PER_CLASS, STEPS, BATCH, RATE = 1500, 500, 24, 0.01
+#: Windows of a text that a step learns from, sharpness of the maximum, discount of many windows.
+KEEP, SHARP, CHANCE, LEAST_TEXTS = 16, 4.0, 1.0, 5
 #: Windows of one pass: bounds the memory of a task.
 PASS = 4096
 
@@ -154,9 +159,12 @@ def fit(texts, y: np.ndarray, share: np.ndarray, steps: int = STEPS) -> dict[str
         model["bias"][:] = 0
         model["out"][:] = 0
         return model
-    kind, first, slots, grams, bounds = encode(texts)
+    encoded = kind, first, slots, grams, bounds = encode(texts)
     doc, begin, size = windows(first)
     spans = np.searchsorted(doc, np.arange(len(y) + 1))
+    pairs = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * WORDS + slots[kind]) if len(slots) else np.zeros(0, np.int64)
+    rare = np.bincount(pairs % WORDS, minlength=WORDS) < LEAST_TEXTS
+    model["word"][rare] = 0
     m = {k: np.zeros_like(v) for k, v in model.items()}
     v2 = {k: np.zeros_like(v) for k, v in model.items()}
     turn = 0
@@ -166,6 +174,9 @@ def fit(texts, y: np.ndarray, share: np.ndarray, steps: int = STEPS) -> dict[str
             docs = order[lo : lo + BATCH]
             pick = np.concatenate([np.arange(spans[i], spans[i + 1]) for i in docs])
             group = np.repeat(np.arange(len(docs)), spans[docs + 1] - spans[docs])
+            if len(pick) > len(docs) * KEEP:
+                some = _highest(model, encoded, pick, begin, size, group)
+                pick, group = pick[some], group[some]
             at, real = _laid(kind, begin[pick], size[pick], WINDOW)
             used, local = np.unique(at, return_inverse=True)
             local = local.reshape(at.shape)
@@ -175,12 +186,9 @@ def fit(texts, y: np.ndarray, share: np.ndarray, steps: int = STEPS) -> dict[str
             x = inputs(model, own_slots, grams[own], np.concatenate([[0], np.cumsum(sizes)]))
             x_in = {d: x @ model[f"in_{d}"] + model[f"bias_{d}"] for d in "fb"}
             logit, trace = _forward(model, x_in, local, real, True)
-            top = np.zeros(len(docs)) - 1e9
-            np.maximum.at(top, group, logit)
-            weight = np.exp(logit - top[group])
-            total = np.bincount(group, weights=weight, minlength=len(docs))
-            p = _sigmoid(top + np.log(total))
-            d_logit = (((p - y[docs])[group] * weight / total[group]) / len(docs)).astype(np.float32)
+            score, weight = _pooled(logit, group, len(docs))
+            p = _sigmoid(score)
+            d_logit = (((p - y[docs])[group] * weight) / len(docs)).astype(np.float32)
             grads = {k: np.zeros_like(v) for k, v in model.items()}
             x_grad = {d: np.zeros((len(used), 3 * HIDDEN), np.float32) for d in "fb"}
             _backward(model, grads, x_grad, local, real, d_logit, trace)
@@ -191,6 +199,7 @@ def fit(texts, y: np.ndarray, share: np.ndarray, steps: int = STEPS) -> dict[str
                 d_x += x_grad[d] @ model[f"in_{d}"].T
             np.add.at(grads["word"], own_slots, d_x[:, :WIDE])
             np.add.at(grads["gram"], grams[own], np.repeat(d_x[:, WIDE:] / np.maximum(sizes, 1)[:, None], sizes, axis=0))
+            grads["word"][rare] = 0
             turn += 1
             for k in model:
                 m[k] += 0.1 * (grads[k] - m[k])
@@ -201,6 +210,35 @@ def fit(texts, y: np.ndarray, share: np.ndarray, steps: int = STEPS) -> dict[str
     return model
 
 
+def _pooled(logit: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A smooth maximum of the logits of each document's windows, and the share each window has in it."""
+    top = np.full(n, -1e9)
+    np.maximum.at(top, doc, logit)
+    weight = np.exp(SHARP * (logit - top[doc]))
+    total = np.bincount(doc, weights=weight, minlength=n)
+    return top + np.log(total) / SHARP, weight / total[doc]
+
+
+def _highest(model, encoded, pick, begin, size, group) -> np.ndarray:
+    """Of the windows of each document in a batch, the ``KEEP`` with the highest logits."""
+    kind, _, slots, grams, bounds = encoded
+    logit = np.zeros(len(pick))
+    used, local = np.unique(_laid(kind, begin[pick], size[pick], WINDOW)[0], return_inverse=True)
+    local = local.reshape(WINDOW, -1)
+    if len(slots):
+        own = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in used])
+        x = inputs(model, slots[used], grams[own], np.concatenate([[0], np.cumsum(bounds[used + 1] - bounds[used])]))
+    else:
+        x = np.zeros((1, 2 * WIDE), np.float32)
+    x_in = {d: x @ model[f"in_{d}"] + model[f"bias_{d}"] for d in "fb"}
+    real = np.arange(WINDOW)[:, None] < size[pick]
+    for lo in range(0, len(pick), PASS):
+        logit[lo : lo + PASS] = _forward(model, x_in, local[:, lo : lo + PASS], real[:, lo : lo + PASS])[0]
+    order = np.lexsort((-logit, group))
+    place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+    return np.sort(order[place < KEEP])
+
+
 def probabilities(texts, model: dict[str, np.ndarray]) -> np.ndarray:
     kind, first, slots, grams, bounds = encode(texts)
     doc, begin, size = windows(first)
@@ -213,9 +251,10 @@ def probabilities(texts, model: dict[str, np.ndarray]) -> np.ndarray:
         pick = order[lo : lo + PASS]
         at, real = _laid(kind, begin[pick], size[pick], max(1, int(size[pick].max())))
         logit[pick] = _forward(model, x_in, at, real)[0]
-    top = np.full(len(first) - 1, -1e9)
-    np.maximum.at(top, doc, logit)
-    return _sigmoid(top + np.log(np.bincount(doc, weights=np.exp(logit - top[doc]), minlength=len(top))))
+    counts = np.bincount(doc, minlength=len(first) - 1)
+    if not model["out"].any():  # nothing was learnt
+        return np.full(len(counts), float(_sigmoid(float(model["bias"][0]))))
+    return _sigmoid(_pooled(logit, doc, len(counts))[0] - CHANCE * np.log(np.maximum(counts / KEEP, 1)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> dict[str, np.ndarray]:
@@ -226,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         model = fit(table.column("text"), table.column("y").to_numpy(), table.column("share").to_numpy())
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    rows = sample(docs, labels, label, per_class, TRAIN_BYTES).groupBy().applyInArrow(run, "model binary").collect()
+    rows = sample(docs, labels, label, per_class).groupBy().applyInArrow(run, "model binary").collect()
     return pickle.loads(rows[0][0]) if rows else fit(pa.array([], pa.string()), np.zeros(0), np.zeros(0))
 
 
