@@ -300,3 +300,22 @@ def test_years_of_dates(spark):
     assert filters.date_year_in(df, "d", []).count() == 0
     assert filters.date_years(df, "d", 1996, 1997).count() == 366 + 365
     assert filters.date_years(df, "d", lo=1999).count() == 1
+
+
+def test_a_local_warehouse_is_refused_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark import session
+
+    conf = {"spark.sql.warehouse.dir": "file:/somewhere"}
+    fake = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)), _jvm=spark._jvm, _jsc=spark._jsc,
+        sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app-1"),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_root(fake)
+    conf["spark.sql.warehouse.dir"] = "/somewhere"
+    with pytest.raises(ValueError, match="local disk"):
+        session.shared_root(fake)
+    conf["spark.checkpoint.dir"] = "file:/shared"
+    assert session.shared_root(fake).startswith("file:/shared/")

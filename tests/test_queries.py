@@ -1,6 +1,8 @@
 """Every registered query against its oracle on the smallest driver tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -27,6 +29,16 @@ def test_registry():
     assert set(suites.QUERIES) - set(suites.ORACLES) == FITTED
 
 
+@pytest.mark.parametrize("broken", ["tidemark.llm", "tidemark.llm.queries", "corpus_pipeline", "numpy.absent"])
+def test_other_queries_stay_without_the_corpus_part(broken):
+    """In an interpreter of its own, one module of the corpus part can't be imported."""
+    code = f"import sys; sys.modules[{broken!r}] = None; import __spark_entry__ as d; print(len(d.queries()), 'pipeline' in d.queries(), set(d.oracle_sql()) <= set(d.queries()))"
+    here = os.path.dirname(driver.__file__)
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=here, capture_output=True, text=True, check=True).stdout.split()
+    whole = len(driver.queries()) if broken == "numpy.absent" else len(suites.QUERIES)
+    assert out == [str(whole), str(broken == "numpy.absent" and "pipeline" in driver.queries()), "True"]
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
 

@@ -28,8 +28,16 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of this run that all executors see: under ``spark.checkpoint.dir``, or under the
-    warehouse where that is not set. It is removed by ``close_session``, or else when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    warehouse where that is not set. It is removed by ``close_session``, or else when the driver ends.
+
+    A warehouse on a local disk is no shared folder: on a cluster it is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        where, _ = _files(spark, root)
+        local = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).getScheme()
+        if (where.toUri().getScheme() or local) == "file" and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {root} is on a local disk")
     run = f"{root.rstrip('/')}/_tidemark-{spark.sparkContext.applicationId}"
     path, files = _files(spark, run)
     files.deleteOnExit(path)
