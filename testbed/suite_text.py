@@ -8,7 +8,7 @@ from testbed.registry import query
 from testbed.roles import KEYS, annual, indicators, mart, table
 from testbed.sqlparts import D, M, QT, V, Y, q, sql
 from tidemark import constants as C
-from tidemark.operators import chunks
+from tidemark.operators import chunks, tfidf
 from tidemark.operators.embed import embed_text
 from tidemark.operators.filters import derived_k_column
 from tidemark.operators.monthly import with_balance
@@ -64,7 +64,50 @@ def chunk_fixed(spark, sf):
     return chunks.chunk_fixed(table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
-@query("chunk_recursive")
+def _split_sql(source: str, text: str, keys: str, sep: str, at: str, where: str) -> str:
+    """Pieces of a text with their number; each after the first starts with the separator."""
+    return f"""SELECT {keys}, {at}, CASE WHEN {at} > 1 THEN {sep} ELSE '' END || part AS s FROM (
+        SELECT {keys}, unnest(parts) AS part, CAST(generate_subscripts(parts, 1) AS INTEGER) AS {at}
+        FROM (SELECT {keys}, string_split({text}, {sep}) AS parts FROM {source} WHERE {where})) WHERE {at} > 1 OR part <> ''"""
+
+
+_LONG = f"length(s) >= {C.CHUNK_SIZE}"
+_SHORT = f"length(s) < {C.CHUNK_SIZE}"
+# Each piece knows the end of the chunk that would start with it and, as one that comes next, how far
+# back the next chunk starts; the recursion only follows from chunk to chunk.
+_RECURSIVE_SQL = f"""WITH RECURSIVE
+    p1 AS ({_split_sql("documents", "text", "doc_id", "chr(10) || chr(10)", "i1", "length(text) > 0")}),
+    p2 AS (SELECT doc_id, i1, 0 AS i2, s FROM p1 WHERE {_SHORT} UNION ALL
+           {_split_sql("p1", "s", "doc_id, i1", "chr(10)", "i2", _LONG)}),
+    p3 AS (SELECT doc_id, i1, i2, 0 AS i3, s FROM p2 WHERE {_SHORT} UNION ALL
+           {_split_sql("p2", "s", "doc_id, i1, i2", "' '", "i3", _LONG)}),
+    placed AS (SELECT *, length(s) AS n, CASE WHEN i3 > 0 THEN i1 || '-' || i2 WHEN i2 > 0 THEN i1 || '-' ELSE '' END AS parent,
+               row_number() OVER (PARTITION BY doc_id ORDER BY i1, i2, i3) AS i FROM p3),
+    cut AS (SELECT *, CASE WHEN n >= {C.CHUNK_SIZE} OR lag(n) OVER d >= {C.CHUNK_SIZE} OR lag(parent) OVER d <> parent
+            THEN 1 ELSE 0 END AS starts FROM placed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    runs AS (SELECT doc_id, i, s, n, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM cut),
+    pieces AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, run ORDER BY i) AS e,
+               sum(n) OVER (PARTITION BY doc_id, run ORDER BY i) - n AS b FROM runs),
+    reach AS (SELECT doc_id, run, n, b, max(e) OVER (PARTITION BY doc_id, run ORDER BY e
+                  RANGE BETWEEN CURRENT ROW AND greatest({C.CHUNK_SIZE} - n, 0) FOLLOWING) AS e,
+              min(b) OVER (PARTITION BY doc_id, run ORDER BY b
+                  RANGE BETWEEN greatest(least({C.CHUNK_OVERLAP}, {C.CHUNK_SIZE} - n), 0) PRECEDING AND CURRENT ROW) AS back FROM pieces),
+    jumps AS (SELECT r.doc_id, r.run, r.b, r.e, x.back AS following FROM reach r
+              LEFT JOIN reach x ON x.doc_id = r.doc_id AND x.run = r.run AND x.b = r.e),
+    walk AS (SELECT doc_id, run, b, e, following FROM jumps WHERE b = 0 UNION ALL
+             SELECT j.doc_id, j.run, j.b, j.e, j.following FROM walk w
+             JOIN jumps j ON j.doc_id = w.doc_id AND j.run = w.run AND j.b = w.following),
+    whole AS (SELECT doc_id, run, string_agg(s, '' ORDER BY i) AS text FROM pieces GROUP BY 1, 2),
+    chunked AS (SELECT w.doc_id, w.run, w.b, unnest(generate_series(0, greatest(CAST(ceil((w.e - w.b - {C.CHUNK_OVERLAP}) / {_STRIDE}.0)
+                    AS BIGINT), 1) - 1)) AS slice, substr(t.text, CAST(w.b + 1 AS BIGINT), CAST(w.e - w.b AS BIGINT)) AS chunk
+                FROM walk w JOIN whole t ON t.doc_id = w.doc_id AND t.run = w.run),
+    stripped AS (SELECT doc_id, run, b, slice,
+                 trim(substr(chunk, slice * {_STRIDE} + 1, {C.CHUNK_SIZE}), '{chunks.BLANKS}') AS chunk FROM chunked)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run, b, slice) - 1 AS INTEGER) AS chunk_no, chunk
+    FROM stripped WHERE chunk <> ''"""
+
+
+@query("chunk_recursive", _RECURSIVE_SQL)
 def chunk_recursive(spark, sf):
     docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text"))
     return chunks.chunk_recursive(docs, "text")
@@ -91,6 +134,26 @@ def embed(spark, sf):
     )
 
 
+_WORDS_SQL = "regexp_extract_all(lower(text), '\\S+')"
+
+
+@query(
+    "embed_tfidf",
+    f"""WITH counts AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM (
+            SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents) GROUP BY 1, 2),
+        terms AS (SELECT term, CAST(count(*) AS DOUBLE) AS n_texts FROM counts GROUP BY 1),
+        ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY n_texts DESC, term) - 1 AS INTEGER) AS slot FROM terms),
+        weights AS (SELECT doc_id, slot, n * (ln(((SELECT count(*) FROM documents) + 1) / (n_texts + 1)) + 1) AS w
+                    FROM counts JOIN ranked USING (term) WHERE slot < {tfidf.MAX_TERMS})
+        SELECT doc_id, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM weights""",
+)
+def embed_tfidf(spark, sf):
+    """Weights of all documents by a vocabulary fitted on them, shown as their entries."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = tfidf.embed_tfidf(docs, "doc_id", "text", tfidf.fit_vocabulary(docs, "text"))
+    return out.select("doc_id", F.inline("terms")).withColumn("weight", F.round("weight", 9))
+
+
 # Questions of the conversations against the documents of the mart and its trends -------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark import schemas
-from tidemark.operators import chunks, embed, retrieve
+from tidemark.operators import chunks, embed, retrieve, tfidf
 from tidemark.plans import index
 from tidemark.session import materialise, shared_dir
 from tidemark.sources import charts, log, tables, vectors
@@ -260,6 +260,31 @@ def test_chunk_recursive(spark):
     assert [r["chunk"] for r in out] == got and {r["id"] for r in out} == {1}
 
 
+def test_chunk_recursive_is_the_plain_split(spark):
+    """Against the plain form: dense lines, long words, runs of blanks, repeated rows, empty and null texts."""
+    rng = np.random.default_rng(1)
+
+    def text(words, longest):
+        parts = []
+        for _ in range(words):
+            parts.append("".join(rng.choice(list("abé😀"), rng.integers(1, longest))))
+            parts.append(str(rng.choice([" ", " ", " ", "  ", "\t", "\n", "\n\n", "\n\n\n"])))
+        return "".join(parts)
+
+    texts = [text(int(rng.integers(0, 300)), int(rng.choice([4, 12, 120]))) for _ in range(60)]
+    texts += ["", None, " ", "\n\n", "z" * 60, "z" * 61, "z" * 500, " " * 200, "\n" * 99, "a\n\n" + "b" * 99 + "\n\nc"]
+    texts += [("x " * 900).strip(), " ".join("w" * (59 - i % 2 * 57) for i in range(200)), "same row " * 20, "same row " * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for size, overlap in [(60, 10), (10, 5), (10, 0)]:
+        got = {}
+        for r in chunks.chunk_recursive(df, "t", size, overlap).orderBy("id", "chunk_no").collect():
+            got.setdefault(r["id"], []).append(r["chunk"])
+        for i, t in enumerate(texts):
+            assert got.get(i, []) == (chunks.split_recursive(t, size, overlap) if t else []), (i, size, overlap)
+    with pytest.raises(ValueError):
+        chunks.chunk_recursive(df, "t", 10, 6)
+
+
 def test_embeddings(spark):
     df = spark.createDataFrame([(1, "Un deux  un"), (2, ""), (3, None)], "id int, t string")
     got = {r["id"]: r["values"] for r in embed.embed_text(df, "t").collect()}
@@ -276,6 +301,28 @@ def test_embeddings(spark):
     assert [tuple(r) for r in embed.embedding_dims(embed.embed_text(df, "t"), "values", 2).collect()] == [(1, 64), (2, 64)]
 
 
+def test_tfidf(spark):
+    docs = [(1, "b a a B", 7), (2, "a c", 7), (3, "", 7), (4, None, 7), (5, "d", 7), (6, "a a", 7)]
+    df = spark.createDataFrame(docs, "id int, t string, slot int")
+    fitted = tfidf.fit_vocabulary(df, "t", max_terms=3)
+    assert [(r["term"], r["slot"], r["n_texts"]) for r in fitted.orderBy("slot").collect()] == [("a", 0, 3), ("b", 1, 1), ("c", 2, 1)]
+    idf = {r["slot"]: r["idf"] for r in fitted.collect()}
+    assert idf[0] == pytest.approx(np.log(7 / 4) + 1) and idf[1] == pytest.approx(np.log(7 / 2) + 1)
+    out = {r["id"]: {e["slot"]: e["weight"] for e in r["terms"]} for r in tfidf.embed_tfidf(df, "id", "t", fitted).collect()}
+    a, b = 2 * idf[0], 2 * idf[1]
+    norm = np.hypot(a, b)
+    assert out[1] == {0: pytest.approx(a / norm), 1: pytest.approx(b / norm)} and out[6] == {0: pytest.approx(1.0)}
+    assert out[3] == out[4] == out[5] == {} and set(out) == {1, 2, 3, 4, 5, 6}
+    plan = tfidf.embed_tfidf(df, "id", "t", fitted)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    # Rows of one key are one text; an unseen term has no slot; nothing at all gives nothing.
+    again = spark.createDataFrame([(1, "a zz"), (1, "b")], "id int, t string")
+    twice = tfidf.embed_tfidf(again, "id", "t", fitted).collect()
+    assert len(twice) == 1 and [e["slot"] for e in twice[0]["terms"]] == [0, 1]
+    assert tfidf.fit_vocabulary(df.limit(0), "t").count() == 0
+    assert [len(r["terms"]) for r in tfidf.embed_tfidf(df, "id", "t", tfidf.fit_vocabulary(df.limit(0), "t")).collect()] == [0] * 6
+
+
 def brute(docs, questions):
     out = []
     for qid, qv, k, cells in questions:

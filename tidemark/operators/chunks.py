@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark import constants as C
 
 SEPARATORS = ["\n\n", "\n", " ", ""]
+#: What Python's ``strip`` takes off.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def chunk_fixed(
@@ -74,7 +74,8 @@ def split_recursive(
     text: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
     separators: list[str] | None = None,
 ) -> list[str]:
-    """Split at paragraphs, else lines, else words, else characters, then pack."""
+    """Split at paragraphs, else lines, else words, else characters, then pack: the chunks of
+    one text in plain Python."""
     separators = SEPARATORS if separators is None else separators
     at = next(i for i, s in enumerate(separators) if not s or s in text)
     sep, finer = separators[at], separators[at + 1 :]
@@ -90,17 +91,153 @@ def split_recursive(
     return chunks + _pack(run, size, overlap)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pieces(text: Column, sep: str, size: int) -> Column:
+    """(s, n, cut) of each piece of ``text``, which starts with the separator; ``cut`` where a
+    piece isn't packed with the one before: at the first, at long ones and after them."""
+    parts = F.transform(
+        F.split(text, sep.replace("\n", "\\n"), -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(sep), p))
+    )
+    sized = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(p.alias("s"), F.length(p).alias("n")))
+
+    def flagged(own: Column) -> Column:
+        # Of the array moved by one, so that each piece meets the length before it; it ends one later.
+        before = F.concat(F.array(F.lit(size)), F.transform(own, lambda p: p["n"]))
+        return F.zip_with(
+            own, F.slice(before, F.lit(1), F.size(own)),
+            lambda p, n: F.struct(p["s"], p["n"], ((p["n"] >= size) | (n >= size)).alias("cut")),
+        )
+
+    return _let(sized, flagged)
+
+
+def _finer(pieces: Column, sep: str, size: int) -> Column:
+    """Pieces of ``size`` and more split at the next separator."""
+    split = lambda p: F.when(p["n"] < size, F.array(p)).otherwise(_pieces(p["s"], sep, size))
+    return F.flatten(F.transform(pieces, split))
+
+
+def _repeated(pieces: Column, at: Column, start: Column, length: Column, size: int, overlap: int) -> Column:
+    """How many pieces before ``at`` the next chunk repeats, and their length."""
+    room = F.least(F.lit(overlap), F.lit(size) - length)
+    first = F.greatest(start, at - overlap)
+    none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def back(acc: Column, p: Column) -> Column:
+        fits = acc["open"] & (acc["n"] + p["n"] <= room)
+        return F.struct(
+            (acc["k"] + fits.cast("int")).alias("k"),
+            (acc["n"] + F.when(fits, p["n"]).otherwise(0)).alias("n"), fits.alias("open"),
+        )
+
+    return F.aggregate(F.reverse(F.slice(pieces, first + 1, at - first)), none, back)
+
+
+def _packed(pieces: Column, size: int, overlap: int) -> Column:
+    """Chunks of consecutive pieces: a fold whose state is the open chunk. A piece of ``size`` and
+    more is a chunk by itself."""
+    closed = F.array().cast("array<struct<start:int,n:int>>")
+    zero = F.struct(closed.alias("out"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.lit(0).alias("total"))
+
+    def with_open(acc: Column) -> Column:
+        return F.concat(
+            acc["out"], F.array(F.struct(acc["start"].alias("start"), (acc["at"] - acc["start"]).alias("n")))
+        )
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"]
+        state = lambda out, start, total: F.struct(
+            out.alias("out"), start.alias("start"), (at + 1).alias("at"), total.alias("total")
+        )
+        packed = _let(
+            _repeated(pieces, at, acc["start"], p["n"], size, overlap),
+            lambda r: state(with_open(acc), at - r["k"], r["n"] + p["n"]),
+        )
+        return (
+            F.when((at > 0) & p["cut"], state(with_open(acc), at, p["n"]))
+            .when((at > 0) & (acc["total"] + p["n"] > size), packed)
+            .otherwise(state(acc["out"], acc["start"], acc["total"] + p["n"]))
+        )
+
+    text = lambda c: F.array_join(F.transform(F.slice(pieces, c["start"] + 1, c["n"]), lambda p: p["s"]), "")
+    return F.transform(F.aggregate(pieces, zero, step, with_open), text)
+
+
+def _sliding(text: Column, size: int, overlap: int) -> Column:
+    """``size`` characters every ``size - overlap``: what is left where no separator splits."""
+
+    def chunks(parts: Column) -> Column:
+        with_next = F.transform(
+            parts, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(parts, i + 1), 1, overlap), F.lit("")))
+        )
+        short = (F.size(parts) > 1) & (F.length(F.element_at(parts, -1)) <= overlap)
+        return F.slice(with_next, F.lit(1), F.size(parts) - short.cast("int"))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size - overlap}}}"), 0), chunks)
+
+
+def _word_windows(line: Column, size: int, overlap: int) -> Column:
+    """Words packed as by ``_packed``, for a line without long words: the fold goes from chunk to
+    chunk, and a chunk is the longest stretch that ends before a blank."""
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"), F.length(line).alias("end"))
+    # A chunk and the word after it are longer than ``size``, so two steps go on by over half of it.
+    steps = F.sequence(F.lit(0), F.floor(F.length(line) * 4 / size).cast("int") + 2)
+
+    def after(acc: Column, ahead: Column, chunk: Column) -> Column:
+        n = F.length(chunk)
+        word = F.length(F.regexp_extract(F.substr(ahead, n + 1), "^ [^ ]*", 0))
+        room = F.when(word > 0, F.least(F.lit(overlap), F.lit(size) - word)).otherwise(0)
+        blank = _let(room, lambda r: F.struct(r.alias("room"), F.instr(F.substr(chunk, n - r + 1, r), " ").alias("i")))
+        kept = _let(blank, lambda b: F.when(b["i"] > 0, b["room"] - b["i"] + 1).otherwise(0))
+        out = F.concat(acc["out"], F.array(chunk)).alias("out")
+        return F.struct(out, (acc["at"] + n - kept).alias("at"), acc["end"].alias("end"))
+
+    def chunks(blocks: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            first = F.floor(acc["at"] / size).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, F.lit(3)), "")
+            found = _let(
+                F.substr(near, acc["at"] % size + 1, F.lit(2 * size)),
+                lambda w: _let(F.regexp_extract(w, f"(?s)^.{{1,{size}}}(?= |\\z)", 0), lambda c: after(acc, w, c)),
+            )
+            return F.when(acc["at"] < acc["end"], found).otherwise(acc)
+
+        return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+
+    return _let(F.regexp_extract_all(line, F.lit(f"(?s).{{1,{size}}}"), 0), chunks)
+
+
+def _words(line: Column, size: int, overlap: int) -> Column:
+    """Chunks of a line of more than ``size`` characters."""
+    pieces = _let(_pieces(line, " ", size), lambda p: _packed(p, size, overlap))
+    cut = lambda c: F.when(F.length(c) <= size, F.array(c)).otherwise(_sliding(c, size, overlap))
+    return F.when(line.rlike(f"[^ ]{{{max(1, size - 1)}}}"), F.flatten(F.transform(pieces, cut))).otherwise(
+        _word_windows(line, size, overlap)
+    )
+
+
 def chunk_recursive(
     df: DataFrame, text: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP
 ) -> DataFrame:
-    """Separator-aware chunks with their position; Arrow batches, no shuffle."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: split_recursive(t, size, overlap) if t else [])
+    """Separator-aware chunks with their position, as ``split_recursive`` gives them.
 
+    Built-in functions only, row by row, no shuffle. Each separator splits the pieces that are
+    still too long; a fold packs what is between them and repeats at most ``overlap`` characters;
+    a piece that no separator splits is cut every ``size - overlap`` characters. Null and empty
+    texts have no chunks, repeated rows are chunked each.
+    """
+    if not 0 <= 2 * overlap <= size:
+        raise ValueError("overlap must be at most half of size")
     keep = [c for c in df.columns if c != text]
-    # Not deterministic for the optimizer: the explode would otherwise cut every text twice.
-    pieces = df.select(*keep, cut.asNondeterministic()(F.col(text)).alias("pieces__c"))
-    return pieces.select(*keep, F.posexplode("pieces__c").alias("chunk_no", "chunk"))
+    paragraphs = _pieces(F.col(text), "\n\n", size)
+    out = df.where(F.length(text) > 0).select(*keep, _finer(paragraphs, "\n", size).alias("pieces__c"))
+    packed = _packed(F.col("pieces__c"), size, overlap)
+    whole = lambda c: F.when(F.length(c) <= size, F.array(c)).otherwise(_words(c, size, overlap))
+    stripped = F.transform(F.flatten(F.transform(packed, whole)), lambda c: F.btrim(c, F.lit(BLANKS)))
+    out = out.select(*keep, F.filter(stripped, lambda c: c != "").alias("chunks__c"))
+    # The outer form and the test of the row keep the optimizer from computing the chunks twice.
+    return out.select(*keep, F.posexplode_outer("chunks__c").alias("chunk_no", "chunk")).where(F.col("chunk").isNotNull())
