@@ -84,6 +84,39 @@ def forest_exact(spark, sf):
     return rounded(out, 2, C.VALUE, "fitted")
 
 
+ORIGINS = [1998, 1999, 2000]
+
+
+@query(
+    "forecast_holdout",
+    sql(
+        f"WITH lagged AS ({_LAGGED}) " + " UNION ALL ".join(
+            f"""SELECT a.series, a.segment, a.{Y}, {o} AS origin, round(a.{V}, 2) AS actual, round(a.lag1, 2) AS last,
+                round(t.slope * {o + 1} + t.intercept, 2) AS trend, round(abs(a.lag1 - a.{V}), 2) AS last_error,
+                round(abs(t.slope * {o + 1} + t.intercept - a.{V}), 2) AS trend_error FROM lagged a LEFT JOIN (
+                    SELECT series, segment, regr_slope({V}, {Y}) AS slope, regr_intercept({V}, {Y}) AS intercept
+                    FROM lagged WHERE {Y} <= {o} GROUP BY 1, 2) t ON t.series = a.series AND t.segment = a.segment
+                WHERE a.{Y} = {o + 1}"""
+            for o in ORIGINS
+        ),
+        "segments",
+    ),
+)
+def forecast_holdout(spark, sf):
+    """Forecasts of one year from three origins: errors of the trend and of the last value. Those of
+    the forest, which SQL can't tell, are in ``forecast_holdout_errors``."""
+    out = fc.rolling_holdout(_history(spark, sf), SEGMENT_KEYS, ORIGINS).drop("forest", "forest_error")
+    return rounded(out, 2, "actual", "last", "trend", "last_error", "trend_error")
+
+
+@query("forecast_holdout_errors")
+def forecast_holdout_errors(spark, sf):
+    """Mean absolute error of each way, over all series of an origin."""
+    out = fc.rolling_holdout(_history(spark, sf), SEGMENT_KEYS, ORIGINS)
+    means = [F.round(F.avg(f"{how}_error"), 2).alias(f"{how}_error") for how in ("forest", "trend", "last")]
+    return out.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), *means)
+
+
 def _recursive(spark, sf):
     """Both ways to start: from the last row, after the gap, and from the last year before it."""
     rows = _history(spark, sf)

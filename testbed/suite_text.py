@@ -113,6 +113,13 @@ def chunk_recursive(spark, sf):
     return chunks.chunk_recursive(docs, "text")
 
 
+@query("chunk_recursive_native", _RECURSIVE_SQL)
+def chunk_recursive_native(spark, sf):
+    """The same on built-in functions only."""
+    docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return chunks.chunk_recursive(docs, "text", native=True)
+
+
 def _embed_sql(key: str, text: str, source: str, dim: int = 64) -> str:
     """Long form (key, slot, weight) of the hashed bag of words, unit length."""
     return f"""SELECT {key}, slot, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS w FROM (
@@ -149,9 +156,11 @@ _WORDS_SQL = "regexp_extract_all(lower(text), '\\S+')"
 )
 def embed_tfidf(spark, sf):
     """Weights of all documents by a vocabulary fitted on them, shown as their entries."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text"))
     out = tfidf.embed_tfidf(docs, "doc_id", "text", tfidf.fit_vocabulary(docs, "text"))
-    return out.select("doc_id", F.inline("terms")).withColumn("weight", F.round("weight", 9))
+    # The plain form would add a filter on the number of entries and compute them twice for it.
+    entries = out.select("doc_id", F.inline_outer("terms")).where(F.col("slot").isNotNull())
+    return entries.withColumn("weight", F.round("weight", 9))
 
 
 # Questions of the conversations against the documents of the mart and its trends -------

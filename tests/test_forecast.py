@@ -101,3 +101,29 @@ def test_mart_storage(spark, tmp_path):
     mt.write_mart(df, str(tmp_path / "mart"))
     back = mt.read_mart(spark, str(tmp_path / "mart"))
     assert sorted(map(tuple, back.select("series", C.YEAR, "v").collect())) == [("a", 2020, 1.0), ("a", 2021, 2.0)]
+
+
+def test_rolling_holdout_knows_nothing_after_the_origin(spark, annual):
+    short = spark.createDataFrame([("new", 2007, 1.0), ("new", 2008, 2.0), ("gone", 2005, 3.0), ("hole", 2007, None)], annual.schema)
+    known = annual.unionByName(short)
+    run = lambda df: {(r["origin"], r[C.SERIES]): r for r in fc.rolling_holdout(df, S, [2007, 2009], trees=10).collect()}
+    out = run(known)
+    assert set(out) == {(o, s) for o in (2007, 2009) for s in "abc"} | {(2007, "new")}
+    values = {(r[C.SERIES], r[C.YEAR]): r[C.VALUE] for r in annual.collect()}
+    for (origin, series), r in out.items():
+        if series == "new":
+            assert (r["last"], r["last_error"], r["trend"], r["forest"]) == (1.0, 1.0, None, None)
+            continue
+        past = [(y, v) for (s, y), v in values.items() if s == series and y <= origin]
+        slope, intercept = np.polyfit(*zip(*past), 1)
+        assert r[C.YEAR] == origin + 1 and r["actual"] == values[series, origin + 1] and r["last"] == values[series, origin]
+        assert r["trend"] == pytest.approx(slope * (origin + 1) + intercept, rel=1e-6)
+        labels = [v for (_, y), v in values.items() if y <= origin]
+        assert min(labels) <= r["forest"] <= max(labels)
+        assert r["forest_error"] == pytest.approx(abs(r["forest"] - r["actual"]))
+        assert r["trend_error"] == pytest.approx(abs(r["trend"] - r["actual"]))
+    # Other values after the origin change the errors, not the forecasts.
+    later = run(known.withColumn(C.VALUE, F.when(F.col(C.YEAR) > 2009, F.col(C.VALUE) * 7).otherwise(F.col(C.VALUE))))
+    told = lambda rows: {k: (r["forest"], r["trend"], r["last"]) for k, r in rows.items()}
+    assert told(later) == told(out)
+    assert later[2009, "a"]["last_error"] > 10 * out[2009, "a"]["last_error"]

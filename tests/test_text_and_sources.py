@@ -275,9 +275,9 @@ def test_chunk_recursive_is_the_plain_split(spark):
     texts += ["", None, " ", "\n\n", "z" * 60, "z" * 61, "z" * 500, " " * 200, "\n" * 99, "a\n\n" + "b" * 99 + "\n\nc"]
     texts += [("x " * 900).strip(), " ".join("w" * (59 - i % 2 * 57) for i in range(200)), "same row " * 20, "same row " * 20]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    for size, overlap in [(60, 10), (10, 5), (10, 0)]:
+    for size, overlap, native in [(60, 10, True), (10, 5, True), (10, 0, True), (60, 10, False)]:
         got = {}
-        for r in chunks.chunk_recursive(df, "t", size, overlap).orderBy("id", "chunk_no").collect():
+        for r in chunks.chunk_recursive(df, "t", size, overlap, native).orderBy("id", "chunk_no").collect():
             got.setdefault(r["id"], []).append(r["chunk"])
         for i, t in enumerate(texts):
             assert got.get(i, []) == (chunks.split_recursive(t, size, overlap) if t else []), (i, size, overlap)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.operators.forest import Forest, fit_forests, predict_forests
+from tidemark.operators.lookup import null_safe_join
 from tidemark.operators.monthly import annual_sum, history_and_future, with_balance, with_lags
 from tidemark.operators.ranking import split_train_test
 from tidemark.operators.stats import fill_with_mean, trend
@@ -152,6 +153,41 @@ def forecast_with_trend(
     return history_and_future(history, future, keys, target, fitted)
 
 
+def rolling_holdout(
+    annual: DataFrame,
+    keys: list[str],
+    origins: list[int],
+    value: str = C.VALUE,
+    trees: int = 100,
+    depth: int | None = DEPTH,
+    seed: int = 42,
+) -> DataFrame:
+    """One row per origin and series: the year after the origin as known, as the lag forest, the
+    trend and the year before tell it, and the absolute errors.
+
+    Nothing after an origin is used for its forecasts. The forests of all origins are grown together,
+    as one label each, known up to its origin only. Years with a missing value are left out, so the year before is
+    the last known one. A series with fewer than three known years has no forest value, with fewer than two no
+    trend; without the year after the origin it has no row.
+    """
+    lagged = with_lags(annual.where(F.col(value).isNotNull()), keys, value)
+    rows = materialise(lagged.select(*keys, C.YEAR, F.col(value).alias("actual"), *LAGS), "holdout")
+    known = rows.where(F.col(C.YEAR) <= max(origins)).na.drop(subset=LAGS)
+    labels = {o: f"until__{o}" for o in origins}
+    train = known.withColumns({name: F.when(F.col(C.YEAR) <= o, F.col("actual")) for o, name in labels.items()})
+    models = fit_forests(training_frame(train, LAGS, list(labels.values()), [*keys, C.YEAR]), LAGS, list(labels.values()), trees, depth, seed)
+    after = {o: rows.where(F.col(C.YEAR) == o + 1).withColumn("origin", F.lit(o)) for o in origins}
+    out = None
+    for o in origins:
+        line = trend(rows.where(F.col(C.YEAR) <= o), keys, ["actual"], 1, 0, seed, F.lit(o))
+        line = line.select(*keys, F.col("actual").alias("trend"))
+        told = predict(models[labels[o]], after[o], LAGS, "forest").withColumn("last", F.col("lag1"))
+        part = null_safe_join(told, line, keys)
+        out = part if out is None else out.unionByName(part)
+    errors = {f"{how}_error": F.abs(F.col(how) - F.col("actual")) for how in ("forest", "trend", "last")}
+    return out.drop(*LAGS).withColumns(errors)
+
+
 def forecast_arrivals(monthly: DataFrame, keys: list[str], **options) -> DataFrame:
     """Year, actual and fitted arrivals, then four forecast years."""
     annual = annual_sum(monthly, keys, [C.VALUE])

@@ -48,9 +48,8 @@ def embed_tfidf(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> Da
     Only distinct words of a text are shuffled, a text has at most as many entries as the vocabulary.
     """
     entry = F.when(F.col("slot").isNotNull(), F.struct("slot", "weight"))
-    rows = term_weights(df, key, text, vocabulary).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("terms"))
-    # The squares are summed by slot, so the sum doesn't depend on the order of rows.
+    rows = term_weights(df, key, text, vocabulary).groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("terms"))
+    # The squares are summed by slot, so the sum doesn't depend on the order of rows; once per text.
     norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, e: acc + e["weight"] * e["weight"]))
-    return rows.withColumn("norm__t", norm).select(
-        key, F.transform("terms", lambda e: F.struct(e["slot"], (e["weight"] / F.col("norm__t")).alias("weight"))).alias("terms")
-    )
+    unit = lambda n: F.transform("terms", lambda e: F.struct(e["slot"], (e["weight"] / n).alias("weight")))
+    return rows.select(key, F.transform(F.array(norm), unit)[0].alias("terms"))
