@@ -30,6 +30,7 @@ from tidemark.operators.monthly import exact_sums
 from tidemark.operators.reshape import calendar_spine, melt, month_headers, unpivot_months
 from tidemark.session import shared_dir
 from tidemark.sources import charts, log, tables, vectors
+from tidemark.streaming.log_stream import stream_log
 
 _FR_LIST = "[" + ", ".join(f"'{m}'" for m in FRENCH) + "]"
 _STEM_LIST = "[" + ", ".join(f"'{m}'" for m in STEMS) + "]"
@@ -338,6 +339,22 @@ def log_append(spark, sf):
     return log.read_log(spark, path)
 
 
+@query("log_stream", _PAIRS)
+def log_stream(spark, sf):
+    """Two triggers with a restart between them; the second meets the files of the first again, and
+    copies of their records under other names."""
+    root = shared_dir(spark, "stream")
+    pairs = log.pair_turns(table(spark, sf, "conversations"))
+    records = log.log_records(pairs, "question", "response", F.lit("2026-01-01T00:00:00"), keep=("conv_id", "turn"))
+    first = F.col("conv_id") % 2 == 0
+    for delivered in (records.where(first), records):
+        delivered.write.mode("append").json(f"{root}/in")
+        stream = spark.readStream.schema(records.schema).json(f"{root}/in")
+        running = stream_log(stream, f"{root}/out", f"{root}/checkpoint", once=["conv_id", "turn"])
+        running.awaitTermination()
+    return log.read_log(spark, f"{root}/out")
+
+
 @query(
     "calendar_spine",
     sql(

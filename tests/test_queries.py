@@ -15,7 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are
 
 # Fitted values, which SQL can't tell: their checked forms have oracles.
 FITTED = {
-    "rf_lag_fit", "recursive_forecast", "indicator_extend", "forecast_4y", "forecast_balance_4y", "monthly_mart", "chunk_recursive",
+    "rf_lag_fit", "recursive_forecast", "indicator_extend", "forecast_4y", "forecast_balance_4y", "monthly_mart",
+    "forecast_holdout_errors",
 }
 
 

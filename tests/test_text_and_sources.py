@@ -233,6 +233,26 @@ def test_log(spark, tmp_path):
     assert log.read_log(spark, out).count() == 8
 
 
+def test_stream_counts_a_record_once(spark, tmp_path):
+    """Restarts, a file delivered again under another name, equal records with other keys."""
+    schema = "timestamp string, question string, response string, id int"
+    source, out, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    at = "2026-01-01T00:00:00"
+    batches = [
+        [(at, "q", "r", 1), (at, "q", "r", 2), (at, "q", "r", 2)],
+        [(at, "q", "r", 1), (at, "late", None, 3), ("no time", "lost", "r", 4), (None, "lost", "r", 5)],
+        [],
+        [("2026-01-02T00:00:00", "q", "r", 2), ("2026-01-02T00:00:00", "next", "r", 6)],
+    ]
+    counts = []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(source)
+        stream_log(spark.readStream.schema(schema).json(source), out, state, once=["id"]).awaitTermination(120)
+        counts.append(log.read_log(spark, out).count())
+    assert counts == [2, 3, 3, 4]
+    assert sorted(r["question"] for r in log.read_log(spark, out).collect()) == ["late", "next", "q", "q"]
+
+
 def test_chunk_fixed_is_a_sliding_slice(spark):
     texts = ["", "a" * 10, "é" * 500, "x" * 501, "".join(chr(97 + i % 26) for i in range(2345)), "a\nb" * 400, "😀" * 951]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
