@@ -92,8 +92,8 @@ ORIGINS = [1998, 1999, 2000]
     sql(
         f"WITH lagged AS ({_LAGGED}) " + " UNION ALL ".join(
             f"""SELECT a.series, a.segment, a.{Y}, {o} AS origin, round(a.{V}, 2) AS actual, round(a.lag1, 2) AS last,
-                round(t.slope * {o + 1} + t.intercept, 2) AS trend, round(abs(a.lag1 - a.{V}), 2) AS last_error,
-                round(abs(t.slope * {o + 1} + t.intercept - a.{V}), 2) AS trend_error FROM lagged a LEFT JOIN (
+                round(t.slope * {o + 1} + t.intercept, 4) AS trend, round(abs(a.lag1 - a.{V}), 2) AS last_error,
+                round(abs(t.slope * {o + 1} + t.intercept - a.{V}), 4) AS trend_error FROM lagged a LEFT JOIN (
                     SELECT series, segment, regr_slope({V}, {Y}) AS slope, regr_intercept({V}, {Y}) AS intercept
                     FROM lagged WHERE {Y} <= {o} GROUP BY 1, 2) t ON t.series = a.series AND t.segment = a.segment
                 WHERE a.{Y} = {o + 1}"""
@@ -106,7 +106,8 @@ def forecast_holdout(spark, sf):
     """Forecasts of one year from three origins: errors of the trend and of the last value. Those of
     the forest, which SQL can't tell, are in ``forecast_holdout_errors``."""
     out = fc.rolling_holdout(_history(spark, sf), SEGMENT_KEYS, ORIGINS).drop("forest", "forest_error")
-    return rounded(out, 2, "actual", "last", "trend", "last_error", "trend_error")
+    # A trend of a few years of cents often ends in half a cent: four digits, so that it isn't rounded there.
+    return rounded(rounded(out, 2, "actual", "last", "last_error"), 4, "trend", "trend_error")
 
 
 @query("forecast_holdout_errors")
