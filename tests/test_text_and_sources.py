@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import random
 
 import numpy as np
 import pytest
@@ -233,6 +234,44 @@ def test_log(spark, tmp_path):
     assert log.read_log(spark, out).count() == 8
 
 
+def test_one_array_is_read_by_many_tasks(spark, tmp_path):
+    """Cut anywhere: braces, quotes, escapes and brackets in strings, nested objects, each layout."""
+    rng = random.Random(4)
+    bits = ["}", "{", '"', "\\", "]", "[", ",", "},{", '"},\n  {"', "é", " ", "word", "\n", '\\"', "漢"]
+    text = lambda: "".join(rng.choices(bits, k=rng.randrange(12)))
+    records = [{"timestamp": str(i), "question": text(), "response": text()} for i in range(1500)]
+    for r in records[::7]:
+        r["more"] = {"a": [{"}": text()}, {}], "b": {"c": {}}}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, layout in ((16_000, {"indent": 4}), (16_000, {"separators": (",", ":")}), (64, {"indent": 1, "ensure_ascii": False})):
+            path = tmp_path / f"{size}_{len(layout)}.json"
+            many = records[:20] if size == 64 else records
+            expected = sorted((r["timestamp"], r["question"], r["response"]) for r in many)
+            path.write_text(json.dumps(many, **layout), encoding="utf-8")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 4
+            got = log.read_log_array(spark, str(path))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            assert sorted(tuple(r) for r in got.collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_broken_arrays_give_no_rows(spark, tmp_path):
+    good = json.dumps([{"question": "q", "response": "}"}, {"question": "r"}])
+    broken = [
+        good[:-1], good[1:], good + "]", good + "{}", good.replace("}, {", "} {"), good.replace("}, {", "},, {"),
+        good.replace('"r"', '"r'), good.replace('"q"', "q"), "[", "", "{}", "[1]", good + good, good.replace("[", "[1,"), "null", '["}"]',
+    ]
+    for i, text in enumerate(broken):
+        (tmp_path / f"{i}.json").write_text(text)
+    for name, text in (("good", good), ("empty", " [ \n ] "), ("blank", "[{}]")):
+        (tmp_path / f"{name}.json").write_text(text)
+    got = log.read_log_array(spark, str(tmp_path)).collect()
+    assert sorted((r["question"] or "", r["response"] or "") for r in got) == [("", ""), ("q", "}"), ("r", "")]
+
+
 def test_stream_counts_a_record_once(spark, tmp_path):
     """Restarts, a file delivered again under another name, equal records with other keys."""
     schema = "timestamp string, question string, response string, id int"

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark import schemas
+from tidemark.sources.json_array import read_json_array
 
 
 def read_log_array(spark: SparkSession, path: str) -> DataFrame:
-    """Log kept as one JSON array per file; a corrupt or missing file gives no rows."""
-    reader = spark.read.schema(schemas.LOG).option("multiLine", True).option("mode", "DROPMALFORMED")
-    return _or_empty(spark, lambda: reader.json(path))
+    """Log kept as one JSON array per file, each read by many tasks; a corrupt or missing file gives no rows."""
+    return _or_empty(spark, lambda: read_json_array(spark, path, schemas.LOG))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
