@@ -232,6 +232,38 @@ def test_bins_are_matched_over_a_tree(spark, monkeypatch):
     assert max(sizes) / min(sizes) < 1.05 and all(r["top"] == r["n"] - 1 for r in got) and sum(r["n"] for r in got) == 5000
 
 
+def test_a_group_below_its_share_stays_whole(spark, monkeypatch):
+    """However many rows it has; a larger one is split. Long texts and repeated rows are counted as they are."""
+    monkeypatch.setattr(vector_shards, "CHUNK_PART", 4)
+    monkeypatch.setattr(vector_shards, "PART_ROWS", 700)
+    ids = spark.range(30_000).select(F.col("id").alias("doc_id"))
+    text = F.expr("CASE WHEN doc_id < 7000 THEN 'below a quarter' WHEN doc_id < 15000 THEN 'above it é' ELSE concat('own ', doc_id) END")
+    rows = ids.withColumn("text", text).union(spark.createDataFrame([(None, "q " * 60_000), (5, "x"), (5, "x")], "doc_id long, text string"))
+    got = vector_shards.sharded(rows).collect()
+    expected = sorted((i is not None, i or 0, len(t.encode()) + 1, len(t.split()), zlib.crc32(t.encode())) for i, t in map(tuple, rows.collect()))
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["tokens"], r["text_crc32"]) for r in got) == expected
+    of = {crc: {r["shard"] for r in got if r["text_crc32"] == crc} for crc in map(zlib.crc32, ("below a quarter".encode(), "above it é".encode()))}
+    assert [len(shards) for shards in of.values()] == [1, 2]
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_dot_rule_by_hand():
+    rng = np.random.default_rng(8)
+    for distinct, n in ((False, 40), (True, 5)):
+        loads = rng.random((n, 3))
+        loads[3] = loads[4]
+        left, free, expected = [[1.0] * 3 for _ in range(5)], set(range(5)), {}
+        for i in sorted(range(n), key=lambda i: (-max(loads[i]), i)):
+            best = max(sorted(free), key=lambda b: sum(x * y for x, y in zip(left[b], loads[i])))
+            left[best] = [x - y for x, y in zip(left[best], loads[i])]
+            free -= {best} if distinct else set()
+            expected[i] = best
+        assert list(vector_shards._dot_rule(loads, np.ones((5, 3)), distinct)) == [expected[i] for i in range(n)]
+
+
 def raked_by_hand(cells, targets, rounds=500):
     w = {k: float(t) for k, t in cells.items()}
     whole = sum(w.values())

@@ -1,11 +1,13 @@
 """Shards balanced in bytes, tokens and rows at once, by vector bin packing.
 
-The unit is the group of equal texts. A group that would by itself unbalance the shards is
-split into chunks by a hash of the id. Groups are dealt over cells of bounded size; in a cell
-each group, largest first, goes to the bin where the dot product of its size with what the bin
-has left is highest. The bins of up to ``FAN`` cells are then matched to each other by the same
-rule, a cell at a time, and so on up a tree until one set of shards is left: the imbalance of
-cells cancels, and no task sees more than a cell or a fan of bins.
+The unit is the group of equal texts, known by its sums. A group with more than 1/``CHUNK_PART`` of all
+rows or bytes would unbalance the shards and is split by a hash of the id. Groups are dealt over
+cells of bounded number; in a cell each group, largest first, goes to the bin where the dot
+product of its size with what the bin has left is highest. The bins of up to ``FAN`` cells are
+then matched to each other by the same rule, a cell at a time, and so on up a tree until one set
+of shards is left: the imbalance of cells cancels, and no task sees more than a cell or a fan of
+bins. Rows, however many of one group, then look up the shard of their group, and are numbered in
+parts of bounded size.
 
 Defined results: a null text has no bytes and lies in the group of empty texts; repeated rows
 each take a slot; ties go to the lower bin; an empty table gives no rows.
@@ -18,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import Scratch
 
 SHARDS, FAN = 16, 256
-CELL_ROWS, LEAST_CELLS = 4096, 64
-#: A chunk of equal texts has at most this part of all rows and of all bytes, and so many rows.
-CHUNK_PART, CHUNK_ROWS = 1024, 4096
-BINNED = "doc_id long, size long, tokens long, text_crc32 long, cell long, bin int, place long"
+#: Groups of a cell; rows that are numbered together.
+CELL_GROUPS, LEAST_CELLS, PART_ROWS = 16384, 1, 100_000
+#: A group has at most this part of all rows and of all bytes, or ``LEAST_SPLIT`` rows; else it is split.
+CHUNK_PART, LEAST_SPLIT = 1024, 16
+GROUP = ["h", "text_crc32", "chunk"]
+SUMS = ["size", "tokens", "n"]
+BINNED = "h long, text_crc32 long, chunk long, size long, tokens long, n long, cell long, bin int"
 MOVED = "parent long, cell long, bin int, to int"
 
 
@@ -43,28 +48,17 @@ def _dot_rule(loads: np.ndarray, residual: np.ndarray, distinct: bool) -> np.nda
 
 def _pack_cell(shards: int):
     def run(table):
-        columns = {c: table.column(c).to_numpy() for c in ("size", "tokens", "h", "chunk", "text_crc32")}
-        order = np.lexsort((columns["chunk"], columns["text_crc32"], columns["h"]))
-        new = np.ones(len(order), bool)
-        for a in [columns[c][order] for c in ("h", "text_crc32", "chunk")]:
-            new[1:] &= a[1:] == a[:-1]
-        new[1:] = ~new[1:]
-        item = np.empty(len(order), np.int64)
-        item[order] = np.cumsum(new) - 1
-        sizes = np.stack([np.bincount(item, weights=w) for w in (columns["size"], columns["tokens"], np.ones(len(item)))], axis=1)
+        table = table.sort_by([(c, "ascending") for c in GROUP])
+        sizes = np.stack([table.column(c).to_numpy().astype(float) for c in SUMS], axis=1)
         scale = np.maximum(sizes.sum(axis=0) / shards, 1)
-        bins = _dot_rule(sizes / scale, np.ones((shards, 3)), False)[item]
-        order = np.argsort(bins, kind="stable")
-        place = np.empty(len(order), np.int64)
-        counts = np.bincount(bins, minlength=shards)
-        place[order] = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return table.select(["doc_id", "size", "tokens", "text_crc32", "cell"]).append_column("bin", pa.array(bins)).append_column("place", pa.array(place))
+        bins = _dot_rule(sizes / scale, np.ones((shards, 3)), False)
+        return table.append_column("bin", pa.array(bins))
 
     return run
 
 
 def _match(shards: int):
-    """Bins of the cells of one fan: the cells with the most uneven bins choose last."""
+    """Bins of the cells of one fan: the cells with the most uneven bins choose first."""
 
     def run(table):
         cell, bin, parent = (table.column(c).to_numpy() for c in ("cell", "bin", "parent"))
@@ -86,43 +80,59 @@ def _hash(*columns) -> F.Column:
     return F.xxhash64(*columns, F.lit(29))
 
 
+def _homes(rows: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """The ``shard`` of each group of ``rows``."""
+    groups = rows.groupBy(*GROUP).agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    groups = scratch.write(groups, "groups")
+    cells = max(LEAST_CELLS, -(-groups.count() // CELL_GROUPS))
+    dealt = groups.withColumn("cell", F.pmod(_hash(*GROUP), F.lit(cells)).cast("long"))
+    binned = scratch.write(dealt.groupBy("cell").applyInArrow(_pack_cell(shards), BINNED), "binned")
+    sums = [F.sum(c).alias(c) for c in SUMS]
+    parts = binned.groupBy("cell", "bin").agg(*sums)
+    parts = scratch.write(parts.select("*", F.col("cell").alias("top"), F.col("bin").alias("shard")), "parts")
+    while cells > 1:
+        cells = -(-cells // FAN)
+        above = parts.groupBy(F.col("top").alias("cell"), F.col("shard").alias("bin")).agg(*sums)
+        above = above.withColumn("parent", F.floor(F.col("cell") / FAN))
+        moved = above.groupBy("parent").applyInArrow(_match(shards), MOVED)
+        moved = moved.select("parent", F.col("cell").alias("top"), F.col("bin").alias("shard"), "to")
+        parts = parts.join(moved, ["top", "shard"]).select("cell", "bin", *SUMS, F.col("parent").alias("top"), F.col("to").alias("shard"))
+        parts = scratch.write(parts, "parts")
+    return scratch.write(binned.join(parts.select("cell", "bin", "shard"), ["cell", "bin"]).select(*GROUP, "shard"), "homes")
+
+
+def _numbered(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """``rows`` with the ``slot`` of each in its shard. A part of a shard is numbered by itself, after the parts before it."""
+    part = F.pmod(F.xxhash64("row"), F.lit(max(1, n // PART_ROWS))).cast("long")
+    rows = scratch.write(rows.withColumn("part", part), "located")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    counts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "row"))
+    return rows.withColumn("own", own).join(scratch.write(counts, "offsets"), ["shard", "part"]).withColumn("slot", F.col("before") + F.col("own") - 1)
+
+
 def sharded(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """``doc_id``, ``size`` (bytes and one), ``tokens``, ``text_crc32``, ``shard`` and the ``slot`` in it."""
+    scratch = Scratch(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = materialise(
+    rows = scratch.write(
         docs.select(
             F.col(id).cast("long").alias("doc_id"),
             (F.octet_length(whole) + 1).cast("long").alias("size"),
             F.regexp_count(whole, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
             F.crc32(whole.cast("binary")).alias("text_crc32"),
             F.xxhash64(whole).alias("h"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "sizes",
     )
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(1))).first()
-    most_rows = min(max(n // CHUNK_PART, 16), CHUNK_ROWS)
-    chunks = F.greatest(F.ceil(F.col("n") / most_rows), F.ceil(F.col("total") * CHUNK_PART / size))
-    groups = rows.groupBy("h", "text_crc32").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    large = materialise(groups.where("n > 1").select("h", "text_crc32", F.least(F.col("n"), chunks).alias("chunks")).where("chunks > 1"), "large")
-    items = rows.join(large, ["h", "text_crc32"], "left").withColumn(
-        "chunk", F.coalesce(F.pmod(_hash("doc_id"), F.col("chunks")), F.lit(0)).cast("long")
-    )
-    cells = max(LEAST_CELLS, n // CELL_ROWS)
-    items = items.withColumn("cell", F.pmod(_hash("h", "text_crc32", "chunk"), F.lit(cells)).cast("long"))
-    binned = items.select("doc_id", "size", "tokens", "text_crc32", "h", "chunk", "cell").groupBy("cell").applyInArrow(_pack_cell(shards), BINNED)
-    binned = materialise(binned, "binned")
-    parts = binned.groupBy("cell", "bin").agg(*[F.sum(c).alias(c) for c in ("size", "tokens")], F.count("*").alias("n"))
-    parts = materialise(parts.select("*", F.col("cell").alias("top"), F.col("bin").alias("shard")), "parts")
-    while cells > 1:
-        cells = -(-cells // FAN)
-        above = parts.groupBy(F.col("top").alias("cell"), F.col("shard").alias("bin")).agg(*[F.sum(c).alias(c) for c in ("size", "tokens", "n")])
-        above = above.withColumn("parent", F.floor(F.col("cell") / FAN))
-        moved = above.groupBy("parent").applyInArrow(_match(shards), MOVED)
-        moved = moved.select("parent", F.col("cell").alias("top"), F.col("bin").alias("shard"), "to")
-        parts = parts.join(moved, ["top", "shard"]).select("cell", "bin", "size", "tokens", "n", F.col("parent").alias("top"), F.col("to").alias("shard"))
-        parts = materialise(parts, "parts")
-    before = Window.partitionBy("shard").orderBy("cell", "bin").rowsBetween(Window.unboundedPreceding, -1)
-    parts = materialise(parts.select("cell", "bin", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets")
-    return binned.join(parts, ["cell", "bin"]).select(
-        "doc_id", "size", "tokens", "text_crc32", "shard", (F.col("before") + F.col("place")).alias("slot")
-    )
+    chunks = F.greatest(F.ceil(F.col("n") / max(n // CHUNK_PART, LEAST_SPLIT)), F.ceil(F.col("total") * CHUNK_PART / size))
+    copies = rows.groupBy("h", "text_crc32").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    large = scratch.write(copies.select("h", "text_crc32", F.least(F.col("n"), chunks).alias("chunks")).where("chunks > 1"), "large")
+    chunk = F.pmod(_hash(F.coalesce("doc_id", "row")), F.col("chunks"))
+    rows = rows.join(large, ["h", "text_crc32"], "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)).cast("long"))
+    out = _numbered(rows.join(_homes(rows, shards, scratch), GROUP), n, scratch)
+    scratch.drop("located", "offsets")
+    return out.select("doc_id", "size", "tokens", "text_crc32", "shard", "slot")
