@@ -1,8 +1,10 @@
 """Operators on words and tokens against brute force, with nulls, ties, repeats and long texts."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -302,7 +304,8 @@ def base_counts(text):
             repeated += line in seen
             seen.add(line)
     runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    covered = {i + k for i, r in enumerate(runs) if runs.count(r) > 1 for k in range(5)}
+    often = Counter(runs)
+    covered = {i + k for i, r in enumerate(runs) if often[r] > 1 for k in range(5)}
     symbols = sum(c in "#*$%&|<>" for c in text)
     return (len(w), sum(map(len, w)), symbols, repeated, len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
@@ -319,6 +322,58 @@ def test_rules_and_divergence(spark, docs, texts):
     assert divergence_rules.judged(df.where("false")).count() == 0
 
 
+def histograms_of(text, lang):
+    """Shares of the classes of characters and of the common words, as the rules name them."""
+    w = WORD.findall(text)
+    kinds = [sum(c in "\t\n\x0b\x0c\r " for c in text)]
+    for kind in ("#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:?'\"()-", "!"):
+        kinds.append(sum(c in kind for c in text))
+    kinds.append(len(text) - sum(kinds))
+    common = divergence_rules.COMMON.get(lang) or sorted({x for words in divergence_rules.COMMON.values() for x in words})
+    counts = [w.count(x) for x in common]
+    counts.append(len(w) - sum(counts))
+    return [k / len(text) if text else 0.0 for k in kinds], [c / len(w) if w else 0.0 for c in counts]
+
+
+def far(p, q):
+    half = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0.0
+    return math.sqrt(max(0.0, sum(half(a, b) + half(b, a) for a, b in zip(p, q)) / 2))
+
+
+def test_histograms_and_verdicts_by_hand(spark, texts):
+    """With very long texts, repeated rows, unknown languages and columns of clashing names."""
+    rng = np.random.default_rng(11)
+    common = [x for words in divergence_rules.COMMON.values() for x in words]
+    rows = [(i, t, (None, "en", "fr", "xx")[i % 4]) for i, t in texts] * 2
+    for i in range(60):
+        words = [rng.choice(common) if rng.random() < 0.4 else f"w{x}" for x in rng.integers(0, 900, int(rng.integers(5, 120)))]
+        shape = (str.lower, str.upper, lambda t: t.replace("w", "#|"), lambda t: t + "!" * 90, lambda t: t.replace(" ", ", "))[i % 5]
+        rows.append((1000 + i, shape(" ".join(words)), ("en", "de", "es", None)[i % 4]))
+    rows.append((2000, prose(rng, 60_000), "en"))
+    clash = {c: F.lit("x") for c in ("words", "lines", "common", "found", "runs", "n_words", "chars", "commons", "mean_chars", "upper", "kept", "i", "share")}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns(clash)
+    got = {}
+    for r in divergence_rules.judged(df).collect():
+        assert got.setdefault(r["doc_id"], r) == r
+    hists = [(i, histograms_of(t or "", lang or ""), lang or "", len(WORD.findall(t or ""))) for i, t, lang in rows]
+    means = {}
+    for lang in {h[2] for h in hists}:
+        judged = [h[1] for h in hists if h[2] == lang and h[3] >= divergence_rules.LEAST_WORDS]
+        means[lang] = [np.mean([j[k] for j in judged], axis=0) for k in (0, 1)]
+    verdicts = Counter()
+    for i, own, lang, n in hists:
+        r, apart = got[i], [far(own[k], means[lang][k]) for k in (0, 1)]
+        # The means are rounded, and the root is steep near nothing.
+        assert (r["chars_distance"], r["words_distance"]) == pytest.approx(apart, abs=1e-4)
+        limits = [a + b / math.sqrt(max(n, 1)) for a, b in (divergence_rules.CHARS_LIMIT, divergence_rules.WORDS_LIMIT)]
+        if all(abs(x - y) > 1e-4 for x, y in zip(apart, limits)):
+            near = n < divergence_rules.LEAST_WORDS or all(x <= y for x, y in zip(apart, limits))
+            assert r["kept"] == (near and not r["base_failed"])
+            verdicts[r["base_failed"], r["kept"]] += 1
+    assert min(verdicts[k] for k in ((False, True), (False, False), (True, False))) >= 5
+    assert got[2000]["n_words"] == 60_000 and len(got) == len(texts) + 61
+
+
 def test_distance(spark):
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.1, 0.2, 0.7])
     m = (p + q) / 2
