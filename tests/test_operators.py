@@ -165,8 +165,12 @@ def test_spread_annual(spark):
     assert out.count() == 12
     assert out.agg(F.sum(C.VALUE)).first()[0] == pytest.approx(120.0)
     assert out.first()[C.TOTAL] == pytest.approx(120.0)
-    whole = disagg.spread_annual(annual, weights, S, renormalise=True)
-    assert whole.agg(F.sum(C.VALUE)).first()[0] == pytest.approx(100.0)
+    for keys in (S, []):
+        whole = disagg.spread_annual(annual.select(*keys, C.YEAR, C.VALUE), weights.select(*keys, C.MONTH, C.SHARE), keys, renormalise=True)
+        assert whole.agg(F.sum(C.VALUE)).first()[0] == pytest.approx(100.0)
+    unnamed = [df.withColumn("series", F.lit(None).cast("string")) for df in (annual, weights)]
+    with_null = disagg.spread_annual(*unnamed, S, renormalise=True)
+    assert with_null.count() == 12
 
 
 def test_lookup_needs_unique_keys(spark):

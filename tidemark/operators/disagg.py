@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.operators.lookup import lookup_join, unique_lookup
+from tidemark.operators.lookup import lookup_join, null_safe_join, unique_lookup
 from tidemark.operators.monthly import year_total
 
 
@@ -21,10 +21,9 @@ def spread_annual(
     )
     w = weights
     if renormalise:
-        total = F.sum(C.SHARE).over(Window.partitionBy(*keys)) if keys else F.sum(C.SHARE).over(
-            Window.partitionBy()
-        )
-        w = w.withColumn(C.SHARE, F.try_divide(F.col(C.SHARE), total))
+        total = weights.groupBy(*keys).agg(F.sum(C.SHARE).alias("total__v"))
+        w = null_safe_join(weights, total, keys)
+        w = w.withColumn(C.SHARE, F.try_divide(F.col(C.SHARE), F.col("total__v"))).drop("total__v")
     d = F.col(C.DATE)
     months = annual.select(
         *keys, C.YEAR, F.col(C.VALUE).alias("annual__v"), F.explode(years).alias(C.DATE)

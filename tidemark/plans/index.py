@@ -72,14 +72,12 @@ def answer_prompts(
         F.coalesce(F.lower("metadata.type"), F.lit("")).alias("cell_type"),
         F.col(f"metadata.{C.YEAR}").alias("at"),
     )
-    # Types are the partitions of a collection: a handful.
-    types = F.array(*[F.lit(r[0]) for r in docs.select("cell_type").distinct().collect()]).cast("array<string>")
-    every = F.transform(types, lambda t: F.struct(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), t.alias("type")))
-    # Written once: the grid reads the vectors twice, and encoders are costly.
+    # Written once: the grids read the vectors more than once, and encoders are costly.
     embedded = materialise(embed_text(questions, "question", "vector", make_encoder), "questions")
-    cells = embedded.select(
-        "qid", "vector", "k", F.inline(F.when(F.size("ranges") > 0, F.col("ranges")).otherwise(every))
-    ).withColumn("cell_type", F.lower("type"))
-    hits = knn(docs, cells, on=["cell_type"], span=("lo", "hi", "at"))
+    ranged = F.coalesce(F.size("ranges") > 0, F.lit(False))
+    cells = embedded.where(ranged).select("qid", "vector", "k", F.inline("ranges"))
+    hits = knn(docs, cells.withColumn("cell_type", F.lower("type")), on=["cell_type"], span=("lo", "hi", "at"))
+    # A question without ranges isn't copied to the types: it meets all records in one grid.
+    hits = hits.union(knn(docs, embedded.where(~ranged).select("qid", "vector", "k")))
     texts = found.select("id", F.col("metadata.text").alias("text"))
     return prompts(questions, contexts(hits, texts))
