@@ -323,7 +323,7 @@ def test_mixed_documents(spark):
 
 
 def test_registry():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert set(queries.ORACLES) <= set(queries.QUERIES) <= set(driver.queries()) and "pipeline" in driver.queries()
 
 
