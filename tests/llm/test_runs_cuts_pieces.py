@@ -1,5 +1,6 @@
 """Periodic runs, fill-in-middle cuts and merge pieces against brute force and the library."""
 
+import cProfile
 import hashlib
 import random
 import re
@@ -222,6 +223,36 @@ def test_small_tables_of_pairs_and_stretches(library, monkeypatch):
     assert len(table.known) <= 4
 
 
+def test_new_stretches_are_taken_together(library, monkeypatch):
+    """Steps of the interpreter for a new word don't grow with the pieces that match in it."""
+    rng = random.Random(4)
+    table = merge_pieces.pieces()
+    words = ["".join(rng.choice(["tion", "ou", "st", "he", "er", "an", "in"]) for _ in range(rng.randrange(3, 9))) for _ in range(4000)]
+    text = " ".join(dict.fromkeys(words))
+    assert table.encode(text) == library.encode(text)  # pairs are tested once
+    monkeypatch.setattr(table, "known", {})
+    profile = cProfile.Profile()
+    profile.enable()
+    table.encode(text)
+    profile.disable()
+    assert sum(entry.callcount for entry in profile.getstats()) < 10 * len(set(words))
+
+
+def test_pieces_by_small_tables_and_parts(library, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(merge_pieces, "TOGETHER", 30)
+    monkeypatch.setattr(merge_pieces, "LONGEST_TOGETHER", 8)
+    monkeypatch.setattr(merge_pieces, "LONGEST_KEPT", 5)
+    monkeypatch.setattr(merge_pieces.Kept, "PLACES", 3)
+    table = merge_pieces.pieces.__wrapped__()
+    letters = "etaoinshr  ▁\n.é漢😀𒀀\U0010ffff"
+    texts = PIECES_OF + ["", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(200))]
+    for most in (1 << 18, 7):
+        monkeypatch.setattr(merge_pieces, "MOST_KEPT", most)
+        assert [ids.tolist() for ids in table.encode_all(texts)] == [library.encode(text) for text in texts]
+        assert max(map(len, table.known), default=0) <= 5
+
+
 def test_pieces_query(spark, docs, rows, library, monkeypatch):
     monkeypatch.setattr(queries, "documents", lambda *_: docs)
     got = queries.op11_merge_pieces(spark, "").collect()

@@ -8,8 +8,10 @@ A table holds that piece for each prefix; ids are recovered from its end backwar
 
 No piece goes on over a mark for a space that follows another character, or holds a line end, so
 texts are cut there into stretches, and a stretch that was met before is looked up. (Where a
-vocabulary has such pieces, a text is one stretch.) Tables of tested pairs and of short stretches
-are emptied when they are large; they change no result.
+vocabulary has such pieces, a text is one stretch.) All new stretches of a slice go through the
+automaton and fill their tables together, a character of each at a time, and are read backwards
+together; only very long ones are taken alone. What is kept of tested pairs, steps and short
+stretches is bounded and changes no result.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; characters that
 no piece has become the pieces of their bytes; very long texts and stretches take time in
@@ -21,8 +23,9 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from tidemark.llm import words as W
 MODEL = "piece_bpe_32k"
 SPACE = "▁"
 MOST_KEPT, LONGEST_KEPT = 1 << 18, 48
+#: Characters of the stretches taken together, and of the longest of them.
+TOGETHER, LONGEST_TOGETHER = 1 << 18, 512
 # Kinds of pieces and kinds of models in a model file.
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 MERGES = 2
@@ -66,6 +71,32 @@ def message(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Kept:
+    """Values under 2**18 of a function of two numbers, for many pairs at once.
+
+    Each pair has one place; of two pairs with the same place the later one holds it, and the other
+    is computed anew.
+    """
+
+    MIX, PLACES = np.uint64(0x9E3779B97F4A7C15), 21
+
+    def __init__(self, function: Callable[[int, int], int], width: int) -> None:
+        self.function, self.width = function, width
+        self.held = np.full(1 << self.PLACES, -1)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a * self.width + b
+        place = (pair.astype(np.uint64) * self.MIX) >> np.uint64(64 - self.PLACES)
+        held = self.held[place]
+        missing = np.flatnonzero(held >> 18 != pair)
+        if len(missing):
+            new, back = np.unique(pair[missing], return_inverse=True)
+            values = [self.function(*divmod(x, self.width)) for x in new.tolist()]
+            held[missing] = ((new << 18) + np.array(values))[back]
+            self.held[place[missing]] = held[missing]
+        return held & ((1 << 18) - 1)
+
+
 class Pieces:
     """The vocabulary: scores of pieces, the automaton, and tests of pairs."""
 
@@ -102,13 +133,26 @@ class Pieces:
             self.automaton.add_word(text, (1, len(self.texts)))
             self.texts.append(text)
         self.automaton.make_automaton()
+        self.prefixes = list(dict.fromkeys(chain([""], (t[:k] for t in self.texts for k in range(1, len(t) + 1)))))
+        if max(len(self.prefixes), len(self.texts)) >= 1 << 18:
+            raise ValueError(f"a vocabulary of too many prefixes: {path}")
+        self.states = {prefix: k for k, prefix in enumerate(self.prefixes)}
+        # Longest piece at the end of each state, next shorter piece at the end of each piece, lengths and
+        # ids of pieces. None is -1: the last place is for a character of no piece.
+        number = {text: k for k, text in enumerate(self.texts)}
+        self.longest = np.array([next((number[t[k:]] for k in range(len(t)) if t[k:] in number), -1) for t in self.prefixes])
+        self.shorter = np.array([next((number[t[k:]] for k in range(1, len(t)) if t[k:] in number), -1) for t in self.texts])
+        self.sizes = np.array([*map(len, self.texts), 1])
+        self.numbers = np.array([*(self.ids.get(t, -1) for t in self.texts), -1], np.int32)
+        self.steps = Kept(self.step, 0x110000)
+        self.fitting = Kept(lambda last, piece: self.compatible(last - 1 if last else None, piece), len(self.texts))
         inside = re.compile(f"[^{SPACE}]{SPACE}")
         alone = "".join({"\t", "\n", "\r"} - {c for t in self.texts for c in t})
         parts = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
         self.stretches = re.compile(r"(?s).+" if any(map(inside.search, self.texts)) else parts)
         self.histories: dict[int, tuple[list[float], list[str], list[str]]] = {}
         self.pairs: dict[tuple[int | None, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def history(self, piece: int) -> tuple[list[float], list[str], list[str]]:
         """Scores of the merges of a piece by itself in their order, and the first and the last part
@@ -157,6 +201,11 @@ class Pieces:
             else:
                 j += 1
 
+    def step(self, state: int, character: int) -> int:
+        """The longest end of the state with one more character that begins a piece."""
+        text = self.prefixes[state] + chr(character)
+        return next(self.states[text[k:]] for k in range(len(text) + 1) if text[k:] in self.states)
+
     def last_pieces(self, text: str) -> list[int | None]:
         """The last piece of each prefix; None for the empty one and behind a character of no piece."""
         last: list[int | None] = [None] * (len(text) + 1)
@@ -173,6 +222,22 @@ class Pieces:
                     last[end + 1] = piece
         return last
 
+    def all_last_pieces(self, row: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``last_pieces`` of stretches in the order of their lengths, behind a gap each; None is -1."""
+        last, state = np.full(len(row), -1), np.zeros(len(starts), np.int64)
+        for depth, gone in enumerate(np.searchsorted(lengths, np.arange(lengths[-1]), "right").tolist()):
+            at = starts[gone:] + depth
+            state[gone:] = self.steps(state[gone:], row[at])
+            piece = self.longest[state[gone:]]
+            while True:
+                at, piece = at[piece >= 0], piece[piece >= 0]
+                if not len(at):
+                    break
+                fit = self.fitting(last[at - self.sizes[piece]] + 1, piece) > 0
+                last[at[fit]] = piece[fit]
+                at, piece = at[~fit], self.shorter[piece[~fit]]
+        return last
+
     def recovered(self, text: str, last: list[int | None]) -> list[int]:
         """The ids, from the end of the text backwards."""
         out, at = [], len(text)
@@ -190,21 +255,64 @@ class Pieces:
         out.reverse()
         return out
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        ids: list[int] = []
+    def recovered_all(self, stretches: list[str]) -> Iterator[bytes]:
+        """The ids of stretches in the order of their lengths."""
+        lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        starts = np.cumsum(lengths + 1) - lengths
+        row = np.frombuffer(" ".join(["", *stretches]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        last = self.all_last_pieces(row, starts, lengths)
+        used = np.zeros(len(row), bool)
+        at, first = starts + lengths - 1, starts
+        while len(at):
+            used[at] = True
+            at = at - self.sizes[last[at]]
+            at, first = at[at >= first], first[at >= first]
+        numbers = self.numbers[last[used]]
+        ends = np.cumsum(used)[starts + lengths - 1]
+        # Stretches with pieces that have no id, and characters of no piece.
+        others = set(np.searchsorted(ends, np.flatnonzero(numbers < 0), "right").tolist())
+        raw, lo = numbers.tobytes(), 0
+        for k, hi in enumerate((4 * ends).tolist()):
+            if k in others:
+                table = last[starts[k] - 1 : starts[k] + lengths[k]].tolist()
+                yield np.array(self.recovered(stretches[k], [None if p < 0 else p for p in table]), np.int32).tobytes()
+            else:
+                yield raw[lo:hi]
+            lo = hi
+
+    def found(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch: looked up, and the new ones taken together."""
         known = self.known
-        for stretch in self.stretches.findall(SPACE + text.replace(" ", SPACE)):
-            found = known.get(stretch)
-            if found is None:
-                found = self.recovered(stretch, self.last_pieces(stretch))
-                if len(stretch) <= LONGEST_KEPT:
-                    if len(known) >= MOST_KEPT:
-                        known.clear()
-                    known[stretch] = found
-            ids += found
-        return ids
+        new = sorted(set(stretches).difference(known), key=len)
+        lo = size = 0
+        for hi, stretch in enumerate(new, 1):
+            size += len(stretch)
+            if len(stretch) > LONGEST_TOGETHER:
+                known[stretch] = np.array(self.recovered(stretch, self.last_pieces(stretch)), np.int32).tobytes()
+            elif size >= TOGETHER or hi == len(new) or len(new[hi]) > LONGEST_TOGETHER:
+                known.update(zip(new[lo:hi], self.recovered_all(new[lo:hi]), strict=True))
+                lo, size = hi, 0
+        out = list(map(known.__getitem__, stretches))
+        for stretch in reversed(new):
+            if len(stretch) <= LONGEST_KEPT:
+                break
+            del known[stretch]
+        if len(known) > MOST_KEPT:
+            known.clear()
+        return out
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        cut = [self.stretches.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        row = list(chain.from_iterable(cut))
+        ids = list(chain.from_iterable(self.found(row[k : k + MOST_KEPT]) for k in range(0, len(row), MOST_KEPT)))
+        lo = 0
+        for stretches in cut:
+            yield np.frombuffer(b"".join(ids[lo : lo + len(stretches)]), np.int32)
+            lo += len(stretches)
+
+    def encode(self, text: str) -> list[int]:
+        return list(self.encode_all([text]))[0].tolist()
 
 
 @lru_cache(maxsize=2)
@@ -227,15 +335,14 @@ def encoded_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", model
     """``doc_id``, ``ids`` and the text ``decoded`` from them, of each whole text. Nothing is shuffled."""
 
     def run(batches):
-        encode, decode = pieces(model).encode, decoder(model)
+        encode_all, decode = pieces(model).encode_all, decoder(model)
         for batch in batches:
             for part in W.slices(pa.Table.from_batches([batch]), "text", 1 << 20):
-                seen, rows = {}, []
-                for text in part.column("text").to_pylist():
-                    if text not in seen:
-                        ids = encode(text or "")
-                        seen[text] = np.array(ids, np.int32), decode(ids) if ids else ""
-                    rows.append(seen[text])
+                texts = [text or "" for text in part.column("text").to_pylist()]
+                seen = dict.fromkeys(texts)
+                for text, ids in zip(list(seen), encode_all(list(seen)), strict=True):
+                    seen[text] = ids, decode(ids.tolist()) if text else ""
+                rows = [seen[text] for text in texts]
                 ends = np.cumsum([0, *(len(ids) for ids, _ in rows)])
                 flat = np.concatenate([ids for ids, _ in rows])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
